@@ -88,7 +88,7 @@ FREE_REQUESTS = 1_000_000
 # --- End of fixed values. ---
 
 # No vector is wider than this. It also bounds whatever is kept "per width".
-MAX_WIDTH = 4096
+MAX_WIDTH = 2048
 
 
 @dataclass(frozen=True)

@@ -33,14 +33,20 @@ def norm(vector: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """Vector of length one; a zero vector stays zero, so its cosine is 0."""
-    length = norm(vector)
-    return F.transform(vector, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+    """Vector of length one; a zero vector stays zero, so its cosine is 0.
+
+    The length is bound once, as the element of a one-entry array: inside the
+    inner lambda it would be computed again for every entry.
+    """
+    scaled = F.transform(
+        F.array(norm(vector)),
+        lambda length: F.transform(vector, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0))))
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
+    """0 if either vector has no length."""
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 def mean(vector: Column) -> Column:

@@ -87,40 +87,47 @@ def embed_segments(
         schema + ", embedding array<double>, error string")
 
 
-def mean_pool(
-    segments: DataFrame,
-    key: str = "recording_id",
-    vector: str = "embedding",
-    max_width: int = 1280,
-    extra: list[Column] | None = None,
-) -> DataFrame:
+# Entries summed per aggregation row: few enough for generated code, enough to
+# keep the number of rows per vector small.
+POOL_BLOCK = 32
+
+
+def _blocks(vector: str) -> str:
+    """SQL: a vector cut into blocks of POOL_BLOCK entries."""
+    return (f"transform(sequence(0, (size({vector}) - 1) div {POOL_BLOCK}), "
+            f"b -> slice({vector}, b * {POOL_BLOCK} + 1, {POOL_BLOCK}))")
+
+
+_SUMS = [f"sum(get(_entries, {i})) AS _{i}" for i in range(POOL_BLOCK)]
+_SUM_ARRAY = f"array({', '.join(f'_{i}' for i in range(POOL_BLOCK))})"
+
+
+def mean_pool(segments: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
     """Mean vector per key, with `dim` and `num_segments`.
 
-    One running sum per vector entry keeps the buffer of a key at a fixed size
-    and combines before the shuffle, so a key with any number of segments costs
-    one row per map task. Segments without a vector are not counted; vectors of
-    mixed width within a key, or wider than `max_width`, raise.
+    Vectors are summed block by block with combining before the shuffle, so a
+    key with any number of segments costs one row per block and map task.
+    Segments without a vector are not counted, and a key without any keeps a
+    null vector. Vectors of mixed width within a key raise.
     """
-    size = F.when(F.col(vector).isNotNull(), F.size(vector))
-    entries = [F.sum(F.get(vector, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(max_width)]
-    summed = segments.groupBy(key).agg(
-        F.min(size).alias("_lo"),
-        F.max(size).alias("dim"),
-        F.count(vector).alias("num_segments"),
-        *(extra or []),
-        *entries,
-    )
-    carried = [c for c in summed.columns if not c.startswith("_") and c not in (key, "dim", "num_segments")]
-    sums = F.array(*[F.col(f"_{i}") for i in range(max_width)])
-    uneven = (F.col("_lo") != F.col("dim")) | (F.col("dim") > max_width)
-    mean = F.transform(F.slice(sums, F.lit(1), F.col("dim")), lambda s: s / F.col("num_segments"))
-    return summed.select(
-        key,
-        F.when(uneven, F.raise_error(F.lit("vectors of one key differ in width or exceed max_width")).cast("array<double>"))
-        .otherwise(mean).alias(vector),
+    cut = segments.select(*keys, F.col(vector).cast("array<double>").alias("_v")).select(
+        *keys, F.expr("size(_v)").alias("_size"),
+        F.expr(f"posexplode_outer({_blocks('_v')})").alias("_block", "_entries"))
+    summed = cut.groupBy(*keys, "_block").agg(
+        F.count("_entries").alias("_n"), F.min("_size").alias("_lo"), F.max("_size").alias("_hi"),
+        *[F.expr(s) for s in _SUMS])
+    merged = summed.groupBy(*keys).agg(
+        F.max("_n").alias("num_segments"),
+        F.min(F.expr("if(_block is null, null, _lo)")).alias("_lo"),
+        F.max(F.expr("if(_block is null, null, _hi)")).alias("dim"),
+        F.expr(f"collect_list(if(_block is null, null, struct(_block, {_SUM_ARRAY} AS sums)))").alias("_parts"))
+    mean = F.expr("transform(slice(flatten(transform(sort_array(_parts), p -> p.sums)), 1, dim), s -> s / num_segments)")
+    mixed = F.raise_error(F.lit("vectors of one key differ in width")).cast("array<double>")
+    return merged.select(
+        *keys,
+        F.when(F.col("num_segments") == 0, F.lit(None)).when(F.col("_lo") != F.col("dim"), mixed).otherwise(mean).alias(vector),
         "dim",
         "num_segments",
-        *carried,
     )
 
 
@@ -129,33 +136,26 @@ def pool_with_fallback(
     key: str = "recording_id",
     model_vector: str = "embedding",
     feature_vector: str = "feature_embedding",
-    max_width: int = 1280,
 ) -> DataFrame:
     """Pooled vector per key; if any segment has no model vector, the feature
     vectors of all segments are pooled instead and `synthetic` is true.
 
-    Both sums travel in one aggregation, so the decision needs no second pass.
+    Both kinds are summed in one aggregation, so the decision needs no second
+    pass. Every segment must have a feature vector.
     """
-    def sums(column, prefix):
-        return [F.sum(F.get(column, F.lit(i)).cast("double")).alias(f"{prefix}{i}") for i in range(max_width)]
-
-    summed = segments.groupBy(key).agg(
-        F.bool_or(F.col(model_vector).isNull()).alias("synthetic"),
-        F.count(F.lit(1)).alias("num_segments"),
-        F.max(F.size(model_vector)).alias("_m"),
-        F.max(F.size(feature_vector)).alias("_f"),
-        *sums(model_vector, "_m"),
-        *sums(feature_vector, "_f"),
-    )
-
-    def mean(prefix, width):
-        array = F.array(*[F.col(f"{prefix}{i}") for i in range(max_width)])
-        return F.transform(F.slice(array, F.lit(1), width), lambda s: s / F.col("num_segments"))
-
-    embedding = F.when(F.col("synthetic"), mean("_f", F.col("_f"))).otherwise(mean("_m", F.col("_m")))
-    return summed.select(key, embedding.alias("embedding"), "num_segments", "synthetic").withColumn(
-        "dim", F.size("embedding")
-    )
+    kinds = F.explode(F.array(
+        F.struct(F.lit(False).alias("is_feature"), F.col(model_vector).cast("array<double>").alias("v")),
+        F.struct(F.lit(True).alias("is_feature"), F.col(feature_vector).cast("array<double>").alias("v"))))
+    both = mean_pool(segments.select(key, kinds.alias("_k")).select(key, "_k.*"), key, "is_feature", vector="v")
+    merged = both.groupBy(key).agg(
+        F.max(F.expr("if(is_feature, num_segments, 0)")).alias("num_segments"),
+        F.max(F.expr("if(is_feature, 0, num_segments)")).alias("_modelled"),
+        F.max(F.expr("if(is_feature, null, v)")).alias("_model"),
+        F.max(F.expr("if(is_feature, v, null)")).alias("_feature"))
+    synthetic = F.col("_modelled") < F.col("num_segments")
+    embedding = F.when(synthetic, F.col("_feature")).otherwise(F.col("_model"))
+    return merged.select(key, embedding.alias("embedding"), F.size(embedding).alias("dim"), "num_segments",
+                         synthetic.alias("synthetic"))
 
 
 def embedding_summary(pooled: DataFrame, key: str = "recording_id") -> DataFrame:

@@ -20,23 +20,23 @@ from pyspark.sql import functions as F
 from shoalsong import constants as C
 from shoalsong.functions import fields
 from shoalsong.functions import vectors as V
+from shoalsong.operators.embedding import mean_pool
 
 CODES = [code for code, _ in C.CATEGORIES]
 
+# The four-entry arrays below are unfolded with explode_outer: a plain explode
+# makes the optimiser add a not-empty filter that evaluates them a second time.
+
 
 def pool_by_site(refs: DataFrame) -> DataFrame:
     """One entry per site instead of one per file; the lowest ref_id stands for it."""
-    entries = refs.select(*fields.site_defaults(), V.width(F.col("embedding")).alias("dim"), "ref_id",
-                          "num_segments", F.posexplode("embedding").alias("pos", "x"))
-    sites = ["site_id", "country", "site_type", "dim"]
-    means = entries.groupBy(*sites, "pos").agg(
-        F.avg("x").alias("x"), F.min("ref_id").alias("ref_id"), F.sum("num_segments").alias("num_segments"))
-    return means.groupBy(*sites).agg(
-        F.min("ref_id").alias("ref_id"),
-        F.max("num_segments").alias("num_segments"),
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("embedding"),
-    ).select("ref_id", F.lit(None).cast("string").alias("filename"), "site_id", "country", "site_type",
-             "num_segments", "embedding")
+    named = refs.select("ref_id", *fields.site_defaults(), "num_segments", "embedding")
+    sites = ["site_id", "country", "site_type"]
+    means = mean_pool(named, *sites).drop("dim", "num_segments")
+    totals = named.groupBy(*sites).agg(F.min("ref_id").alias("ref_id"), F.sum("num_segments").alias("num_segments"))
+    return totals.join(means, sites).select(
+        "ref_id", F.lit(None).cast("string").alias("filename"), *sites[:1], "country", "site_type",
+        "num_segments", "embedding")
 
 
 def comparable_references(pooled: DataFrame, refs: DataFrame, key: str = "recording_id") -> DataFrame:
@@ -62,35 +62,34 @@ def category_vectors(refs: DataFrame) -> DataFrame:
 
     At most MAX_WIDTH rows of four vectors whatever the number of references.
     """
-    entries = refs.where(F.col("site_type").isin(CODES) & (F.size("embedding") > 0)).select(
-        V.width(F.col("embedding")).alias("dim"), "site_type",
-        F.posexplode(V.unit(F.col("embedding"))).alias("pos", "x"))
-    means = entries.groupBy("dim", "site_type", "pos").agg(F.avg("x").alias("x"))
-    vectors = means.groupBy("dim", "site_type").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("vector"))
-    return vectors.groupBy("dim").agg(
+    units = refs.where(F.col("site_type").isin(CODES) & (F.size("embedding") > 0)).select(
+        V.width(F.col("embedding")).alias("width"), "site_type", V.unit(F.col("embedding")).alias("vector"))
+    return mean_pool(units, "width", "site_type", vector="vector").groupBy(F.col("width").alias("dim")).agg(
         F.map_from_entries(F.collect_list(F.struct("site_type", "vector"))).alias("vectors"))
 
 
+_NORM = "sqrt(aggregate(embedding, 0D, (acc, x) -> acc + x * x)) AS _norm"
+
+
+def _category_slots() -> str:
+    """SQL: ordinal, site_type, status and mean similarity of the four categories."""
+    def slot(i, code, status):
+        vector = f"try_element_at(vectors, '{code}')"
+        product = f"aggregate(zip_with(embedding, {vector}, (x, y) -> x * y), 0D, (acc, x) -> acc + x)"
+        return (f"named_struct('ordinal', {i}, 'site_type', '{code}', 'status', '{status}', 'similarity', "
+                f"if({vector} IS NULL, NULL, coalesce(try_divide({product}, _norm), 0D)))")
+
+    return f"array({', '.join(slot(i, *category) for i, category in enumerate(C.CATEGORIES))}) AS categories"
+
+
 def with_category_similarity(pooled: DataFrame, refs: DataFrame) -> DataFrame:
     """Add `categories`: status, ordinal and mean similarity (null without
     references) for each of the four categories, in tie-break order."""
-    unit = V.unit(F.col("embedding"))
-    slots = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(code).alias("site_type"),
-            F.lit(status).alias("status"),
-            V.dot(F.col("_unit"), F.try_element_at("vectors", F.lit(code))).alias("similarity"),
-        )
-        for i, (code, status) in enumerate(C.CATEGORIES)
-    ]
+    rest = [c for c in pooled.columns if c != "dim"]
     return (
-        pooled.withColumn("dim", V.width(F.col("embedding")))
+        pooled.select(*rest, V.width(F.col("embedding")).alias("dim"), F.expr(_NORM))
         .join(F.broadcast(category_vectors(refs)), "dim", "left")
-        .withColumn("_unit", unit)
-        .withColumn("categories", F.array(*slots))
-        .drop("vectors", "_unit")
+        .select(*rest, "dim", F.expr(_category_slots()))
     )
 
 
@@ -98,7 +97,7 @@ def category_similarity(pooled: DataFrame, refs: DataFrame, key: str = "recordin
     """Long form of the mean similarity; categories without references are absent."""
     return (
         with_category_similarity(pooled, refs)
-        .select(key, F.explode("categories").alias("c"))
+        .select(key, F.explode_outer("categories").alias("c"))
         .select(key, "c.site_type", "c.status", "c.similarity")
         .where(F.col("similarity").isNotNull())
     )
@@ -109,7 +108,7 @@ def complete_categories(pooled: DataFrame, refs: DataFrame, key: str = "recordin
     """Every recording with all four categories, missing ones at the default."""
     return (
         with_category_similarity(pooled, refs)
-        .select(key, F.explode("categories").alias("c"))
+        .select(key, F.explode_outer("categories").alias("c"))
         .select(key, "c.ordinal", "c.status",
                 F.coalesce("c.similarity", F.lit(default)).alias("similarity"))
     )
@@ -125,42 +124,35 @@ def classify(pooled: DataFrame, refs: DataFrame,
     the recording had a comparable reference and the numbers are probabilities.
     """
     any_refs = refs.limit(1).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
-    placeholder = F.array(*[
-        F.struct(F.lit(status).alias("status"), F.lit(p).alias("p")) for status, p in C.PLACEHOLDER_PROBABILITIES
-    ])
-    scores = F.transform("categories", lambda c: F.coalesce(c["similarity"], F.lit(default)))
-    normalised = F.transform(
-        F.arrays_zip(F.col("categories.status").alias("status"), F.col("_scores").alias("s")),
-        lambda c: F.struct(
-            c["status"].alias("status"),
-            F.when(F.col("_total") > 0, c["s"] / F.col("_total")).otherwise(c["s"]).alias("p"),
-        ),
-    )
-    # nan_to_null: a NaN must not win the maximum.
-    ranked = F.transform("probabilities", lambda c, i: F.struct(
-        F.when(F.isnan(c["p"]), F.lit(None)).otherwise(c["p"]).alias("p"),
-        (-i).alias("order"), c["status"].alias("status")))
-    return (
-        with_category_similarity(pooled, refs)
-        .withColumn("_any", any_refs)
-        .withColumn("_scores", scores)
-        .withColumn("_total", V.total(F.col("_scores")))
-        .withColumn("probabilities", F.when(F.col("_any"), normalised).otherwise(placeholder))
-        .withColumn("_best", F.array_max(ranked))
-        .withColumn("label", F.col("_best.status"))
-        .withColumn("confidence", F.col("_best.p"))
-        .withColumn(
-            "valid",
-            F.col("_any") & (F.col("_total") > 0)
-            & F.exists("categories", lambda c: c["similarity"].isNotNull())
-            & F.forall("_scores", lambda s: s >= 0),
-        )
-        .drop("_any", "_scores", "_total", "_best", "categories")
-    )
+    placeholder = ", ".join(f"named_struct('status', '{s}', 'p', {p}D)" for s, p in C.PLACEHOLDER_PROBABILITIES)
+    similar = with_category_similarity(pooled, refs)
+    kept = similar.drop("categories").columns
+    scored = similar.select(
+        *kept, "categories", any_refs.alias("_any"),
+        F.expr(f"transform(categories, c -> coalesce(c.similarity, {default}D)) AS _scores"))
+    summed = scored.select("*", F.expr("aggregate(_scores, 0D, (acc, s) -> acc + s) AS _total"))
+    shared = summed.select(
+        "*",
+        F.expr(f"""
+            if(_any,
+               transform(categories, (c, i) -> named_struct(
+                   'status', c.status, 'p', if(_total > 0, _scores[i] / _total, _scores[i]))),
+               array({placeholder})) AS probabilities"""))
+    # A NaN must not win the maximum; the earlier category wins a tie.
+    ranked = shared.select(
+        "*",
+        F.expr("""
+            array_max(transform(probabilities, (c, i) -> named_struct(
+                'p', if(isnan(c.p), NULL, c.p), 'order', -i, 'status', c.status))) AS _best"""))
+    return ranked.select(
+        *kept, "probabilities", F.col("_best.status").alias("label"), F.col("_best.p").alias("confidence"),
+        F.expr("""
+            _any AND _total > 0 AND exists(categories, c -> c.similarity IS NOT NULL)
+            AND forall(_scores, s -> s >= 0) AS valid"""))
 
 
 def probabilities_long(classified: DataFrame, key: str = "recording_id") -> DataFrame:
-    return classified.select(key, F.explode("probabilities").alias("c")).select(
+    return classified.select(key, F.explode_outer("probabilities").alias("c")).select(
         key, fields.display_label(F.col("c.status")).alias("status"), F.col("c.p").alias("probability"))
 
 

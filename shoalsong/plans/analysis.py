@@ -67,7 +67,7 @@ def embed_files(
     vectors = wav.signal_rows(checked.where(F.col("error_code").isNull())).mapInArrow(
         run, "recording_id string, segment_idx int, feature_embedding array<double>, "
              "embedding array<double>, error string")
-    return embedding.pool_with_fallback(vectors, "recording_id", max_width=width)
+    return embedding.pool_with_fallback(vectors, "recording_id")
 
 
 def _no_model():
@@ -108,10 +108,10 @@ def result_documents(pooled: DataFrame, refs: DataFrame, key: str = "analysis_id
     )
 
 
-def reference_index(segments: DataFrame, key: str = "filename", width: int = C.EMBEDDING_WIDTH) -> DataFrame:
+def reference_index(segments: DataFrame, key: str = "filename") -> DataFrame:
     """Reference entries from segment vectors (filename, embedding): pooled per
     file, with site and country taken from the file name."""
-    pooled = embedding.mean_pool(segments, key, "embedding", width)
+    pooled = embedding.mean_pool(segments, key)
     parsed = pooled.withColumn("_p", fields.filename_parts(F.col(key)))
     return parsed.select(
         F.xxhash64(key).alias("ref_id"), F.col(key).alias("filename"), "_p.site_id", "_p.country", "_p.site_type",

@@ -12,12 +12,24 @@ from shoalsong.sources import wav
 
 # Seconds and rates scaled to the event table: 4 samples a second, windows of 16.
 SPEC = SegmentSpec(rate=4, seconds=4.0, min_seconds=7.5, max_seconds=36.0)
-WIDTH = 64
 SIZE_LIMIT = 5000
 
 
+# Declared, so that no job has to read file footers for a schema.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(selector: Column, *values: str) -> Column:
@@ -51,7 +63,7 @@ def segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.mean_pool(segment_vectors(spark, sf_dir), "analysis_id", max_width=WIDTH)
+    return embedding.mean_pool(segment_vectors(spark, sf_dir), "analysis_id")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ def long(column: str | Column, name: str | None = None) -> Column:
 
 def entries(df: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
     """A vector column as rows (pos, value)."""
-    return df.select(*keys, F.posexplode(vector).alias("pos", "value")).select(*keys, long("pos"), r6("value"))
+    unfolded = df.select(*keys, F.posexplode_outer(vector).alias("pos", "value"))
+    return unfolded.where(F.col("pos").isNotNull()).select(*keys, long("pos"), r6("value"))
 
 
 # --- Sources and sinks -------------------------------------------------------
@@ -121,7 +122,7 @@ def _site_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def build_ref_index(spark, sf_dir):
     folder = workspace.new_folder(spark, "references")
-    tables.write_references(analysis.reference_index(_site_segments(spark, sf_dir), width=B.WIDTH), folder)
+    tables.write_references(analysis.reference_index(_site_segments(spark, sf_dir)), folder)
     index = tables.load_references(spark, folder)
     return entries(index, "filename", "site_id", "country", "site_type", "num_segments")
 
@@ -486,12 +487,12 @@ def _with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_with_fallback(spark, sf_dir):
-    return entries(embedding.pool_with_fallback(_with_faults(spark, sf_dir), KEY, max_width=B.WIDTH), KEY, "synthetic", "num_segments")
+    return entries(embedding.pool_with_fallback(_with_faults(spark, sf_dir), KEY), KEY, "synthetic", "num_segments")
 
 
 @query
 def embedding_summary(spark, sf_dir):
-    pooled = embedding.pool_with_fallback(_with_faults(spark, sf_dir), KEY, max_width=B.WIDTH)
+    pooled = embedding.pool_with_fallback(_with_faults(spark, sf_dir), KEY)
     return embedding.embedding_summary(pooled, KEY).select(
         KEY, long("dimension"), "num_segments", "aggregation", "synthetic")
 
@@ -542,7 +543,7 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def class_probabilities(spark, sf_dir):
-    return _classified(spark, sf_dir).select(KEY, F.explode("probabilities").alias("c")).select(
+    return _classified(spark, sf_dir).select(KEY, F.explode_outer("probabilities").alias("c")).select(
         KEY, F.col("c.status").alias("status"), r6("c.p", "probability"))
 
 
@@ -685,7 +686,9 @@ def index_build_stats(spark, sf_dir):
 def analyse_recordings(spark, sf_dir):
     """Files to labels: decode, cut, describe, pool, index the same files as references, classify."""
     checked, _ = analysis.check_files(B.wav_files(spark, sf_dir).drop("recording_id"), B.SPEC)
-    pooled = analysis.embed_files(checked, B.SPEC, _block_means, width=4, noise=False)
+    folder = workspace.new_folder(spark, "pooled")
+    analysis.embed_files(checked, B.SPEC, _block_means, width=4, noise=False).write.parquet(folder)
+    pooled = spark.read.parquet(folder)
     parts = fields.filename_parts(F.col("recording_id"))
     refs = pooled.select(
         F.xxhash64("recording_id").alias("ref_id"), F.col("recording_id").alias("filename"),
@@ -699,8 +702,7 @@ def analyse_recordings(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = B.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(B.TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _folders(spark: SparkSession) -> tuple[str, str]:

@@ -51,6 +51,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     from pyspark.sql import SparkSession
 
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
              .config("spark.sql.shuffle.partitions", "8").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, oracle, bad = connect(sf_dir), entry.oracle_sql(), 0
