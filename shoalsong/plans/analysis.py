@@ -21,24 +21,20 @@ def check_files(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE
 
 
 def segments_of(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
-    """Segments of all valid files; a file that fails while cut is a row with an error."""
-    checked, _ = check_files(files, spec, max_bytes)
-    return wav.cut_segments(checked.where(F.col("error_code").isNull()), spec)
+    """One pass over the files: a row per segment, and a row with an error for
+    every file that yields none. Written once, the two kinds are read apart by
+    `good_segments` and `dead_letters`."""
+    checked, oversized = check_files(files, spec, max_bytes)
+    too_large = oversized.select(corpus.file_name(F.col("path")).alias("recording_id"), "error_code", "error")
+    return wav.cut_segments(checked, spec).unionByName(too_large, allowMissingColumns=True)
 
 
-def dead_letters(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
-    """Every file that yields no segments, with its code and reason.
+def good_segments(segments: DataFrame) -> DataFrame:
+    return segments.where(F.col("error_code").isNull()).drop("error_code", "error")
 
-    Cutting is attempted as well, so faults beyond the header are included.
-    """
-    checked, oversized = check_files(files, spec, max_bytes)
-    rejected = checked.where(F.col("error_code").isNotNull()).select("recording_id", "error_code", "error")
-    failed = (
-        wav.cut_segments(checked.where(F.col("error_code").isNull()), spec)
-        .where(F.col("error_code").isNotNull()).select("recording_id", "error_code", "error")
-    )
-    too_large = oversized.select(corpus.file_name(F.col("path")).alias("recording_id"), "error_code", "error")
-    return rejected.unionByName(failed).unionByName(too_large)
+
+def dead_letters(segments: DataFrame) -> DataFrame:
+    return segments.where(F.col("error_code").isNotNull()).select("recording_id", "error_code", "error")
 
 
 def embed_files(

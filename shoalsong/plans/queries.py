@@ -369,8 +369,8 @@ def dead_letter(spark, sf_dir):
                        F.expr("substring(content, 1, length(content) - 1)"),
                        F.substring("content", 1, 36), F.col("content"))
     strict = C.SegmentSpec(rate=4, seconds=4.0, min_seconds=12.0, max_seconds=24.0)
-    return analysis.dead_letters(damaged.drop("recording_id"), strict, max_bytes=190).select(
-        F.col("recording_id").alias("filename"), "error_code")
+    segments = analysis.segments_of(damaged.drop("recording_id"), strict, max_bytes=190)
+    return analysis.dead_letters(segments).select(F.col("recording_id").alias("filename"), "error_code")
 
 
 @query
@@ -721,7 +721,7 @@ def stream_ingest(spark, sf_dir):
 @query
 def stream_features(spark, sf_dir):
     folder = _export(spark, B.wav_files(spark, sf_dir))
-    segments = jobs.segments(jobs.ingest(spark, folder), B.SPEC).where(F.col("error_code").isNull()).select(
+    segments = analysis.good_segments(jobs.segments(jobs.ingest(spark, folder), B.SPEC)).select(
         F.col("recording_id").alias("filename"), "segment_idx", "samples")
     described = features.segment_features(segments, B.SPEC.rate)
     path, progress = _folders(spark)

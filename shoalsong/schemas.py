@@ -11,16 +11,17 @@ RECORDING_FILE = T.StructType([
     T.StructField("content", T.BinaryType()),
 ])
 
-# What a header parse yields; error_code is null for a readable file.
+# What a header parse adds to a file; error_code is null for a readable one.
 WAV_HEADER = T.StructType([
-    T.StructField("error_code", T.StringType()),
-    T.StructField("error", T.StringType()),
-    T.StructField("audio_format", T.IntegerType()),
-    T.StructField("channels", T.IntegerType()),
-    T.StructField("sample_rate", T.IntegerType()),
-    T.StructField("bits", T.IntegerType()),
+    T.StructField("audio_format", T.LongType()),
+    T.StructField("channels", T.LongType()),
+    T.StructField("sample_rate", T.LongType()),
+    T.StructField("bits", T.LongType()),
     T.StructField("data_offset", T.LongType()),
     T.StructField("data_bytes", T.LongType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("error_code", T.StringType()),
+    T.StructField("frames", T.LongType()),
 ])
 
 SEGMENT = T.StructType([
@@ -28,7 +29,7 @@ SEGMENT = T.StructType([
     T.StructField("segment_idx", T.IntegerType()),
     T.StructField("samples", T.ArrayType(T.FloatType())),
     T.StructField("sample_rate", T.IntegerType()),
-    T.StructField("original_sample_rate", T.IntegerType()),
+    T.StructField("original_sample_rate", T.LongType()),
     T.StructField("total_duration", T.DoubleType()),
     T.StructField("num_segments", T.IntegerType()),
     T.StructField("error_code", T.StringType()),

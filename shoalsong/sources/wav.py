@@ -25,79 +25,80 @@ HEADER_BYTES = 44
 PCM_BITS = (8, 16, 32)
 
 
-def _parse_header(content: memoryview) -> dict:
-    """Walk the chunks up to the data chunk; positions only, no samples."""
+# Hexadecimal shape of the common 44-byte header: RIFF, size, WAVE, "fmt " of 16
+# bytes, "data".
+PLAIN_HEADER = "^52494646.{8}57415645666D742010000000.{32}64617461.{8}$"
+
+
+def _find_chunks(content: memoryview, length: int) -> dict:
+    """Walk the chunks up to the data chunk of a file of `length` bytes, of which
+    `content` holds at least everything before the samples."""
     if bytes(content[:4]) != b"RIFF":
         return {"error": "missing RIFF header"}
     if bytes(content[8:12]) != b"WAVE":
         return {"error": "missing WAVE marker"}
-    found, at, end = {}, 12, len(content)
-    while at + 8 <= end:
+    found, at = {}, 12
+    while at + 8 <= length:
         name = bytes(content[at:at + 4])
         size = int.from_bytes(content[at + 4:at + 8], "little")
         body = at + 8
-        if name == b"fmt " and size >= 16 and body + 16 <= end:
+        if name == b"fmt " and size >= 16 and body + 16 <= length:
             kind, channels, rate = struct.unpack_from("<HHI", content, body)
             bits = struct.unpack_from("<H", content, body + 14)[0]
-            if kind == EXTENSIBLE and size >= 26 and body + 26 <= end:
+            if kind == EXTENSIBLE and size >= 26 and body + 26 <= length:
                 kind = struct.unpack_from("<H", content, body + 24)[0]
             found = {"audio_format": kind, "channels": channels, "sample_rate": rate, "bits": bits}
         elif name == b"data":
             if not found:
                 return {"error": "missing format chunk"}
-            return {**found, "data_offset": body, "data_bytes": min(size, end - body)}
+            return {**found, "data_offset": body, "data_bytes": min(size, length - body)}
         at = body + size + size % 2
     return {**found, "error": "missing data chunk" if found else "missing format chunk"}
 
 
-def _header_error(h: dict) -> str | None:
-    if "error" in h:
-        return h["error"]
-    if h["channels"] < 1 or h["sample_rate"] < 1:
-        return "no channels or no sample rate"
-    if h["audio_format"] == IEEE_FLOAT and h["bits"] == 32:
-        return None
-    if h["audio_format"] != PCM:
-        return f"unsupported audio format {h['audio_format']}"
-    if h["bits"] not in PCM_BITS:
-        return f"unsupported bit depth: {h['bits']}-bit"
-    return None
+def _judge(header: dict) -> dict:
+    """Add error, error_code and frames."""
+    kind, bits = header.get("audio_format"), header.get("bits")
+    if "error" in header:
+        reason = header["error"]
+    elif header["channels"] < 1 or header["sample_rate"] < 1:
+        reason = "no channels or no sample rate"
+    elif kind != PCM and not (kind == IEEE_FLOAT and bits == 32):
+        reason = f"unsupported audio format {kind}"
+    elif bits not in PCM_BITS:
+        reason = f"unsupported bit depth: {bits}-bit"
+    else:
+        frames, rest = divmod(header["data_bytes"], header["channels"] * bits // 8)
+        if rest:
+            return {**header, "error": "data ends inside a frame", "error_code": C.PROCESSING_FAILED}
+        return {**header, "frames": frames}
+    return {**header, "error": reason, "error_code": C.INVALID_AUDIO_FORMAT}
 
 
 def with_header(files: DataFrame, column: str = "content") -> DataFrame:
-    """Add the `schemas.WAV_HEADER` columns and `frames`; unreadable files get an
-    error_code, and an unexpected fault stays with its own row."""
+    """Add the `schemas.WAV_HEADER` columns; unreadable files get an error_code,
+    and an unexpected fault stays with its own row.
+
+    Of files with the plain header only its 44 bytes go to Python; the chunks
+    of the others can lie anywhere, so those are sent whole.
+    """
     arrow_type = pa.struct([
-        ("error_code", pa.string()), ("error", pa.string()), ("audio_format", pa.int32()),
-        ("channels", pa.int32()), ("sample_rate", pa.int32()), ("bits", pa.int32()),
-        ("data_offset", pa.int64()), ("data_bytes", pa.int64())])
+        (f.name, pa.string() if f.name.startswith("error") else pa.int64()) for f in schemas.WAV_HEADER.fields])
 
     @F.arrow_udf(schemas.WAV_HEADER)
-    def header(contents: pa.Array) -> pa.Array:
+    def header(contents: pa.Array, lengths: pa.Array) -> pa.Array:
         rows = []
-        for content in contents:
+        for content, length in zip(contents, lengths.to_pylist()):
             try:
-                buffer = content.as_buffer() if content.is_valid else b""
-                row = _parse_header(memoryview(buffer))
-                row["error"] = _header_error(row)
-                row["error_code"] = row["error"] and C.INVALID_AUDIO_FORMAT
+                view = memoryview(content.as_buffer() if content.is_valid else b"")
+                rows.append(_judge(_find_chunks(view, length or 0)))
             except Exception as problem:
-                row = {"error_code": C.PROCESSING_FAILED, "error": str(problem)}
-            rows.append(row)
+                rows.append({"error": str(problem), "error_code": C.PROCESSING_FAILED})
         return pa.array(rows, arrow_type)
 
-    frame_bytes = F.col("channels") * F.col("bits") / 8
-    torn = F.col("error_code").isNull() & (F.col("data_bytes") % frame_bytes != 0)
-    return (
-        files.withColumn("_h", header(column))
-        .select(*files.columns, "_h.*")
-        .withColumn("_torn", torn)
-        .withColumn("error", F.when(F.col("_torn"), F.lit("data ends inside a frame")).otherwise(F.col("error")))
-        .withColumn("error_code", F.when(F.col("_torn"), F.lit(C.PROCESSING_FAILED)).otherwise(F.col("error_code")))
-        .withColumn("frames", F.when(F.col("error_code").isNull(),
-                                     (F.col("data_bytes") / frame_bytes).cast("bigint")))
-        .drop("_torn")
-    )
+    start = F.substring(column, 1, HEADER_BYTES)
+    needed = F.when(F.hex(start).rlike(PLAIN_HEADER), start).otherwise(F.col(column))
+    return files.withColumn("_h", header(needed, F.length(column))).select(*files.columns, "_h.*")
 
 
 def format_error(content: Column) -> Column:
@@ -113,20 +114,21 @@ def format_error(content: Column) -> Column:
 def with_duration_check(headed: DataFrame, spec: SegmentSpec) -> DataFrame:
     """Add duration, n_resampled, num_segments; set error_code for bad durations."""
     frames, rate = F.col("frames"), F.col("sample_rate")
-    return (
-        headed.withColumn("duration", frames / rate)
-        .withColumn("n_resampled", validation.resampled_length(frames, rate, spec.rate))
-        .withColumn("num_segments", F.floor(F.col("n_resampled") / spec.samples).cast("int"))
-        .withColumn("error_code", F.coalesce(
-            "error_code",
-            validation.duration_error(F.col("duration"), spec),
-            F.when(F.col("num_segments") == 0, F.lit(C.AUDIO_TOO_SHORT))))
-        .withColumn("error", F.coalesce("error", F.when(
-            F.col("error_code") == C.AUDIO_TOO_SHORT,
-            F.format_string("%.2f s, at least %.2f s required", "duration", F.lit(float(spec.min_seconds)))).when(
-            F.col("error_code") == C.AUDIO_TOO_LONG,
-            F.format_string("%.2f s, at most %.2f s allowed", "duration", F.lit(float(spec.max_seconds))))))
-    )
+    timed = headed.select(
+        *[c for c in headed.columns if c not in ("error", "error_code")],
+        F.col("error").alias("_error"), F.col("error_code").alias("_code"),
+        (frames / rate).alias("duration"),
+        validation.resampled_length(frames, rate, spec.rate).alias("n_resampled"))
+    seconds, segments = F.col("duration"), F.floor(F.col("n_resampled") / spec.samples).cast("int")
+    too_short = F.format_string("%.2f s, at least %.2f s required", seconds, F.lit(float(spec.min_seconds)))
+    too_long = F.format_string("%.2f s, at most %.2f s allowed", seconds, F.lit(float(spec.max_seconds)))
+    return timed.select(
+        *[c for c in timed.columns if c not in ("_error", "_code")],
+        segments.alias("num_segments"),
+        F.coalesce("_code", validation.duration_error(seconds, spec),
+                   F.when(segments == 0, F.lit(C.AUDIO_TOO_SHORT))).alias("error_code"),
+        F.coalesce("_error", F.when(seconds > spec.max_seconds, too_long)
+                   .when((seconds < spec.min_seconds) | (segments == 0), too_short)).alias("error"))
 
 
 def data_bytes(column: str = "content") -> Column:
@@ -169,7 +171,7 @@ def cut_batches(spec: SegmentSpec, compat: bool = False):
     size, target = spec.samples, spec.rate
     arrow_schema = pa.schema([
         ("recording_id", pa.string()), ("segment_idx", pa.int32()), ("samples", pa.list_(pa.float32())),
-        ("sample_rate", pa.int32()), ("original_sample_rate", pa.int32()), ("total_duration", pa.float64()),
+        ("sample_rate", pa.int32()), ("original_sample_rate", pa.int64()), ("total_duration", pa.float64()),
         ("num_segments", pa.int32()), ("error_code", pa.string()), ("error", pa.string())])
     per_batch = max(1, (4 << 20) // size)
 
@@ -190,8 +192,12 @@ def cut_batches(spec: SegmentSpec, compat: bool = False):
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r] for name in batch.schema.names}
-                name, rate = row["recording_id"].as_py(), row["sample_rate"].as_py()
-                seconds, count = row["n_resampled"].as_py() / target, row["num_segments"].as_py()
+                name, rate, count = (row[c].as_py() for c in ("recording_id", "sample_rate", "num_segments"))
+                code, message = row["error_code"].as_py(), row["error"].as_py()
+                if code is not None:
+                    held.append((name, None, None, target, rate, None, None, code, message))
+                    continue
+                seconds = row["n_resampled"].as_py() / target
                 try:
                     for i, window in enumerate(windows(row)):
                         held.append((name, i, window, target, rate, seconds, count, None, None))
@@ -206,50 +212,55 @@ def cut_batches(spec: SegmentSpec, compat: bool = False):
     return run
 
 
-def signal_rows(valid: DataFrame, key: str = "recording_id") -> DataFrame:
-    """What `cut_batches` needs of files that passed `with_duration_check`."""
-    return valid.select(
-        F.col(key).cast("string").alias("recording_id"), data_bytes().alias("data"),
-        "sample_rate", "channels", "bits", "audio_format", "n_resampled", "num_segments")
+def signal_rows(checked: DataFrame, key: str = "recording_id") -> DataFrame:
+    """What `cut_batches` needs of checked files; no bytes of rejected ones."""
+    return checked.select(
+        F.col(key).cast("string").alias("recording_id"),
+        F.when(F.col("error_code").isNull(), data_bytes()).alias("data"),
+        "sample_rate", "channels", "bits", "audio_format", "n_resampled", "num_segments", "error_code", "error")
 
 
-def cut_segments(valid: DataFrame, spec: SegmentSpec, key: str = "recording_id", compat: bool = False) -> DataFrame:
-    """One row per segment of the recordings that passed `with_duration_check`.
+def cut_segments(checked: DataFrame, spec: SegmentSpec, key: str = "recording_id", compat: bool = False) -> DataFrame:
+    """One row per segment of files that went through `with_duration_check`.
 
     Each file is cut inside its own task, so segments never need a shuffle; a
-    window is resampled only when it is emitted. A recording that fails yields
-    a row with an error instead of failing the task. `compat=True` reads 8-bit
-    and 32-bit float files at the historical (wrong) scale.
+    window is resampled only when it is emitted. Nothing is lost: a rejected
+    file, or one that fails while being cut, is a row with an error instead of
+    samples. `compat=True` reads 8-bit and 32-bit float files at the historical
+    (wrong) scale.
     """
-    return signal_rows(valid, key).mapInArrow(cut_batches(spec, compat), schemas.SEGMENT)
+    return signal_rows(checked, key).mapInArrow(cut_batches(spec, compat), schemas.SEGMENT)
 
 
-def decode_samples(valid: DataFrame, key: str = "recording_id", chunk: int = 1 << 20, compat: bool = False) -> DataFrame:
+def decode_samples(checked: DataFrame, key: str = "recording_id", chunk: int = 1 << 20, compat: bool = False) -> DataFrame:
     """Normalised mono samples at the original rate, in array rows of at most
     `chunk` samples: (recording_id, start_idx, samples, sample_rate, error_code, error).
 
     `posexplode(samples)` turns them into the sample rows of `operators.signal`.
     """
+    def parts_of(row):
+        if row["error_code"].is_valid:
+            return [(None, None, row["error_code"].as_py(), row["error"].as_py())]
+        try:
+            signal = _mono(row["data"].as_buffer(), row["bits"].as_py(), row["audio_format"].as_py(),
+                           row["channels"].as_py(), compat)
+            return [(i, signal[i:i + chunk], None, None) for i in range(0, len(signal), chunk)]
+        except Exception as problem:
+            return [(None, None, C.PROCESSING_FAILED, str(problem))]
+
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r] for name in batch.schema.names}
-                head = row["recording_id"].as_py(), row["sample_rate"].as_py()
-                try:
-                    signal = _mono(row["data"].as_buffer(), row["bits"].as_py(), row["audio_format"].as_py(),
-                                   row["channels"].as_py(), compat)
-                    parts = [(i, signal[i:i + chunk], None, None) for i in range(0, len(signal), chunk)]
-                except Exception as problem:
-                    parts = [(None, None, C.PROCESSING_FAILED, str(problem))]
-                for start, samples, code, message in parts:
+                for start, samples, code, message in parts_of(row):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([head[0]], pa.string()), pa.array([start], pa.int64()),
-                         pa.array([samples], pa.list_(pa.float32())), pa.array([head[1]], pa.int32()),
+                        [pa.array([row["recording_id"].as_py()], pa.string()), pa.array([start], pa.int64()),
+                         pa.array([samples], pa.list_(pa.float32())), pa.array([row["sample_rate"].as_py()], pa.int64()),
                          pa.array([code], pa.string()), pa.array([message], pa.string())],
                         ["recording_id", "start_idx", "samples", "sample_rate", "error_code", "error"])
 
-    return signal_rows(valid, key).mapInArrow(
-        run, "recording_id string, start_idx bigint, samples array<float>, sample_rate int, "
+    return signal_rows(checked, key).mapInArrow(
+        run, "recording_id string, start_idx bigint, samples array<float>, sample_rate bigint, "
              "error_code string, error string")
 
 

@@ -9,6 +9,8 @@ not show twice.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,8 +63,24 @@ def status_updates(log: DataFrame, key: str = "analysis_id") -> DataFrame:
     return status.with_status(status.status_flags(log, key))
 
 
+def _first_copies(keys: list[str]):
+    """Arrow step: the first row of each key within a batch."""
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).append_column("_row", pa.array(range(batch.num_rows), pa.int64()))
+            first = table.group_by(keys).aggregate([("_row", "min")]).column("_row_min")
+            yield batch.take(pc.take(first, pc.sort_indices(first)).combine_chunks())
+
+    return run
+
+
 def deduplicated(log: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """First delivery of each key; a copy is dropped if it comes within `delay`."""
+    """First delivery of each key; a copy is dropped if it comes within `delay`.
+
+    Copies that arrive in the same Arrow batch are dropped before the shuffle:
+    of a key redelivered without end, each batch sends one row to its task.
+    """
+    log = log.mapInArrow(_first_copies(keys), log.schema)
     return timed(log).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
