@@ -12,7 +12,10 @@ from shoalsong import schemas
 
 
 def scan_recordings(spark: SparkSession, folder: str) -> DataFrame:
-    """All .wav files below a folder; content is read only where it is used."""
+    """All .wav files below a folder; content is read only where it is used.
+
+    Spark's file scans pass over files of length zero.
+    """
     return (
         spark.read.format("binaryFile").schema(schemas.RECORDING_FILE)
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(folder)
