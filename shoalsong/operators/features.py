@@ -100,7 +100,7 @@ def feature_batches(names: list[str], sample_rate: int):
                        pa.array(np.abs(matrix).max(axis=1)),
                        pa.array(crossings.astype(np.int64)),
                        pa.array(crossings / n),
-                       pa.array(share @ np.fft.rfftfreq(n, 1.0 / sample_rate))],
+                       pa.array((share * np.fft.rfftfreq(n, 1.0 / sample_rate)).sum(axis=1))],
                     names + ["n", "rms", "peak", "zero_crossings", "zcr", "centroid"])
 
     return run
