@@ -36,9 +36,11 @@ def with_length_check(segments: DataFrame, samples: int, column: str = "samples"
     )
 
 
-def embed_batches(names: list[str], factory: ModelFactory, width: int, batch_rows: int = 32):
+def embed_batches(names: list[str], factory: ModelFactory | None, width: int, batch_rows: int = 32):
     """Arrow step: the columns `names` plus `embedding` and `error`.
 
+    Without a factory every embedding is null.
+
     The model is built once per task and sees `batch_rows` windows at a time. A
     failing batch is retried row by row, so one bad window fails alone; its
     embedding is null and the message kept.
@@ -53,7 +55,7 @@ def embed_batches(names: list[str], factory: ModelFactory, width: int, batch_row
             return [infer(model, [w])[0] for w in windows]
 
     def run(batches):
-        model, broken = None, None
+        model, broken = None, None if factory else "no model given"
         for batch in batches:
             for start in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(start, batch_rows)

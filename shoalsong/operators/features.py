@@ -38,24 +38,24 @@ def level_features(windowed: DataFrame) -> DataFrame:
     )
 
 
-def _windows(batch, column: str, most_values: int = 4 << 20):
-    """(row numbers, float64 matrix) groups of equal window length, of bounded size."""
-    arrays = batch.column(column)
-    lengths = np.diff(arrays.offsets.to_numpy())
-    for size in np.unique(lengths):
-        if size == 0:
-            continue
-        rows = np.flatnonzero(lengths == size)
+def _windows(batch, most_values: int = 1 << 17):
+    """(part of the batch, float64 matrix of its `samples`), windows of equal length together.
+
+    Parts are small enough for a core's cache: a long window comes alone, short
+    ones many at a time. Empty windows are left out.
+    """
+    lengths = np.diff(batch.column("samples").offsets.to_numpy())
+    for size in np.unique(lengths[lengths > 0]):
+        alike = batch if (lengths == size).all() else batch.filter(pa.array(lengths == size))
         step = max(1, most_values // int(size))
-        for start in range(0, len(rows), step):
-            part = rows[start:start + step]
-            flat = arrays.take(pa.array(part)).flatten()
-            yield part, flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), size)
+        for start in range(0, alike.num_rows, step):
+            part = alike.slice(start, step)
+            flat = part.column("samples").flatten().to_numpy(zero_copy_only=False)
+            yield part, flat.reshape(part.num_rows, size).astype(np.float64)
 
 
-def _spectra(matrix):
-    magnitude = np.abs(np.fft.rfft(matrix, axis=1))
-    return magnitude, magnitude / (magnitude.sum(axis=1, keepdims=True) + C.SPECTRUM_EPSILON)
+def _magnitudes(matrix):
+    return np.abs(np.fft.rfft(matrix, axis=1))
 
 
 def _passed_through(segments: DataFrame) -> tuple[list[str], str]:
@@ -66,18 +66,17 @@ def _passed_through(segments: DataFrame) -> tuple[list[str], str]:
 def magnitude_spectrum(segments: DataFrame, sample_rate: int) -> DataFrame:
     """Replace `samples` by arrays `frequency`, `magnitude` and `share` (one-sided)."""
     names, kept = _passed_through(segments)
+    vectors = pa.list_(pa.float64())
 
     def run(batches):
         for batch in batches:
-            for rows, matrix in _windows(batch, "samples"):
-                magnitude, share = _spectra(matrix)
-                bins = np.fft.rfftfreq(matrix.shape[1], 1.0 / sample_rate)
-                part = batch.take(pa.array(rows))
+            for part, matrix in _windows(batch):
+                magnitude = _magnitudes(matrix)
+                share = magnitude / (magnitude.sum(axis=1, keepdims=True) + C.SPECTRUM_EPSILON)
+                bins = [np.fft.rfftfreq(matrix.shape[1], 1.0 / sample_rate)] * len(matrix)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(n) for n in names]
-                    + [pa.array(list(np.broadcast_to(bins, magnitude.shape)), pa.list_(pa.float64())),
-                       pa.array(list(magnitude), pa.list_(pa.float64())),
-                       pa.array(list(share), pa.list_(pa.float64()))],
+                    + [pa.array(list(v), vectors) for v in (bins, magnitude, share)],
                     names + ["frequency", "magnitude", "share"])
 
     schema = kept + ", frequency array<double>, magnitude array<double>, share array<double>"
@@ -88,19 +87,20 @@ def feature_batches(names: list[str], sample_rate: int):
     """Arrow step: the columns `names` plus the features of `samples`."""
     def run(batches):
         for batch in batches:
-            for rows, matrix in _windows(batch, "samples"):
+            for part, matrix in _windows(batch):
                 n = matrix.shape[1]
-                _, share = _spectra(matrix)
-                crossings = (np.diff(np.sign(matrix), axis=1) != 0).sum(axis=1)
-                part = batch.take(pa.array(rows))
+                magnitude = _magnitudes(matrix)
+                weighted = (magnitude * np.fft.rfftfreq(n, 1.0 / sample_rate)).sum(axis=1)
+                signs = (matrix > 0).view(np.int8) - (matrix < 0).view(np.int8)
+                crossings = np.count_nonzero(signs[:, 1:] != signs[:, :-1], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in names]
-                    + [pa.array(np.full(len(rows), n, dtype=np.int64)),
-                       pa.array(np.sqrt((matrix * matrix).mean(axis=1))),
-                       pa.array(np.abs(matrix).max(axis=1)),
+                    + [pa.array(np.full(len(matrix), n, dtype=np.int64)),
+                       pa.array(np.sqrt(np.einsum("ij,ij->i", matrix, matrix) / n)),
+                       pa.array(np.maximum(matrix.max(axis=1), -matrix.min(axis=1))),
                        pa.array(crossings.astype(np.int64)),
                        pa.array(crossings / n),
-                       pa.array((share * np.fft.rfftfreq(n, 1.0 / sample_rate)).sum(axis=1))],
+                       pa.array(weighted / (magnitude.sum(axis=1) + C.SPECTRUM_EPSILON))],
                     names + ["n", "rms", "peak", "zero_crossings", "zcr", "centroid"])
 
     return run

@@ -52,10 +52,11 @@ def embed_files(
     of them when there is no model.
     """
     names = ["recording_id", "segment_idx"]
+    carried = names if factory is None else names + ["samples"]
     cut = wav.cut_batches(spec)
-    measure = features.feature_batches(names + ["samples"], spec.rate)
-    describe = features.vector_batches(names + ["samples"], width // 4, noise)
-    infer = embedding.embed_batches(names + ["feature_embedding"], factory or _no_model, width)
+    measure = features.feature_batches(carried, spec.rate)
+    describe = features.vector_batches(carried, width // 4, noise)
+    infer = embedding.embed_batches(names + ["feature_embedding"], factory, width)
 
     def run(batches):
         return infer(describe(measure(cut(batches))))
@@ -66,10 +67,6 @@ def embed_files(
     return embedding.pool_with_fallback(vectors, "recording_id")
 
 
-def _no_model():
-    raise RuntimeError("no model given")
-
-
 def _stored(value: Column) -> Column:
     return F.round(value, C.STORED_DECIMALS)
 

@@ -155,15 +155,21 @@ def _mono(data, bits: int, audio_format: int, channels: int, compat: bool):
     return (mixed / peak if peak > 0 else mixed).astype(np.float32)
 
 
-def _interpolate(signal, n_out: int, rate: int, target: int, start: int, stop: int):
-    """Resampled values [start, stop) of the half-open grid, so that a long
-    recording is resampled window by window."""
-    position = np.arange(start, min(stop, n_out), dtype=np.int64) * rate / target
+def _grid(rate: int, target: int, start: int, stop: int):
+    """Source index and fraction of the output positions [start, stop)."""
+    position = np.arange(start, stop, dtype=np.int64) * rate / target
     at = position.astype(np.int64)
-    share = position - at
-    at = np.clip(at, 0, max(len(signal) - 2, 0))
-    after = np.minimum(at + 1, len(signal) - 1)
-    return (signal[at] * (1 - share) + signal[after] * share).astype(np.float32)
+    return at, position - at
+
+
+def _interpolate(signal, at, share):
+    """Half-open linear interpolation; the fraction was taken before the index
+    is moved off the last sample."""
+    if len(at) and at[-1] > len(signal) - 2:
+        at = np.minimum(at, max(len(signal) - 2, 0))
+    low = signal[at]
+    high = signal[np.minimum(at + 1, len(signal) - 1)] if len(signal) < 2 else signal[at + 1]
+    return (low * (1 - share) + high * share).astype(np.float32)
 
 
 def cut_batches(spec: SegmentSpec, compat: bool = False):
@@ -175,13 +181,26 @@ def cut_batches(spec: SegmentSpec, compat: bool = False):
         ("num_segments", pa.int32()), ("error_code", pa.string()), ("error", pa.string())])
     per_batch = max(1, (4 << 20) // size)
 
+    # Only the grid of the latest rate is kept.
+    first_grids = {}
+
+    def grid(rate, i):
+        """Where a window spans a whole number of source samples, all windows
+        of a rate share the grid of the first, moved along."""
+        if size * rate % target:
+            return _grid(rate, target, i * size, (i + 1) * size)
+        if rate not in first_grids:
+            first_grids.clear()
+            first_grids[rate] = _grid(rate, target, 0, size)
+        at, share = first_grids[rate]
+        return at + i * (size * rate // target), share
+
     def windows(row):
         signal = _mono(row["data"].as_buffer(), row["bits"].as_py(), row["audio_format"].as_py(),
                        row["channels"].as_py(), compat)
-        rate, n_out = row["sample_rate"].as_py(), row["n_resampled"].as_py()
+        rate = row["sample_rate"].as_py()
         for i in range(row["num_segments"].as_py()):
-            start, stop = i * size, (i + 1) * size
-            yield signal[start:stop] if rate == target else _interpolate(signal, n_out, rate, target, start, stop)
+            yield signal[i * size:(i + 1) * size] if rate == target else _interpolate(signal, *grid(rate, i))
 
     def emit(records):
         arrays = [pa.array(values, field.type) for values, field in zip(zip(*records), arrow_schema)]
