@@ -192,32 +192,58 @@ def _pack(vectors: DataFrame, id_column: str, keys: list[str], rows: int) -> Dat
     return vectors.select(id_column, *head, "embedding").mapInArrow(run, schema)
 
 
+def _best_per_row(scores, ref_ids, k: int):
+    """(rows, references, scores) of the k highest scores of each row, exact.
+
+    Scores are compared to 12 places, so equal references tie whatever order
+    the product summed in, and ties go to the lower id.
+    """
+    n = scores.shape[1]
+    keep = min(k, n)
+    # The k-th highest of the group maxima is a lower bound of the k-th highest score.
+    group = max(1, min(64, n // (8 * k)))
+    maxima = np.maximum.reduceat(scores, np.arange(0, n, group), axis=1)
+    last = maxima.shape[1] - keep
+    floor = np.partition(maxima, last, axis=1)[:, last]
+    hits = np.flatnonzero(scores >= (floor - 1e-9)[:, None])
+    rows, columns = hits // n, hits % n
+    values = np.round(scores.ravel()[hits], 12)
+    return _first_k(rows, ref_ids[columns], values, keep)
+
+
+def _first_k(rows, references, scores, k: int):
+    order = np.lexsort((references, -scores, rows))
+    rows = rows[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[best], references[order][best], scores[order][best]
+
+
 def _nearest_in_blocks(k: int):
-    """Arrow function: per pair of matrices, the k best references of each row."""
+    """Arrow function: the k best references of each row of a matrix, over the
+    consecutive reference matrices it is paired with."""
+
+    def result(ids, found):
+        rows, references, scores = found
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[rows]), pa.array(references), pa.array(scores)], ["id", "ref_id", "similarity"])
 
     def run(batches):
+        held_ids, held = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                width = row["dim"]
-                ids = np.array(row["ids"], dtype=np.int64)
-                ref_ids = np.array(row["ref_ids"], dtype=np.int64)
-                left = np.frombuffer(row["matrix"]).reshape(-1, width)
-                right = np.frombuffer(row["ref_matrix"]).reshape(-1, width)
-                # Equal references must tie, whatever order the product summed in.
-                scores = np.round(left @ right.T, 12)
-                keep = min(k, len(ref_ids))
-                floor = np.partition(scores, len(ref_ids) - keep, axis=1)[:, len(ref_ids) - keep]
-                found_ids, found_refs, found_scores = [], [], []
-                for i in range(len(ids)):
-                    candidates = np.flatnonzero(scores[i] >= floor[i])
-                    order = np.lexsort((ref_ids[candidates], -scores[i][candidates]))[:keep]
-                    found_ids.extend([ids[i]] * len(order))
-                    found_refs.extend(ref_ids[candidates][order])
-                    found_scores.extend(scores[i][candidates][order])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found_ids, pa.int64()), pa.array(found_refs, pa.int64()),
-                     pa.array(found_scores, pa.float64())],
-                    ["id", "ref_id", "similarity"])
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                width = row["dim"].as_py()
+                ids, ref_ids = (row[c].values.to_numpy() for c in ("ids", "ref_ids"))
+                left, right = (np.frombuffer(row[c].as_buffer()).reshape(-1, width) for c in ("matrix", "ref_matrix"))
+                found = _best_per_row(left @ right.T, ref_ids, k)
+                if held is not None and np.array_equal(held_ids, ids):
+                    held = _first_k(*(np.concatenate(pair) for pair in zip(held, found)), k)
+                    continue
+                if held is not None:
+                    yield result(held_ids, held)
+                held_ids, held = ids.copy(), found
+        if held is not None:
+            yield result(held_ids, held)
 
     return run
 
@@ -235,8 +261,8 @@ def nearest_references(
     Runs one small aggregation to learn the size of the reference matrix. Up to
     `broadcast_bytes` it is broadcast. Beyond, the references are hashed into
     blocks of about `block_bytes` and every recording matrix visits each block:
-    an equi-join on (block, lane, width), where lanes copy the blocks so that
-    there are enough tasks. Either way k rows per recording and block leave the
+    an equi-join on (block, lane, width). A recording matrix belongs to one lane
+    and each lane has a copy of every block, so that there are enough tasks. Either way k rows per recording and block leave the
     product, and ties go to the lower ref_id. `key` must be a bigint.
     """
     spark = pooled.sparkSession
@@ -253,9 +279,11 @@ def nearest_references(
     else:
         blocks = -(-matrix_bytes // block_bytes)
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        lanes = max(1, -(-tasks // blocks))
+        # Several (block, lane) cells per task even out how cells hash to tasks.
+        lanes = max(1, -(-4 * tasks // blocks))
         left = (
-            _pack(rows.withColumn("lane", F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")), key, ["lane"], 1024)
+            _pack(rows, key, [], 1024)
+            .withColumn("lane", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(lanes)).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         )
         hashed = entries.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"))
