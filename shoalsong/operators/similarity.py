@@ -8,6 +8,9 @@ of e.r / |e||r|, which is unit(e) . mean(unit(r)). So classification needs one
 mean unit vector per category and width and never forms a recording-reference
 pair. Only the nearest-site report has to look at single references; it does so
 by block matrix products that emit k rows per recording and block.
+
+A reference with a NaN or infinite entry is not comparable and left out; a
+recording with one has no label and no nearest references.
 """
 
 from __future__ import annotations
@@ -39,11 +42,16 @@ def pool_by_site(refs: DataFrame) -> DataFrame:
         "num_segments", "embedding")
 
 
+def finite(refs: DataFrame) -> DataFrame:
+    """References that can be compared."""
+    return refs.where(F.expr("size(embedding) > 0 AND forall(embedding, x -> abs(x) < double('infinity'))"))
+
+
 def comparable_references(pooled: DataFrame, refs: DataFrame, key: str = "recording_id") -> DataFrame:
     """How many references each recording is compared with, in all and by category."""
     # At most one row per vector width, and widths are bounded by MAX_WIDTH.
     per_width = (
-        refs.select(V.width(F.col("embedding")).alias("dim"), "site_type")
+        finite(refs).select(V.width(F.col("embedding")).alias("dim"), "site_type")
         .groupBy("dim")
         .agg(F.count(F.lit(1)).alias("comparable"),
              F.count_if(F.col("site_type").isin(CODES)).alias("categorised"))
@@ -62,7 +70,7 @@ def category_vectors(refs: DataFrame) -> DataFrame:
 
     At most MAX_WIDTH rows of four vectors whatever the number of references.
     """
-    units = refs.where(F.col("site_type").isin(CODES) & (F.size("embedding") > 0)).select(
+    units = finite(refs.where(F.col("site_type").isin(CODES))).select(
         V.width(F.col("embedding")).alias("width"), "site_type", V.unit(F.col("embedding")).alias("vector"))
     return mean_pool(units, "width", "site_type", vector="vector").groupBy(F.col("width").alias("dim")).agg(
         F.map_from_entries(F.collect_list(F.struct("site_type", "vector"))).alias("vectors"))
@@ -145,9 +153,10 @@ def classify(pooled: DataFrame, refs: DataFrame,
             array_max(transform(probabilities, (c, i) -> named_struct(
                 'p', if(isnan(c.p), NULL, c.p), 'order', -i, 'status', c.status))) AS _best"""))
     return ranked.select(
-        *kept, "probabilities", F.col("_best.status").alias("label"), F.col("_best.p").alias("confidence"),
+        *kept, "probabilities", F.expr("if(_best.p IS NULL, NULL, _best.status) AS label"),
+        F.col("_best.p").alias("confidence"),
         F.expr("""
-            _any AND _total > 0 AND exists(categories, c -> c.similarity IS NOT NULL)
+            _any AND _total > 0 AND NOT isnan(_total) AND exists(categories, c -> c.similarity IS NOT NULL)
             AND forall(_scores, s -> s >= 0) AS valid"""))
 
 
@@ -266,10 +275,9 @@ def nearest_references(
     product, and ties go to the lower ref_id. `key` must be a bigint.
     """
     spark = pooled.sparkSession
-    width = F.size("embedding")
-    entries = refs.where(width > 0).select("ref_id", V.width(F.col("embedding")).alias("dim"), "embedding")
+    entries = finite(refs).select("ref_id", V.width(F.col("embedding")).alias("dim"), "embedding")
     matrix_bytes = entries.agg(F.sum(F.col("dim").cast("bigint") * 8)).first()[0] or 0
-    rows = pooled.where(width > 0).select(key, V.width(F.col("embedding")).alias("dim"), "embedding")
+    rows = finite(pooled).select(key, V.width(F.col("embedding")).alias("dim"), "embedding")
     references = F.col("ids").alias("ref_ids"), F.col("matrix").alias("ref_matrix")
 
     if matrix_bytes <= broadcast_bytes:

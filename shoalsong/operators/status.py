@@ -61,6 +61,14 @@ def resolve_status(requests: DataFrame, log: DataFrame, key: str = "analysis_id"
     return with_status(joined.fillna(False, ["has_result", "has_preprocessed", "has_error"]), errors_first)
 
 
+def answers(requests: DataFrame, log: DataFrame, results: DataFrame, key: str = "analysis_id") -> DataFrame:
+    """Status of every request, with the result document where it is complete."""
+    documents = results.drop("status")
+    return resolve_status(requests, log, key).join(documents, key, "left").select(
+        key, "status", "error",
+        *[F.when(F.col("status") == "complete", F.col(c)).alias(c) for c in documents.columns if c != key])
+
+
 def matched_requests(requests: DataFrame, uploads: DataFrame, key: str = "upload_id") -> DataFrame:
     return requests.join(uploads.select(key), key, "left_semi")
 

@@ -10,7 +10,7 @@ from shoalsong.constants import SegmentSpec
 from shoalsong.functions import fields
 from shoalsong.functions import vectors as V
 from shoalsong.operators import embedding, features, similarity, validation
-from shoalsong.sources import corpus, wav
+from shoalsong.sources import corpus, tables, wav
 
 
 def check_files(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -37,19 +37,17 @@ def dead_letters(segments: DataFrame) -> DataFrame:
     return segments.where(F.col("error_code").isNotNull()).select("recording_id", "error_code", "error")
 
 
-def embed_files(
+def segment_vectors(
     checked: DataFrame,
     spec: SegmentSpec,
     factory: embedding.ModelFactory | None = None,
     width: int = C.EMBEDDING_WIDTH,
     noise: bool = True,
 ) -> DataFrame:
-    """Pooled embedding per valid file of `check_files`.
+    """(recording_id, segment_idx, feature_embedding, embedding, error) of the valid files.
 
     Cutting, features and inference run as one Arrow step, so windows of audio
     never return to the JVM: a file goes in, a few vectors per segment come out.
-    Feature vectors stand in for a recording whose inference failed, or for all
-    of them when there is no model.
     """
     names = ["recording_id", "segment_idx"]
     carried = names if factory is None else names + ["samples"]
@@ -61,10 +59,21 @@ def embed_files(
     def run(batches):
         return infer(describe(measure(cut(batches))))
 
-    vectors = wav.signal_rows(checked.where(F.col("error_code").isNull())).mapInArrow(
+    return wav.signal_rows(checked.where(F.col("error_code").isNull())).mapInArrow(
         run, "recording_id string, segment_idx int, feature_embedding array<double>, "
              "embedding array<double>, error string")
-    return embedding.pool_with_fallback(vectors, "recording_id")
+
+
+def embed_files(
+    checked: DataFrame,
+    spec: SegmentSpec,
+    factory: embedding.ModelFactory | None = None,
+    width: int = C.EMBEDDING_WIDTH,
+    noise: bool = True,
+) -> DataFrame:
+    """Pooled embedding per valid file of `check_files`. Feature vectors stand in
+    for a recording whose inference failed, or for all of them without a model."""
+    return embedding.pool_with_fallback(segment_vectors(checked, spec, factory, width, noise), "recording_id")
 
 
 def _stored(value: Column) -> Column:
@@ -83,6 +92,11 @@ def result_documents(pooled: DataFrame, refs: DataFrame, key: str = "analysis_id
                                s["country"].alias("country"), s["status"].alias("status"))).alias("similar_sites"))
     )
     synthetic = F.col("synthetic") if "synthetic" in pooled.columns else F.lit(False)
+    # At most ten points, so they fit in one value.
+    points = similarity.reference_points(refs).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("ref_id", "site_id", "x", "y", "status"))),
+        lambda p: F.struct(p["site_id"].alias("site_id"), _stored(p["x"]).alias("x"), _stored(p["y"]).alias("y"),
+                           p["status"].alias("status"))).alias("points")).scalar()
     probabilities = F.map_from_entries(F.transform(
         "probabilities", lambda c: F.struct(c["status"].alias("key"), _stored(c["p"]).alias("value"))))
     return scored.join(sites, key, "left").select(
@@ -94,9 +108,10 @@ def result_documents(pooled: DataFrame, refs: DataFrame, key: str = "analysis_id
             "array<struct<site_id:string,similarity:double,country:string,status:string>>")).alias("similar_sites"),
         F.struct(F.lit("projection_2d").alias("type"),
                  F.struct(_stored(F.col("x")).alias("x"), _stored(F.col("y")).alias("y")).alias("coordinates"),
-                 ).alias("visualization"),
+                 points.alias("reference_sites")).alias("visualization"),
         F.struct(V.width(F.col("embedding")).alias("dimension"), F.col("num_segments"),
                  F.lit("mean").alias("aggregation"), synthetic.alias("synthetic")).alias("embedding_summary"),
+        F.current_timestamp().alias("completed_at"),
         fields.caveat(synthetic).alias("caveats"),
     )
 
@@ -109,3 +124,28 @@ def reference_index(segments: DataFrame, key: str = "filename") -> DataFrame:
     return parsed.select(
         F.xxhash64(key).alias("ref_id"), F.col(key).alias("filename"), "_p.site_id", "_p.country", "_p.site_type",
         "num_segments", "embedding")
+
+
+def build_reference_tables(files: DataFrame, spec: SegmentSpec, factory: embedding.ModelFactory, path: str,
+                           width: int = C.EMBEDDING_WIDTH) -> DataFrame:
+    """Embed a reference corpus into two tables below `path`: the vectors of each
+    file's segments, and the index of pooled entries. Runs the job.
+
+    Returns one row per file seen (country, site_type, num_segments), 0 for files
+    that were rejected or of which a segment failed: those are not in the index.
+    """
+    spark = files.sparkSession
+    checked, _ = check_files(files, spec)
+    segment_vectors(checked, spec, factory, width).drop("feature_embedding").write.mode("overwrite").parquet(
+        f"{path}/segments")
+    vectors = spark.read.schema(
+        "recording_id string, segment_idx int, embedding array<double>, error string").parquet(f"{path}/segments")
+    broken = vectors.where(F.col("embedding").isNull()).select("recording_id").distinct()
+    whole = vectors.join(broken, "recording_id", "left_anti")
+    tables.write_references(reference_index(whole.withColumnRenamed("recording_id", "filename")), f"{path}/index")
+    index = tables.load_references(spark, f"{path}/index")
+    seen = files.select(corpus.file_name(F.col("path")).alias("filename"))
+    named = seen.join(index.select("filename", "num_segments"), "filename", "left").withColumn(
+        "_p", fields.filename_parts(F.col("filename")))
+    return named.select("filename", "_p.country", "_p.site_type",
+                        F.coalesce("num_segments", F.lit(0)).cast("bigint").alias("num_segments"))

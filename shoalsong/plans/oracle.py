@@ -234,6 +234,13 @@ SELECT 'n' || label || '_' || code || label || '_20230207_' || part || '.wav' AS
        count(*) AS num_segments, pos::BIGINT AS pos, {r6('avg(x)', 'value')}
 FROM flat GROUP BY label, code, part, pos"""
 
+ORACLE["build_ref_tables"] = with_(SIGNALS, QUANTISED, _resampled("quantised"), SEGMENTS) + f""",
+quarters AS (SELECT recording_id, segment_idx, pos // 4 AS pos, avg(v) AS x FROM segments GROUP BY ALL)
+SELECT {NAME} AS filename, 'c' || recording_id % 7 AS country, {CODE.format('recording_id', 'X')} AS site_type,
+       count(*) AS num_segments, 'c' || recording_id % 7 || '_' || {CODE.format('recording_id', 'X')} || recording_id AS site_id,
+       pos, {r6('avg(x)', 'value')}
+FROM quarters GROUP BY recording_id, pos"""
+
 ORACLE["pool_refs_by_site"] = with_(REFS) + f""",
 flat AS (SELECT *, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM refs)
 SELECT min(ref_id) AS ref_id, site_id, country, site_type, count(*) AS num_segments, pos::BIGINT AS pos, {r6('avg(x)', 'value')}
@@ -243,7 +250,7 @@ ORACLE["job_log_append"] = with_(LOG) + "SELECT pk, sk, analysis_id, analysis_id
 
 ORACLE["lookup_items"] = with_(LOG) + "SELECT pk, sk, event_id, status FROM log WHERE sk = 'RESULT'"
 
-ORACLE["result_documents"] = with_(VECTORS, REFS, POOLED, PAIRS, CLASSES, TOP, POINTS) + f""",
+ORACLE["result_documents"] = with_(VECTORS, REFS, POOLED, PAIRS, CLASSES, TOP, POINTS, REF_POINTS) + f""",
 wide AS (
   SELECT analysis_id, {', '.join(f"round(max(p) FILTER (status = '{s}'), 6) + 0.0 AS p_{s}" for s in ('healthy', 'degraded', 'restored_early', 'restored_mid'))}
   FROM probs GROUP BY 1),
@@ -251,7 +258,9 @@ best AS (
   SELECT analysis_id, {', '.join(f'max(site_id) FILTER (rank = {i}) AS site_{i}, round(max(similarity) FILTER (rank = {i}), 6) + 0.0 AS similarity_{i}' for i in (1, 2, 3))}
   FROM top GROUP BY 1)
 SELECT analysis_id, 'complete' AS status, label, {r6('confidence', 'confidence')}, wide.* EXCLUDE (analysis_id),
-       best.* EXCLUDE (analysis_id), 'projection_2d' AS type, {r6('x', 'x')}, {r6('y', 'y')},
+       best.* EXCLUDE (analysis_id), 'projection_2d' AS type,
+       (SELECT site_id FROM ref_points ORDER BY ref_id DESC LIMIT 1) AS tenth_point,
+       (SELECT round(x, 6) + 0.0 FROM ref_points ORDER BY ref_id DESC LIMIT 1) AS tenth_x, {r6('x', 'x')}, {r6('y', 'y')},
        len(embedding)::BIGINT AS dimension, num_segments, 'mean' AS aggregation, false AS synthetic,
        'Classification based on acoustic similarity to reference sites. Not a definitive health diagnosis. Complements but does not replace visual surveys.' AS caveats
 FROM pooled JOIN labels USING (analysis_id) JOIN wide USING (analysis_id) JOIN best USING (analysis_id) JOIN points USING (analysis_id)"""
@@ -531,6 +540,16 @@ SELECT DISTINCT u.analysis_id AS upload_id, a.analysis_id,
 FROM log u LEFT JOIN log a ON a.analysis_id = u.analysis_id AND a.sk = 'PREPROCESSED'
 LEFT JOIN log r ON r.analysis_id = a.analysis_id AND r.sk = 'RESULT' WHERE u.sk = 'METADATA'"""
 
+ORACLE["status_answers"] = with_(LOG.replace("FROM events)", "FROM events UNION SELECT vec_id // 4 FROM embeddings)"), VECTORS, REFS, POOLED, PAIRS, CLASSES) + f""",
+last_error AS (
+  SELECT analysis_id, error FROM log WHERE sk = 'ERROR'
+  QUALIFY row_number() OVER (PARTITION BY analysis_id ORDER BY ts DESC, event_id DESC) = 1),
+states AS (SELECT analysis_id, CASE {_COMPLETE} {_PROCESSING} {_FAILED} ELSE 'not_found' END AS status FROM requests r)
+SELECT analysis_id, status, CASE status WHEN 'failed' THEN error WHEN 'not_found' THEN 'ANALYSIS_NOT_FOUND' END AS error,
+       CASE status WHEN 'complete' THEN label END AS label,
+       CASE status WHEN 'complete' THEN round(confidence, 6) + 0.0 END AS confidence
+FROM states LEFT JOIN last_error USING (analysis_id) LEFT JOIN labels USING (analysis_id)"""
+
 # --- Reports -----------------------------------------------------------------
 
 ORACLE["status_counts"] = with_(SITES) + "SELECT status, count(*) AS sites FROM sites GROUP BY 1"

@@ -127,6 +127,16 @@ def build_ref_index(spark, sf_dir):
     return entries(index, "filename", "site_id", "country", "site_type", "num_segments")
 
 
+@query
+def build_ref_tables(spark, sf_dir):
+    """The index from recording files, by way of the stored segment vectors."""
+    folder = workspace.new_folder(spark, "reference_tables")
+    files = B.wav_files(spark, sf_dir).drop("recording_id")
+    seen = analysis.build_reference_tables(files, B.SPEC, _block_means, folder, width=4)
+    index = entries(tables.load_references(spark, f"{folder}/index"), "filename", "site_id")
+    return seen.join(index, "filename")
+
+
 @query
 def pool_refs_by_site(spark, sf_dir):
     return entries(similarity.pool_by_site(B.refs(spark, sf_dir)), "ref_id", "site_id", "country", "site_type", "num_segments")
@@ -160,6 +170,8 @@ def result_documents(spark, sf_dir):
         *[F.col("similar_sites")[i]["site_id"].alias(f"site_{i + 1}") for i in range(3)],
         *[r6(F.col("similar_sites")[i]["similarity"], f"similarity_{i + 1}") for i in range(3)],
         F.col("visualization.type").alias("type"),
+        F.col("visualization.reference_sites")[9]["site_id"].alias("tenth_point"),
+        r6(F.col("visualization.reference_sites")[9]["x"], "tenth_x"),
         r6(F.col("visualization.coordinates.x"), "x"), r6(F.col("visualization.coordinates.y"), "y"),
         long(summary["dimension"], "dimension"), long(summary["num_segments"], "num_segments"),
         summary["aggregation"].alias("aggregation"), summary["synthetic"].alias("synthetic"), "caveats")
@@ -628,6 +640,16 @@ def upload_lifecycle(spark, sf_dir):
     return status.upload_lifecycle(uploads, analyses, results).select("upload_id", KEY, "status")
 
 
+@query
+def status_answers(spark, sf_dir):
+    """Requests for every pooled recording and every logged analysis."""
+    log = B.job_log(B.table(spark, sf_dir, "events"))
+    pooled = B.pooled(spark, sf_dir)
+    results = similarity.classify(pooled, B.refs(spark, sf_dir)).select(KEY, "label", r6("confidence"))
+    requests = B.requests(spark, sf_dir).select(KEY).union(pooled.select(KEY)).distinct()
+    return status.answers(requests, log, results)
+
+
 # --- Reports -----------------------------------------------------------------
 
 

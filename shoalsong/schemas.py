@@ -83,6 +83,12 @@ RESULT = T.StructType([
             T.StructField("x", T.DoubleType()),
             T.StructField("y", T.DoubleType()),
         ])),
+        T.StructField("reference_sites", T.ArrayType(T.StructType([
+            T.StructField("site_id", T.StringType()),
+            T.StructField("x", T.DoubleType()),
+            T.StructField("y", T.DoubleType()),
+            T.StructField("status", T.StringType()),
+        ]))),
     ])),
     T.StructField("embedding_summary", T.StructType([
         T.StructField("dimension", T.IntegerType()),
@@ -90,5 +96,6 @@ RESULT = T.StructType([
         T.StructField("aggregation", T.StringType()),
         T.StructField("synthetic", T.BooleanType()),
     ])),
+    T.StructField("completed_at", T.TimestampType()),
     T.StructField("caveats", T.StringType()),
 ])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,7 @@ def export_recordings(files: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        system, root = fs.FileSystem.from_uri(folder if re.match(r"\w[\w+.-]*:", folder) else "file://" + folder)
         for batch in batches:
             paths, lengths = [], []
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):

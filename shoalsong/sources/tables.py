@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalsong import constants as C
 from shoalsong import schemas
 
 
@@ -67,5 +68,11 @@ def lookup_item(items: DataFrame, pk: str, sk: str) -> DataFrame:
     return items.where((F.col("pk") == pk) & (F.col("sk") == sk))
 
 
-def dimension(spark: SparkSession, rows, schema) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+def reference_sites(spark: SparkSession) -> DataFrame:
+    """The published site list."""
+    return spark.createDataFrame(list(C.REFERENCE_SITES), schemas.SITE)
+
+
+def country_names(spark: SparkSession) -> DataFrame:
+    """Country code, as in file names, to country name."""
+    return spark.createDataFrame(list(C.COUNTRY_NAMES), "code string, name string")

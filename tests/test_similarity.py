@@ -152,3 +152,15 @@ def test_result_document_of_1280_entries(spark):
     assert row["embedding_summary"]["dimension"] == 1280 and len(row["similar_sites"]) == 3
     assert sum(row["classification"]["probabilities"].values()) == pytest.approx(1, abs=1e-5)
     assert row["caveats"].endswith("visual surveys.")
+
+
+def test_vectors_with_nan(spark):
+    nan = float("nan")
+    refs = spark.createDataFrame(
+        [(0, "f", "a", "c", "H", 1, [1.0, 0.0]), (1, "f", "b", "c", "D", 1, [nan, 1.0]), (2, "f", "d", "c", "D", 1, [0.0, 1.0])], REF)
+    pooled = spark.createDataFrame([(0, [0.1, 1.0]), (1, [nan, 1.0])], "recording_id bigint, embedding array<double>")
+    rows = {r["recording_id"]: r for r in similarity.classify(pooled, refs).collect()}
+    assert rows[0]["label"] == "degraded" and rows[0]["valid"]
+    assert rows[1]["label"] is None and not rows[1]["valid"]
+    nearest = similarity.nearest_references(pooled, refs).orderBy("rank").collect()
+    assert [(r["recording_id"], r["ref_id"]) for r in nearest] == [(0, 2), (0, 0)]
