@@ -94,14 +94,35 @@ def embed_segments(
 POOL_BLOCK = 32
 
 
-def _blocks(vector: str) -> str:
-    """SQL: a vector cut into blocks of POOL_BLOCK entries."""
-    return (f"transform(sequence(0, (size({vector}) - 1) div {POOL_BLOCK}), "
-            f"b -> slice({vector}, b * {POOL_BLOCK} + 1, {POOL_BLOCK}))")
+def _block_sums(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of `_v` by key and block of entries; null vectors keep their key."""
+    blocks = (f"posexplode_outer(transform(sequence(0, (size(_v) - 1) div {POOL_BLOCK}), "
+              f"b -> slice(_v, b * {POOL_BLOCK} + 1, {POOL_BLOCK})))")
+    cut = vectors.select(*keys, F.expr("size(_v)").alias("_size"), F.expr(blocks).alias("_block", "_entries"))
+    return cut.groupBy(*keys, "_block").agg(
+        F.count("_entries").alias("_n"), F.min("_size").alias("_lo"), F.max("_size").alias("_hi"),
+        *[F.expr(f"sum(get(_entries, {i})) AS _{i}") for i in range(POOL_BLOCK)])
+
+
+def _collected(prefix: str, condition: str) -> list[Column]:
+    """Aggregates that bring the blocks of a key together, of rows meeting `condition`."""
+    sums = ", ".join(f"_{i}" for i in range(POOL_BLOCK))
+    used = f"_block IS NOT NULL AND {condition}"
+    return [
+        F.expr(f"max(if({condition}, _n, 0)) AS {prefix}_count"),
+        F.expr(f"min(if({used}, _lo, NULL)) AS {prefix}_lo"),
+        F.expr(f"max(if({used}, _hi, NULL)) AS {prefix}_width"),
+        F.expr(f"collect_list(if({used}, struct(_block, array({sums}) AS sums), NULL)) AS {prefix}_parts"),
+    ]
 
 
-_SUMS = [f"sum(get(_entries, {i})) AS _{i}" for i in range(POOL_BLOCK)]
-_SUM_ARRAY = f"array({', '.join(f'_{i}' for i in range(POOL_BLOCK))})"
+def _mean_of(prefix: str) -> Column:
+    return F.expr(f"""
+        CASE WHEN {prefix}_count = 0 THEN NULL
+             WHEN {prefix}_lo <> {prefix}_width
+             THEN cast(raise_error('vectors of one key differ in width') AS array<double>)
+             ELSE transform(slice(flatten(transform(sort_array({prefix}_parts), p -> p.sums)), 1, {prefix}_width),
+                            s -> s / {prefix}_count) END""")
 
 
 def mean_pool(segments: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
@@ -112,25 +133,10 @@ def mean_pool(segments: DataFrame, *keys: str, vector: str = "embedding") -> Dat
     Segments without a vector are not counted, and a key without any keeps a
     null vector. Vectors of mixed width within a key raise.
     """
-    cut = segments.select(*keys, F.col(vector).cast("array<double>").alias("_v")).select(
-        *keys, F.expr("size(_v)").alias("_size"),
-        F.expr(f"posexplode_outer({_blocks('_v')})").alias("_block", "_entries"))
-    summed = cut.groupBy(*keys, "_block").agg(
-        F.count("_entries").alias("_n"), F.min("_size").alias("_lo"), F.max("_size").alias("_hi"),
-        *[F.expr(s) for s in _SUMS])
-    merged = summed.groupBy(*keys).agg(
-        F.max("_n").alias("num_segments"),
-        F.min(F.expr("if(_block is null, null, _lo)")).alias("_lo"),
-        F.max(F.expr("if(_block is null, null, _hi)")).alias("dim"),
-        F.expr(f"collect_list(if(_block is null, null, struct(_block, {_SUM_ARRAY} AS sums)))").alias("_parts"))
-    mean = F.expr("transform(slice(flatten(transform(sort_array(_parts), p -> p.sums)), 1, dim), s -> s / num_segments)")
-    mixed = F.raise_error(F.lit("vectors of one key differ in width")).cast("array<double>")
-    return merged.select(
-        *keys,
-        F.when(F.col("num_segments") == 0, F.lit(None)).when(F.col("_lo") != F.col("dim"), mixed).otherwise(mean).alias(vector),
-        "dim",
-        "num_segments",
-    )
+    vectors = segments.select(*keys, F.col(vector).cast("array<double>").alias("_v"))
+    merged = _block_sums(vectors, list(keys)).groupBy(*keys).agg(*_collected("v", "true"))
+    return merged.select(*keys, _mean_of("v").alias(vector), F.col("v_width").alias("dim"),
+                         F.col("v_count").alias("num_segments"))
 
 
 def pool_with_fallback(
@@ -146,18 +152,18 @@ def pool_with_fallback(
     pass. Every segment must have a feature vector.
     """
     kinds = F.explode(F.array(
-        F.struct(F.lit(False).alias("is_feature"), F.col(model_vector).cast("array<double>").alias("v")),
-        F.struct(F.lit(True).alias("is_feature"), F.col(feature_vector).cast("array<double>").alias("v"))))
-    both = mean_pool(segments.select(key, kinds.alias("_k")).select(key, "_k.*"), key, "is_feature", vector="v")
-    merged = both.groupBy(key).agg(
-        F.max(F.expr("if(is_feature, num_segments, 0)")).alias("num_segments"),
-        F.max(F.expr("if(is_feature, 0, num_segments)")).alias("_modelled"),
-        F.max(F.expr("if(is_feature, null, v)")).alias("_model"),
-        F.max(F.expr("if(is_feature, v, null)")).alias("_feature"))
-    synthetic = F.col("_modelled") < F.col("num_segments")
-    embedding = F.when(synthetic, F.col("_feature")).otherwise(F.col("_model"))
-    return merged.select(key, embedding.alias("embedding"), F.size(embedding).alias("dim"), "num_segments",
-                         synthetic.alias("synthetic"))
+        F.struct(F.lit(False).alias("is_feature"), F.col(model_vector).cast("array<double>").alias("_v")),
+        F.struct(F.lit(True).alias("is_feature"), F.col(feature_vector).cast("array<double>").alias("_v"))))
+    vectors = segments.select(key, kinds.alias("_k")).select(key, "_k.*")
+    merged = _block_sums(vectors, [key, "is_feature"]).groupBy(key).agg(
+        *_collected("m", "NOT is_feature"), *_collected("f", "is_feature"))
+    return merged.select(
+        key,
+        F.when(F.expr("m_count < f_count"), _mean_of("f")).otherwise(_mean_of("m")).alias("embedding"),
+        F.expr("if(m_count < f_count, f_width, m_width)").alias("dim"),
+        F.col("f_count").alias("num_segments"),
+        F.expr("m_count < f_count").alias("synthetic"),
+    )
 
 
 def embedding_summary(pooled: DataFrame, key: str = "recording_id") -> DataFrame:

@@ -68,7 +68,8 @@ def comparable_references(pooled: DataFrame, refs: DataFrame, key: str = "record
 def category_vectors(refs: DataFrame) -> DataFrame:
     """Per width, a map from category code to the mean unit vector of its references.
 
-    At most MAX_WIDTH rows of four vectors whatever the number of references.
+    At most one row of four vectors per width up to MAX_WIDTH, whatever the
+    number of references: under 70 MB if every width occurs, 40 KB for one of 1280.
     """
     units = finite(refs.where(F.col("site_type").isin(CODES))).select(
         V.width(F.col("embedding")).alias("width"), "site_type", V.unit(F.col("embedding")).alias("vector"))
