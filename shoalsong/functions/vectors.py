@@ -64,5 +64,11 @@ def second_half_mean(vector: Column) -> Column:
 
 
 def rounded(value: Column, decimals: int = 6) -> Column:
-    """Rounded for output, with negative zero removed."""
-    return F.round(value, decimals) + F.lit(0.0)
+    """Rounded for output, halves away from zero, without negative zero.
+
+    Plain arithmetic on the scaled value, as most SQL engines round doubles;
+    Spark's own `round` goes through a decimal number for each value.
+    """
+    scale = float(10**decimals)
+    away = F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
+    return F.when(F.isnan(value), value).otherwise(away) + F.lit(0.0)

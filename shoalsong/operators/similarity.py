@@ -258,6 +258,11 @@ def _nearest_in_blocks(k: int):
     return run
 
 
+def reference_bytes(refs: DataFrame) -> int:
+    """Size of the matrix of comparable references; runs one small aggregation."""
+    return finite(refs).agg(F.sum(V.width(F.col("embedding")).cast("bigint") * 8)).first()[0] or 0
+
+
 def nearest_references(
     pooled: DataFrame,
     refs: DataFrame,
@@ -265,11 +270,12 @@ def nearest_references(
     k: int = C.TOP_SITES,
     broadcast_bytes: int = 64 << 20,
     block_bytes: int = 32 << 20,
+    matrix_bytes: int | None = None,
 ) -> DataFrame:
     """(key, ref_id, similarity, rank) of the k most similar references, exact.
 
-    Runs one small aggregation to learn the size of the reference matrix. Up to
-    `broadcast_bytes` it is broadcast. Beyond, the references are hashed into
+    The size of the reference matrix decides the join; it is measured with
+    `reference_bytes` unless given. Up to `broadcast_bytes` it is broadcast. Beyond, the references are hashed into
     blocks of about `block_bytes` and every recording matrix visits each block:
     an equi-join on (block, lane, width). A recording matrix belongs to one lane
     and each lane has a copy of every block, so that there are enough tasks. Either way k rows per recording and block leave the
@@ -277,7 +283,8 @@ def nearest_references(
     """
     spark = pooled.sparkSession
     entries = finite(refs).select("ref_id", V.width(F.col("embedding")).alias("dim"), "embedding")
-    matrix_bytes = entries.agg(F.sum(F.col("dim").cast("bigint") * 8)).first()[0] or 0
+    if matrix_bytes is None:
+        matrix_bytes = reference_bytes(refs)
     rows = finite(pooled).select(key, V.width(F.col("embedding")).alias("dim"), "embedding")
     references = F.col("ids").alias("ref_ids"), F.col("matrix").alias("ref_matrix")
 
