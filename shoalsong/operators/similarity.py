@@ -168,9 +168,6 @@ def probabilities_long(classified: DataFrame, key: str = "recording_id") -> Data
 
 # --- Nearest sites -----------------------------------------------------------
 
-_PACKED = "dim int, ids array<bigint>, matrix binary"
-
-
 def _pack(vectors: DataFrame, id_column: str, keys: list[str], rows: int) -> DataFrame:
     """Rows (id, dim, embedding) as unit-length matrices of at most `rows` rows.
 
@@ -178,7 +175,8 @@ def _pack(vectors: DataFrame, id_column: str, keys: list[str], rows: int) -> Dat
     are small integer columns that stay constant within a matrix.
     """
     head = ["dim", *keys]
-    schema = _PACKED + "".join(f", {k} int" for k in keys)
+    id_type = vectors.schema[id_column].dataType.simpleString()
+    schema = f"dim int, ids array<{id_type}>, matrix binary" + "".join(f", {k} int" for k in keys)
 
     def run(batches):
         for batch in batches:
@@ -192,9 +190,10 @@ def _pack(vectors: DataFrame, id_column: str, keys: list[str], rows: int) -> Dat
                     matrix = flat.astype(np.float64).reshape(part.num_rows, -1)
                     lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
                     matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+                    ids = part.column(id_column).combine_chunks()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(tag[0])], pa.int32()),
-                         pa.array([part.column(id_column).to_pylist()], pa.list_(pa.int64())),
+                         pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                          pa.array([matrix.tobytes()], pa.binary())]
                         + [pa.array([int(t)], pa.int32()) for t in tag[1:]],
                         ["dim", "ids", "matrix", *keys])
@@ -235,7 +234,7 @@ def _nearest_in_blocks(k: int):
     def result(ids, found):
         rows, references, scores = found
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[rows]), pa.array(references), pa.array(scores)], ["id", "ref_id", "similarity"])
+            [ids.take(pa.array(rows)), pa.array(references), pa.array(scores)], ["id", "ref_id", "similarity"])
 
     def run(batches):
         held_ids, held = None, None
@@ -243,15 +242,15 @@ def _nearest_in_blocks(k: int):
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
                 width = row["dim"].as_py()
-                ids, ref_ids = (row[c].values.to_numpy() for c in ("ids", "ref_ids"))
+                ids, ref_ids = row["ids"].values, row["ref_ids"].values.to_numpy()
                 left, right = (np.frombuffer(row[c].as_buffer()).reshape(-1, width) for c in ("matrix", "ref_matrix"))
                 found = _best_per_row(left @ right.T, ref_ids, k)
-                if held is not None and np.array_equal(held_ids, ids):
+                if held is not None and held_ids.equals(ids):
                     held = _first_k(*(np.concatenate(pair) for pair in zip(held, found)), k)
                     continue
                 if held is not None:
                     yield result(held_ids, held)
-                held_ids, held = ids.copy(), found
+                held_ids, held = ids, found
         if held is not None:
             yield result(held_ids, held)
 
@@ -275,11 +274,13 @@ def nearest_references(
     """(key, ref_id, similarity, rank) of the k most similar references, exact.
 
     The size of the reference matrix decides the join; it is measured with
-    `reference_bytes` unless given. Up to `broadcast_bytes` it is broadcast. Beyond, the references are hashed into
-    blocks of about `block_bytes` and every recording matrix visits each block:
-    an equi-join on (block, lane, width). A recording matrix belongs to one lane
-    and each lane has a copy of every block, so that there are enough tasks. Either way k rows per recording and block leave the
-    product, and ties go to the lower ref_id. `key` must be a bigint.
+    `reference_bytes` unless given. Up to `broadcast_bytes` it is broadcast.
+    Beyond, the references are hashed into blocks of about `block_bytes` and
+    every recording matrix visits each block: an equi-join on (block, lane,
+    width). A recording matrix belongs to one lane and each lane has a copy of
+    every block, so that there are enough tasks. Either way k rows per recording
+    and block leave the product, and ties go to the lower ref_id. `key` must be
+    unique.
     """
     spark = pooled.sparkSession
     entries = finite(refs).select("ref_id", V.width(F.col("embedding")).alias("dim"), "embedding")
@@ -312,7 +313,7 @@ def nearest_references(
         pairs = left.join(right, ["dim", "block", "lane"])
 
     candidates = pairs.select("dim", "ids", "matrix", "ref_ids", "ref_matrix").mapInArrow(
-        _nearest_in_blocks(k), "id bigint, ref_id bigint, similarity double")
+        _nearest_in_blocks(k), f"id {pooled.schema[key].dataType.simpleString()}, ref_id bigint, similarity double")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "ref_id")
     return (
         candidates.withColumn("rank", F.row_number().over(best))
@@ -366,9 +367,9 @@ def reference_points(refs: DataFrame, n: int = C.REFERENCE_POINTS) -> DataFrame:
 def acoustic_space(classified: DataFrame, refs: DataFrame, key: str = "recording_id") -> DataFrame:
     """Scatter data: every recording's point and the reference points."""
     samples = project_2d(classified).select(
-        F.col(key).cast("bigint").alias("point_id"), F.lit("Your Sample").alias("site"),
+        F.col(key).cast("string").alias("point_id"), F.lit("Your Sample").alias("site"),
         fields.display_label(F.col("label")).alias("status"), F.lit("Your Sample").alias("type"), "x", "y")
     references = reference_points(refs).select(
-        F.col("ref_id").alias("point_id"), F.col("site_id").alias("site"),
+        F.col("ref_id").cast("string").alias("point_id"), F.col("site_id").alias("site"),
         fields.display_label(F.col("status")).alias("status"), F.lit("Reference").alias("type"), "x", "y")
     return references.unionByName(samples)

@@ -502,10 +502,10 @@ ORACLE["ref_points"] = with_(REFS, REF_POINTS) + f"SELECT ref_id, site_id, statu
 ORACLE["project_2d"] = with_(VECTORS, POOLED, POINTS) + f"SELECT analysis_id, {r6('x', 'x')}, {r6('y', 'y')} FROM points"
 
 ORACLE["acoustic_space"] = with_(VECTORS, REFS, POOLED, PAIRS, CLASSES, POINTS, REF_POINTS) + f"""
-SELECT analysis_id AS point_id, 'Your Sample' AS site, {TITLE.format('label')} AS status, 'Your Sample' AS type, {r6('x', 'x')}, {r6('y', 'y')}
+SELECT analysis_id::VARCHAR AS point_id, 'Your Sample' AS site, {TITLE.format('label')} AS status, 'Your Sample' AS type, {r6('x', 'x')}, {r6('y', 'y')}
 FROM points JOIN labels USING (analysis_id)
 UNION ALL
-SELECT ref_id, site_id, {TITLE.format('status')}, 'Reference', {r6('x', 'x')}, {r6('y', 'y')} FROM ref_points"""
+SELECT ref_id::VARCHAR, site_id, {TITLE.format('status')}, 'Reference', {r6('x', 'x')}, {r6('y', 'y')} FROM ref_points"""
 
 # --- Job status --------------------------------------------------------------
 

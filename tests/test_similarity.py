@@ -86,6 +86,17 @@ def test_nearest(frames, data, sizes, k):
         assert [ref for _, ref in sorted(got.get(i, []))] == expected_nearest(vector, data[0], k), i
 
 
+def test_nearest_with_file_names_as_keys(frames, data):
+    pooled, refs = frames
+    named = pooled.withColumn("recording_id", F.concat(F.lit("r"), "recording_id"))
+    for sizes in ({}, {"broadcast_bytes": 0, "block_bytes": 2000}):
+        got = {}
+        for r in similarity.nearest_references(named, refs, **sizes).orderBy("rank").collect():
+            got.setdefault(r["recording_id"], []).append(r["ref_id"])
+        for i, vector in data[1]:
+            assert got.get(f"r{i}", []) == expected_nearest(vector, data[0], 3)
+
+
 def test_similar_sites_defaults(frames):
     pooled, refs = frames
     rows = similarity.similar_sites(pooled, refs, k=25).collect()
