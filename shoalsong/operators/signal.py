@@ -27,7 +27,7 @@ def _timeline() -> Window:
 def duration(samples: DataFrame) -> DataFrame:
     return samples.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        (F.count(F.lit(1)) / F.first("sample_rate")).alias("duration"))
+        (F.count(F.lit(1)) / F.max("sample_rate")).alias("duration"))
 
 
 def downmix(samples: DataFrame, channels: int) -> DataFrame:
@@ -35,8 +35,8 @@ def downmix(samples: DataFrame, channels: int) -> DataFrame:
     whole = samples.where(F.col("sample_idx") < F.col("n_samples") - F.col("n_samples") % channels)
     return (
         whole.groupBy(KEY, F.floor(F.col("sample_idx") / channels).cast("bigint").alias("frame"))
-        .agg(F.avg("v").alias("v"), F.first("sample_rate").alias("sample_rate"),
-             F.floor(F.first("n_samples") / channels).cast("bigint").alias("n_samples"))
+        .agg(F.avg("v").alias("v"), F.max("sample_rate").alias("sample_rate"),
+             F.floor(F.max("n_samples") / channels).cast("bigint").alias("n_samples"))
         .withColumnRenamed("frame", "sample_idx")
     )
 
@@ -160,7 +160,7 @@ def first_window(samples: DataFrame, spec: SegmentSpec) -> DataFrame:
 def without_window(samples: DataFrame, spec: SegmentSpec) -> DataFrame:
     """Recordings `first_window` has nothing for."""
     size = spec.samples
-    return (samples.groupBy(KEY).agg(F.first("n_samples").alias("n_samples"))
+    return (samples.groupBy(KEY).agg(F.max("n_samples").alias("n_samples"))
             .where((F.col("n_samples") < size) & (F.col("n_samples") <= size // 2)))
 
 

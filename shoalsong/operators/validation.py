@@ -46,7 +46,7 @@ def recording_verdicts(samples: DataFrame, spec: SegmentSpec, key: str = "record
     n_out = resampled_length(F.col("n_samples"), F.col("sample_rate"), spec.rate)
     return (
         samples.groupBy(key)
-        .agg(F.first("sample_rate").alias("sample_rate"), F.count(F.lit(1)).alias("n_samples"))
+        .agg(F.max("sample_rate").alias("sample_rate"), F.count(F.lit(1)).alias("n_samples"))
         .withColumn("duration", F.col("n_samples") / F.col("sample_rate"))
         .withColumn("n_resampled", n_out)
         .withColumn("num_segments", F.floor(F.col("n_resampled") / spec.samples).cast("bigint"))

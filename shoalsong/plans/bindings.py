@@ -103,7 +103,7 @@ def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         signals(spark, sf_dir)
         .groupBy("recording_id")
         .agg(F.sort_array(F.collect_list(F.struct("sample_idx", signal.quantize_pcm16(F.col("v")).alias("q")))).alias("s"),
-             F.first("sample_rate").alias("sample_rate"))
+             F.max("sample_rate").alias("sample_rate"))
         .select("recording_id", F.transform("s", lambda x: x["q"]).alias("pcm"), "sample_rate")
     )
     return wav.encode(pcm).select(

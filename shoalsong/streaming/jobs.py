@@ -41,8 +41,12 @@ def timed(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
+# Drain what is there, then stop. Pass e.g. {"processingTime": "1 minute"} to keep running.
+DRAIN = {"availableNow": True}
+
+
 def classify_batches(pooled: DataFrame, refs: DataFrame, key: str, path: str, checkpoint: str,
-                     **sizes) -> StreamingQuery:
+                     trigger: dict = DRAIN, **sizes) -> StreamingQuery:
     """Classify arriving pooled vectors against a fixed reference table.
 
     The nearest sites need a ranking, which a stream cannot do across batches
@@ -54,8 +58,8 @@ def classify_batches(pooled: DataFrame, refs: DataFrame, key: str, path: str, ch
         best = sites.where(F.col("rank") == 1).select(key, "site_id", "similarity")
         labels.join(best, key, "left").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return pooled.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    return (pooled.writeStream.foreachBatch(score)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 def status_updates(log: DataFrame, key: str = "analysis_id") -> DataFrame:
@@ -92,18 +96,18 @@ def hourly_errors(logs: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def write_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_table(stream: DataFrame, path: str, checkpoint: str, trigger: dict = DRAIN) -> StreamingQuery:
     return (stream.writeStream.format("parquet").option("path", path)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def write_latest(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_latest(updates: DataFrame, path: str, checkpoint: str, trigger: dict = DRAIN) -> StreamingQuery:
     """Changed rows of each micro-batch, one folder per batch, replaced on replay."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (updates.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 def read_latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
