@@ -5,8 +5,8 @@ from compare import connect, difference
 from conftest import SMALL
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+from shoalsong.plans.oracle import ORACLE
+from shoalsong.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -25,5 +25,9 @@ def test_oracle_names_are_registered():
     assert set(QUERIES) - set(ORACLE) == {"feature_embedding_noisy"}
 
 
+def test_all_are_in_the_entry():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["analysis_id", "num_segments", "label", "confidence", "valid"]
