@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalsong.llm import minhash, mixing
+from shoalsong.llm import minhash, mixing, toxicity
 from shoalsong.llm.tables import load
 
 
@@ -18,9 +18,17 @@ def op8_mixing(spark, sf_dir):
     return mixing.taken_words(placed, mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op6_minhash": op6_minhash,
     "op8_mixing": op8_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
