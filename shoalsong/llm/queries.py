@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalsong.llm import minhash, mixing, toxicity
+from shoalsong.llm import minhash, mixing, toxicity, warc
 from shoalsong.llm.tables import load
 
 
+def _page(record_id):
+    return F.regexp_extract(record_id, r"(-?[0-9]+)$", 1).try_cast("bigint")
+
+
+def op1_warc(spark, sf_dir):
+    index = warc.write_archives(load(spark, sf_dir, "pages"), min_bytes=0)
+    found = warc.read_records(index, payloads=False)
+    return found.select(_page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        _page(F.col("refers_to")).alias("refers_to"), "url")
+
+
 def op6_minhash(spark, sf_dir):
     found = minhash.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -26,6 +37,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op6_minhash": op6_minhash,
     "op8_mixing": op8_mixing,
     "op10_toxicity": op10_toxicity,
