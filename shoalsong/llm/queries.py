@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalsong.llm import minhash, mixing, toxicity, warc
+from shoalsong.llm import linefreq, minhash, mixing, toxicity, warc
 from shoalsong.llm.tables import load
 
 
@@ -19,6 +19,13 @@ def op1_warc(spark, sf_dir):
                         _page(F.col("refers_to")).alias("refers_to"), "url")
 
 
+def op3_line_frequency(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linefreq.quality_rules(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lost_words")
+
+
 def op6_minhash(spark, sf_dir):
     found = minhash.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -38,6 +45,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_line_frequency": op3_line_frequency,
     "op6_minhash": op6_minhash,
     "op8_mixing": op8_mixing,
     "op10_toxicity": op10_toxicity,
