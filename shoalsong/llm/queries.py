@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalsong.llm import linefreq, minhash, mixing, toxicity, warc
+from shoalsong.llm import bpe, linefreq, minhash, mixing, toxicity, warc
 from shoalsong.llm.tables import load
 
 
@@ -31,6 +31,18 @@ def op6_minhash(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_bpe(spark, sf_dir):
+    vocab = vocabulary()
+    encoded = bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), vocab)
+    return bpe.digests(bpe.decode(encoded, vocab))
+
+
 def op8_mixing(spark, sf_dir):
     placed, mix = mixing.mixture(load(spark, sf_dir, "documents"))
     return mixing.taken_words(placed, mix).select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +59,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_line_frequency": op3_line_frequency,
     "op6_minhash": op6_minhash,
+    "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op10_toxicity": op10_toxicity,
 }
