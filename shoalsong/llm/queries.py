@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalsong.llm import bpe, linefreq, minhash, mixing, toxicity, warc
+from shoalsong.llm import bpe, chat, embeddings, linefreq, minhash, mixing, toxicity, warc
 from shoalsong.llm.tables import load
 
 
@@ -19,6 +19,10 @@ def op1_warc(spark, sf_dir):
                         _page(F.col("refers_to")).alias("refers_to"), "url")
 
 
+def op2_perspectives(spark, sf_dir):
+    return chat.perspectives(load(spark, sf_dir, "conversations"))
+
+
 def op3_line_frequency(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return linefreq.quality_rules(docs).select(
@@ -26,6 +30,10 @@ def op3_line_frequency(spark, sf_dir):
         "n_lost_words")
 
 
+def op5_metric_join(spark, sf_dir):
+    return embeddings.near_duplicate_vectors(load(spark, sf_dir, "embeddings"), min_cosine=0.9)
+
+
 def op6_minhash(spark, sf_dir):
     found = minhash.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -57,11 +65,15 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_perspectives": op2_perspectives,
     "op3_line_frequency": op3_line_frequency,
+    "op5_metric_join": op5_metric_join,
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_perspectives": chat.ORACLE,
+}
