@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalsong.llm import bpe, chat, embeddings, linefreq, minhash, mixing, toxicity, warc
+from shoalsong.llm import bpe, chat, embeddings, linefreq, minhash, mixing, pll, toxicity, warc
 from shoalsong.llm.tables import load
 
 
@@ -56,6 +56,10 @@ def op8_mixing(spark, sf_dir):
     return mixing.taken_words(placed, mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pseudo_likelihood(spark, sf_dir):
+    return pll.pseudo_likelihood(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_toxicity": op10_toxicity,
 }
 
