@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalsong.llm import bpe, chat, embeddings, linefreq, minhash, mixing, pll, toxicity, warc
+from shoalsong.llm import bpe, chat, embeddings, extract, linefreq, minhash, mixing, pll, toxicity, warc
 from shoalsong.llm.tables import load
 
 
@@ -30,6 +30,11 @@ def op3_line_frequency(spark, sf_dir):
         "n_lost_words")
 
 
+def op4_suffix_array(spark, sf_dir):
+    found = extract.main_texts(load(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op5_metric_join(spark, sf_dir):
     return embeddings.near_duplicate_vectors(load(spark, sf_dir, "embeddings"), min_cosine=0.9)
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_perspectives": op2_perspectives,
     "op3_line_frequency": op3_line_frequency,
+    "op4_suffix_array": op4_suffix_array,
     "op5_metric_join": op5_metric_join,
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
