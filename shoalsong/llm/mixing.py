@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalsong.llm.tables import not_null_key, running_total, staged
+from shoalsong.llm.tables import broadcast_if_small, not_null_key, running_total, staged
 
 WHITE = "\t\n\x0b\x0c\r"
 BLOCK_WORDS = 4096
@@ -125,3 +125,20 @@ def taken_words(placed: DataFrame, mix: DataFrame) -> DataFrame:
     has = placed.where("size > 0").join(sums, ["key", "begin"], "left")
     rest = placed.where("size = 0").withColumn("_taken", F.lit(0).cast("bigint"))
     return has.unionByName(rest).withColumn("taken", F.coalesce("_taken", F.lit(0))).drop("_taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` (doc_id, source, text, ...) as often as the mix takes them, all their columns.
+
+    A row comes taken / size times, rounded: as only the document at the end of
+    a source's target is taken in part, that keeps to the targets. Rows with
+    equal doc_id, source and size share what is taken of them evenly.
+    """
+    taken = taken_words(*mixture(docs, **options)).where("size > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size")).agg(
+        F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    taken = staged(taken, "taken")
+    keyed = docs.withColumn("_own_key", not_null_key(F.col("source"))).withColumn("_own_size", word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")) & (F.col("_own_size") == F.col("_size"))
+    joined = keyed.join(broadcast_if_small(taken), same)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
