@@ -1,7 +1,8 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax.
 
 A word is the mean of the vectors of its character n-grams, a document the mean
-of its words, and a linear softmax gives it a margin of class 1 over class 0.
+of its distinct words (distinct in each piece of 256 KB, so that repeated junk
+weighs little), and a linear softmax gives it a margin of class 1 over class 0.
 Vectors and softmax are trained jointly in numpy by minibatch Adam. A misspelling
 nobody saw shares most n-grams with the word it stands for, and so its vector.
 
@@ -23,13 +24,14 @@ from pyspark.sql import types as T
 from shoalsong.llm import words
 
 SIZES = (3, 4, 5, 6)
-BITS = 18
+BITS = 20
 DIM = 8
 #: The training sample: at most so many labelled rows, half of each class, and bytes of text.
 MAX_ROWS, MAX_BYTES = 8000, 24 << 20
-EPOCHS, BATCH, RATE, SHRINK = 5, 128, 0.02, 1e-4
-#: Only buckets in this share of the sample are learned, so no text is learned by heart.
-MIN_SHARE = 0.007
+EPOCHS, BATCH, RATE, SHRINK = 20, 64, 0.02, 1e-3
+#: Only buckets are learned whose shares of the texts of either class differ by so many standard
+#: errors, so no text is learned by heart.
+MIN_ERRORS = 4.0
 #: Fixed factor of the averages: a mean over thousands of n-grams moves little when some of them do.
 GAIN = 2000.0
 #: Labels are learned only from documents whose crc32(doc_id) leaves a remainder other than 0.
@@ -63,21 +65,29 @@ def word_grams(rows, starts, ends, data):
         yield buckets, low, np.maximum(ends + 2 - n, low)
 
 
+def distinct_words(column: pa.Array, hasher: words.Hasher):
+    """Yields (rows, starts, ends, data) as words.pieces does, each word once per row of a piece."""
+    for rows, starts, ends, data in words.pieces(column):
+        if len(rows):
+            keys = words.mixed(hasher(starts, ends, data) + rows.astype(np.uint64) * words.BASE)
+            first = np.sort(np.unique(keys, return_index=True)[1])
+            yield rows[first], starts[first], ends[first], data
+
+
 def margins(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     """Margin per row; a row without words has the bias."""
     totals, count = np.zeros(len(column)), np.zeros(len(column))
-    for rows, starts, ends, data in words.pieces(column):
+    for rows, starts, ends, data in distinct_words(column, words.Hasher()):
         sums, sizes = np.zeros(len(rows)), np.zeros(len(rows))
         for buckets, low, high in word_grams(rows, starts, ends, data):
             upto = np.zeros(len(buckets) + 1)
             np.cumsum(table[buckets], out=upto[1:])
             sums += upto[high] - upto[low]
             sizes += high - low
-        if len(rows):
-            first = rows[0]
-            part = np.bincount(rows - first, weights=sums / sizes)
-            totals[first : first + len(part)] += part
-            count[first : first + len(part)] += np.bincount(rows - first)
+        first = rows[0]
+        part = np.bincount(rows - first, weights=sums / sizes)
+        totals[first : first + len(part)] += part
+        count[first : first + len(part)] += np.bincount(rows - first)
     return GAIN * totals / np.maximum(count, 1) + bias
 
 
@@ -85,24 +95,35 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts as sparse rows (begin of each row, buckets, weights): an n-gram weighs
     its share of its word, a word its share of its text."""
     begin, buckets, weights = [0], [], []
-    held = np.zeros(1 << BITS)
+    hasher = words.Hasher()
     for i in range(len(texts)):
-        held[:] = 0
-        n = 0
-        for rows, starts, ends, data in words.pieces(texts.slice(i, 1)):
+        ids, shares, n = [np.empty(0, np.uint32)], [np.empty(0)], 0
+        for rows, starts, ends, data in distinct_words(texts.slice(i, 1), hasher):
             found = list(word_grams(rows, starts, ends, data))
             sizes = np.maximum(sum(high - low for _, low, high in found), 1)
             for part, low, high in found:
                 count = high - low
-                places = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                held += np.bincount(part[places], weights=np.repeat(1 / sizes, count), minlength=len(held))
+                ids.append(part[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())])
+                shares.append(np.repeat(1 / sizes, count))
             n += len(rows)
-        there = np.flatnonzero(held)
+        there, at = np.unique(np.concatenate(ids), return_inverse=True)
         buckets.append(there.astype(np.int32))
-        weights.append((held[there] / max(n, 1)).astype(np.float32))
+        weights.append((np.bincount(at, weights=np.concatenate(shares), minlength=len(there)) / max(n, 1)).astype(np.float32))
         begin.append(begin[-1] + len(there))
-    empty = [np.empty(0, np.int32)], [np.empty(0, np.float32)]
-    return np.array(begin), np.concatenate(buckets or empty[0]), np.concatenate(weights or empty[1])
+    return (np.array(begin), np.concatenate([np.empty(0, np.int32), *buckets]),
+            np.concatenate([np.empty(0, np.float32), *weights]))
+
+
+def differing(begin: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """By how many standard errors the share of texts with a bucket differs between the classes."""
+    ones, rows = labels.sum(), max(len(labels), 1)
+    zeros = rows - ones
+    of_row = np.repeat(labels, np.diff(begin))
+    both = np.bincount(buckets, minlength=1 << BITS)
+    one = np.bincount(buckets, weights=of_row, minlength=1 << BITS)
+    share = both / rows
+    error = np.sqrt(np.maximum(share * (1 - share), 0.25 / rows) * (1 / max(ones, 1) + 1 / max(zeros, 1)))
+    return np.abs(one / max(ones, 1) - (both - one) / max(zeros, 1)) / error
 
 
 def train(texts: pa.Array, labels: np.ndarray, rate: float | None = None, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -113,12 +134,16 @@ def train(texts: pa.Array, labels: np.ndarray, rate: float | None = None, seed:
     """
     rng = np.random.RandomState(seed)
     begin, buckets, weights = bags(texts)
-    common = np.bincount(buckets, minlength=1 << BITS) >= max(2, MIN_SHARE * len(labels))
-    weights = GAIN * weights * common[buckets]
+    common = np.flatnonzero(differing(begin, buckets, labels) >= MIN_ERRORS)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[common] = np.arange(len(common))
+    known = number[buckets] >= 0
+    begin = np.r_[0, np.cumsum(known)][begin]
+    buckets, weights = number[buckets[known]], GAIN * weights[known]
     present = np.flatnonzero(np.diff(begin))
     here = float(np.clip(labels.mean(), 0.001, 0.999)) if len(labels) else 0.001
     rate = here if rate is None else float(np.clip(rate, 0.001, 0.999))
-    params = [(rng.randn(1 << BITS, DIM) * 0.01).astype(np.float32), (rng.randn(DIM, 2) * 0.5).astype(np.float32),
+    params = [(rng.randn(len(common), DIM) * 0.01).astype(np.float32), (rng.randn(DIM, 2) * 0.5).astype(np.float32),
               np.array([0.0, np.log(here / (1 - here))], np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
@@ -131,9 +156,10 @@ def train(texts: pa.Array, labels: np.ndarray, rate: float | None = None, seed:
                 v += 0.001 * (g * g - v)
                 p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     vectors, softmax, bias = params
-    table = (vectors @ (softmax[:, 1] - softmax[:, 0])) * common
+    table = np.zeros(1 << BITS, np.float32)
+    table[common] = vectors @ (softmax[:, 1] - softmax[:, 0])
     shift = np.log(rate / (1 - rate)) - np.log(here / (1 - here))
-    return table.astype(np.float32), float(bias[1] - bias[0] + shift)
+    return table, float(bias[1] - bias[0] + shift)
 
 
 def _gradients(docs, begin, buckets, weights, labels, vectors, softmax, bias):
