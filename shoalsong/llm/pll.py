@@ -87,7 +87,7 @@ def forward(net, around: np.ndarray, target: np.ndarray):
     group, place = target // CLASSES, target % CLASSES
     rows = np.arange(len(target))
     by_class = _log_softmax(hidden @ net["to_class"] + net["class_bias"])
-    by_word = np.empty((len(target), CLASSES), np.float32)
+    by_word = np.empty((len(target), CLASSES), hidden.dtype)
     order = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):

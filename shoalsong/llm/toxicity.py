@@ -27,7 +27,7 @@ SIZES = (3, 4, 5, 6)
 BITS = 20
 DIM = 8
 #: The training sample: at most so many labelled rows, half of each class, and bytes of text.
-MAX_ROWS, MAX_BYTES = 8000, 24 << 20
+MAX_ROWS, MAX_BYTES = 6000, 16 << 20
 EPOCHS, BATCH, RATE, SHRINK = 20, 64, 0.02, 1e-3
 #: Only buckets are learned whose shares of the texts of either class differ by so many standard
 #: errors, so no text is learned by heart.
