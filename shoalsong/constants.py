@@ -70,6 +70,7 @@ PROCESSING_FAILED = "PROCESSING_FAILED"
 MISSING_UPLOAD_ID = "MISSING_UPLOAD_ID"
 UPLOAD_NOT_FOUND = "UPLOAD_NOT_FOUND"
 ANALYSIS_NOT_FOUND = "ANALYSIS_NOT_FOUND"
+ANALYZE_FAILED = "ANALYZE_FAILED"
 
 EMBEDDING_WIDTH = 1280
 FEATURE_BLOCK = 320
@@ -87,9 +88,6 @@ FREE_REQUESTS = 1_000_000
 
 # --- End of fixed values. ---
 
-# No vector is wider than this. It also bounds whatever is kept "per width".
-MAX_WIDTH = 2048
-
 
 @dataclass(frozen=True)
 class SegmentSpec:

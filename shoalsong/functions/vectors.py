@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shoalsong.constants import MAX_WIDTH
-
 
 def as_doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
 
 def width(vector: Column) -> Column:
-    """Number of entries, refusing vectors beyond the supported width."""
-    n = F.size(vector)
-    return F.when(n <= MAX_WIDTH, n).otherwise(
-        F.raise_error(F.concat(F.lit("vector too wide: "), n.cast("string"))).cast("int")
-    )
+    return F.size(vector)
 
 
 def total(vector: Column) -> Column:

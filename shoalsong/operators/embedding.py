@@ -120,7 +120,7 @@ def _mean_of(prefix: str) -> Column:
     return F.expr(f"""
         CASE WHEN {prefix}_count = 0 THEN NULL
              WHEN {prefix}_lo <> {prefix}_width
-             THEN cast(raise_error('vectors of one key differ in width') AS array<double>)
+             THEN NULL
              ELSE transform(slice(flatten(transform(sort_array({prefix}_parts), p -> p.sums)), 1, {prefix}_width),
                             s -> s / {prefix}_count) END""")
 
@@ -131,11 +131,12 @@ def mean_pool(segments: DataFrame, *keys: str, vector: str = "embedding") -> Dat
     Vectors are summed block by block with combining before the shuffle, so a
     key with any number of segments costs one row per block and map task.
     Segments without a vector are not counted, and a key without any keeps a
-    null vector. Vectors of mixed width within a key raise.
+    null vector. A key with vectors of mixed width has no mean: its vector and
+    dim are null, and other keys are not touched.
     """
     vectors = segments.select(*keys, F.col(vector).cast("array<double>").alias("_v"))
     merged = _block_sums(vectors, list(keys)).groupBy(*keys).agg(*_collected("v", "true"))
-    return merged.select(*keys, _mean_of("v").alias(vector), F.col("v_width").alias("dim"),
+    return merged.select(*keys, _mean_of("v").alias(vector), F.expr("if(v_lo = v_width, v_width, NULL)").alias("dim"),
                          F.col("v_count").alias("num_segments"))
 
 
@@ -160,7 +161,7 @@ def pool_with_fallback(
     return merged.select(
         key,
         F.when(F.expr("m_count < f_count"), _mean_of("f")).otherwise(_mean_of("m")).alias("embedding"),
-        F.expr("if(m_count < f_count, f_width, m_width)").alias("dim"),
+        F.expr("if(m_count < f_count, if(f_lo = f_width, f_width, NULL), if(m_lo = m_width, m_width, NULL))").alias("dim"),
         F.col("f_count").alias("num_segments"),
         F.expr("m_count < f_count").alias("synthetic"),
     )

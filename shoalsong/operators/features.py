@@ -125,10 +125,12 @@ def feature_vector(block: int = C.FEATURE_BLOCK, centroid_scale: float = C.CENTR
 def vector_batches(names: list[str], block: int, noise: bool, centroid_scale: float = C.CENTROID_SCALE_HZ):
     """Arrow step: the columns `names` plus `feature_embedding`.
 
-    The noise is seeded by the segment's own rms, so the result does not depend
+    A window with features that are not finite has no vector. The noise is seeded by the segment's own rms, so the result does not depend
     on how the rows are partitioned.
     """
     def vector(rms, peak, zcr, centroid):
+        if not np.isfinite([rms, peak, zcr, centroid]).all():
+            return None
         base = np.repeat([rms, peak, zcr, centroid / centroid_scale], block)
         if not noise:
             return base

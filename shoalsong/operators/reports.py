@@ -43,9 +43,12 @@ def site_metrics(sites: DataFrame) -> DataFrame:
 
 
 def country_status_pivot(sites: DataFrame) -> DataFrame:
-    """One column per status; the values are given, so no pass collects them."""
-    return (sites.groupBy("country").pivot("status", STATUSES).agg(F.count(F.lit(1)))
-            .na.fill(0, STATUSES))
+    """One column per status, of which `unknown` takes null and any other value;
+    the values are given, so no pass collects them."""
+    names = [*STATUSES, C.UNKNOWN_STATUS]
+    known = F.when(F.col("status").isin(STATUSES), F.col("status")).otherwise(F.lit(C.UNKNOWN_STATUS))
+    return (sites.withColumn("status", known).groupBy("country").pivot("status", names).agg(F.count(F.lit(1)))
+            .na.fill(0, names))
 
 
 def value_counts(sites: DataFrame, *columns: str) -> DataFrame:

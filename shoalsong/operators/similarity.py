@@ -47,9 +47,23 @@ def finite(refs: DataFrame) -> DataFrame:
     return refs.where(F.expr("size(embedding) > 0 AND forall(embedding, x -> abs(x) < double('infinity'))"))
 
 
+# Entries of all widths together up to which the rows "per width" are broadcast: 64 MB of category vectors.
+BROADCAST_ENTRIES = 2 << 20
+
+
+def _small(per_width: DataFrame, refs: DataFrame) -> DataFrame:
+    """Hint to broadcast a table with a row per vector width, if the widths that occur are few enough.
+
+    Measures the references once. Otherwise Spark chooses, and can split the
+    vectors of a common width.
+    """
+    widths = refs.select(F.size("embedding").cast("bigint").alias("n")).distinct()
+    entries = widths.agg(F.sum(F.greatest("n", F.lit(1)))).first()[0] or 0
+    return F.broadcast(per_width) if entries <= BROADCAST_ENTRIES else per_width
+
+
 def comparable_references(pooled: DataFrame, refs: DataFrame, key: str = "recording_id") -> DataFrame:
     """How many references each recording is compared with, in all and by category."""
-    # At most one row per vector width, and widths are bounded by MAX_WIDTH.
     per_width = (
         finite(refs).select(V.width(F.col("embedding")).alias("dim"), "site_type")
         .groupBy("dim")
@@ -58,7 +72,7 @@ def comparable_references(pooled: DataFrame, refs: DataFrame, key: str = "record
     )
     return (
         pooled.select(key, V.width(F.col("embedding")).alias("dim"))
-        .join(F.broadcast(per_width), "dim", "left")
+        .join(_small(per_width, refs), "dim", "left")
         .select(key, "dim",
                 F.coalesce("comparable", F.lit(0)).alias("comparable"),
                 F.coalesce("categorised", F.lit(0)).alias("categorised"))
@@ -68,8 +82,7 @@ def comparable_references(pooled: DataFrame, refs: DataFrame, key: str = "record
 def category_vectors(refs: DataFrame) -> DataFrame:
     """Per width, a map from category code to the mean unit vector of its references.
 
-    At most one row of four vectors per width up to MAX_WIDTH, whatever the
-    number of references: under 70 MB if every width occurs, 40 KB for one of 1280.
+    One row of four vectors per width, whatever the number of references: 40 KB for one of 1280.
     """
     units = finite(refs.where(F.col("site_type").isin(CODES))).select(
         V.width(F.col("embedding")).alias("width"), "site_type", V.unit(F.col("embedding")).alias("vector"))
@@ -91,13 +104,15 @@ def _category_slots() -> str:
     return f"array({', '.join(slot(i, *category) for i, category in enumerate(C.CATEGORIES))}) AS categories"
 
 
-def with_category_similarity(pooled: DataFrame, refs: DataFrame) -> DataFrame:
+def with_category_similarity(pooled: DataFrame, refs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Add `categories`: status, ordinal and mean similarity (null without
-    references) for each of the four categories, in tie-break order."""
+    references) for each of the four categories, in tie-break order. `vectors`
+    are the stored `category_vectors` of the references, if there are any."""
+    vectors = category_vectors(refs) if vectors is None else vectors
     rest = [c for c in pooled.columns if c != "dim"]
     return (
         pooled.select(*rest, V.width(F.col("embedding")).alias("dim"), F.expr(_NORM))
-        .join(F.broadcast(category_vectors(refs)), "dim", "left")
+        .join(_small(vectors, refs), "dim", "left")
         .select(*rest, "dim", F.expr(_category_slots()))
     )
 
@@ -123,8 +138,8 @@ def complete_categories(pooled: DataFrame, refs: DataFrame, key: str = "recordin
     )
 
 
-def classify(pooled: DataFrame, refs: DataFrame,
-             default: float = C.EMPTY_CATEGORY_SIMILARITY) -> DataFrame:
+def classify(pooled: DataFrame, refs: DataFrame, default: float = C.EMPTY_CATEGORY_SIMILARITY,
+             vectors: DataFrame | None = None) -> DataFrame:
     """Add `probabilities` (ordered array of status and p), `label`, `confidence` and `valid`.
 
     Row-local after one small broadcast. Probabilities are normalised only when
@@ -134,7 +149,7 @@ def classify(pooled: DataFrame, refs: DataFrame,
     """
     any_refs = refs.limit(1).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     placeholder = ", ".join(f"named_struct('status', '{s}', 'p', {p}D)" for s, p in C.PLACEHOLDER_PROBABILITIES)
-    similar = with_category_similarity(pooled, refs)
+    similar = with_category_similarity(pooled, refs, vectors)
     kept = similar.drop("categories").columns
     scored = similar.select(
         *kept, "categories", any_refs.alias("_any"),

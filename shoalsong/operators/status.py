@@ -20,6 +20,27 @@ def latest_state(log: DataFrame, *keys: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_s")).select(*keys, "_s.*")
 
 
+def current_items(log: DataFrame, *keys: str) -> DataFrame:
+    """Items after all puts and updates of a log with `op`, "put" or "update".
+
+    A put replaces the item; an update sets the attributes it names, those that
+    are not null, and leaves the others as they are. Per attribute that is the
+    newest value that is not null among the last put and what follows it.
+    """
+    keys = keys or ("pk", "sk")
+    rest = [c for c in log.columns if c not in (*keys, "op")]
+    order = F.struct("ts", "event_id")
+    puts = log.where(F.col("op") == "put").groupBy(*keys).agg(F.max(order).alias("_put"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    condition = same[0]
+    for part in same[1:]:
+        condition = condition & part
+    since = log.alias("l").join(puts.alias("p"), condition, "left").where(
+        F.col("_put").isNull() | (F.struct("l.ts", "l.event_id") >= F.col("_put"))).select("l.*")
+    return since.groupBy(*keys).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest])
+
+
 def status_flags(log: DataFrame, key: str = "analysis_id") -> DataFrame:
     """Which items exist per analysis; also the state kept by the streaming form."""
     def has(sk):
@@ -55,8 +76,9 @@ def with_status(flags: DataFrame, errors_first: bool = False) -> DataFrame:
 
 def resolve_status(requests: DataFrame, log: DataFrame, key: str = "analysis_id",
                    errors_first: bool = False) -> DataFrame:
-    """Status of every requested analysis; unknown ones are `not_found`."""
-    flags = status_flags(log, key)
+    """Status of every requested analysis; unknown ones are `not_found`. Only
+    the log rows of requested analyses are aggregated."""
+    flags = status_flags(log.join(requests.select(key), key, "left_semi"), key)
     joined = requests.select(key).join(flags, key, "left")
     return with_status(joined.fillna(False, ["has_result", "has_preprocessed", "has_error"]), errors_first)
 
@@ -78,11 +100,13 @@ def orphan_requests(requests: DataFrame, uploads: DataFrame, key: str = "upload_
 
 
 def required_field(requests: DataFrame, column: str, field: str, error_code: str = C.MISSING_UPLOAD_ID) -> DataFrame:
-    """Parse `field` out of a JSON body; a missing or empty value, or a body that
-    is not JSON, gets the error code."""
+    """Parse `field` out of a JSON body; a missing or empty value gets the error
+    code, a body that is not JSON the code of a request that failed."""
     value = F.get_json_object(column, f"$.{field}")
+    malformed = F.col(column).isNotNull() & F.try_parse_json(F.col(column)).isNull()
     return requests.withColumn(field, value).withColumn(
-        "error_code", F.when(value.isNull() | (value == ""), F.lit(error_code)))
+        "error_code", F.when(malformed, F.lit(C.ANALYZE_FAILED))
+        .when(value.isNull() | (value == ""), F.lit(error_code)))
 
 
 def upload_lifecycle(uploads: DataFrame, analyses: DataFrame, results: DataFrame, key: str = "upload_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,22 @@ from shoalsong.operators import embedding, features, similarity, validation
 from shoalsong.sources import corpus, tables, wav
 
 
-def check_files(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(checked files, oversized files): headers parsed, durations judged."""
+def check_files(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES,
+                root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(checked files, oversized files): headers parsed, durations judged. The
+    recording_id is the path below `root`, so equal names in two folders stay two recordings."""
     admitted, oversized = validation.admit_by_size(files, max_bytes)
     checked = wav.with_duration_check(wav.with_header(admitted), spec)
-    return checked.withColumn("recording_id", corpus.file_name(F.col("path"))), oversized
+    return checked.withColumn("recording_id", corpus.below(F.col("path"), root)), oversized
 
 
-def segments_of(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
+def segments_of(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES,
+                root: str | None = None) -> DataFrame:
     """One pass over the files: a row per segment, and a row with an error for
     every file that yields none. Written once, the two kinds are read apart by
     `good_segments` and `dead_letters`."""
-    checked, oversized = check_files(files, spec, max_bytes)
-    too_large = oversized.select(corpus.file_name(F.col("path")).alias("recording_id"), "error_code", "error")
+    checked, oversized = check_files(files, spec, max_bytes, root)
+    too_large = oversized.select(corpus.below(F.col("path"), root).alias("recording_id"), "error_code", "error")
     return wav.cut_segments(checked, spec).unionByName(too_large, allowMissingColumns=True)
 
 
@@ -76,6 +81,22 @@ def embed_files(
     return embedding.pool_with_fallback(segment_vectors(checked, spec, factory, width, noise), "recording_id")
 
 
+def file_outcomes(files: DataFrame, pooled: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES,
+                  root: str | None = None) -> DataFrame:
+    """Exactly one row per file: its pooled embedding, or an error_code and error.
+
+    `pooled` is the stored result of `embed_files` on the same files. A file that
+    was admitted and still has no vector failed while it was cut or described.
+    """
+    checked, oversized = check_files(files, spec, max_bytes, root)
+    judged = checked.select("recording_id", "error_code", "error").unionByName(
+        oversized.select(corpus.below(F.col("path"), root).alias("recording_id"), "error_code", "error"))
+    failed = F.col("error_code").isNull() & F.col("embedding").isNull()
+    return judged.join(pooled, "recording_id", "left").withColumn(
+        "error_code", F.when(failed, F.lit(C.PROCESSING_FAILED)).otherwise(F.col("error_code"))).withColumn(
+        "error", F.when(failed, F.lit("no vector could be made of the samples")).otherwise(F.col("error")))
+
+
 def _stored(value: Column) -> Column:
     return F.round(value, C.STORED_DECIMALS)
 
@@ -127,15 +148,22 @@ def reference_index(segments: DataFrame, key: str = "filename") -> DataFrame:
 
 
 def build_reference_tables(files: DataFrame, spec: SegmentSpec, factory: embedding.ModelFactory, path: str,
-                           width: int = C.EMBEDDING_WIDTH) -> DataFrame:
+                           width: int = C.EMBEDDING_WIDTH, root: str | None = None,
+                           upload_limits: bool = False) -> DataFrame:
     """Embed a reference corpus into two tables below `path`: the vectors of each
     file's segments, and the index of pooled entries. Runs the job.
 
     Returns one row per file seen (country, site_type, num_segments), 0 for files
     that were rejected or of which a segment failed: those are not in the index.
+    A reference needs one segment; the size and duration limits of uploads hold
+    for references only with `upload_limits`.
     """
     spark = files.sparkSession
-    checked, _ = check_files(files, spec)
+    if upload_limits:
+        checked, _ = check_files(files, spec, root=root)
+    else:
+        free = dataclasses.replace(spec, min_seconds=0.0, max_seconds=float("inf"))
+        checked, _ = check_files(files, free, (1 << 63) - 1, root)
     segment_vectors(checked, spec, factory, width).drop("feature_embedding").write.mode("overwrite").parquet(
         f"{path}/segments")
     vectors = spark.read.schema(
@@ -144,7 +172,7 @@ def build_reference_tables(files: DataFrame, spec: SegmentSpec, factory: embeddi
     whole = vectors.join(broken, "recording_id", "left_anti")
     tables.write_references(reference_index(whole.withColumnRenamed("recording_id", "filename")), f"{path}/index")
     index = tables.load_references(spark, f"{path}/index")
-    seen = files.select(corpus.file_name(F.col("path")).alias("filename"))
+    seen = files.select(corpus.below(F.col("path"), root).alias("filename"))
     named = seen.join(index.select("filename", "num_segments"), "filename", "left").withColumn(
         "_p", fields.filename_parts(F.col("filename")))
     return named.select("filename", "_p.country", "_p.site_type",

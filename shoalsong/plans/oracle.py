@@ -308,7 +308,7 @@ SELECT event_id, CASE sk WHEN 'METADATA' THEN 'UPLOAD' ELSE 'ANALYSIS' END AS ki
 ORACLE["json_required_field"] = """
 SELECT event_id,
        CASE WHEN event_type = 'view' THEN '' WHEN event_type IN ('signup', 'purchase') THEN regexp_extract(props, '"k": ([0-9]+)', 1) END AS k,
-       CASE WHEN event_type IN ('view', 'click', 'error') THEN 'MISSING_UPLOAD_ID' END AS error_code
+       CASE WHEN event_type = 'error' THEN 'ANALYZE_FAILED' WHEN event_type IN ('view', 'click') THEN 'MISSING_UPLOAD_ID' END AS error_code
 FROM events"""
 
 # --- Signal ------------------------------------------------------------------
@@ -559,9 +559,11 @@ SELECT count(*) AS total_sites, count(*) FILTER (status = 'healthy') AS healthy,
        count(*) FILTER (status LIKE 'restored%') AS restored FROM sites"""
 
 ORACLE["country_status_pivot"] = with_(SITES) + """
-SELECT country, count(*) FILTER (status = 'healthy') AS healthy, count(*) FILTER (status = 'degraded') AS degraded,
-       count(*) FILTER (status = 'restored_early') AS restored_early, count(*) FILTER (status = 'restored_mid') AS restored_mid
-FROM sites GROUP BY country"""
+, told AS (SELECT country, right(site_id, 1) NOT IN ('7', '8') AS known, status FROM sites)
+SELECT country, count(*) FILTER (known AND status = 'healthy') AS healthy, count(*) FILTER (known AND status = 'degraded') AS degraded,
+       count(*) FILTER (known AND status = 'restored_early') AS restored_early,
+       count(*) FILTER (known AND status = 'restored_mid') AS restored_mid, count(*) FILTER (NOT known) AS unknown
+FROM told GROUP BY country"""
 
 ORACLE["value_counts"] = with_(SITES) + """
 SELECT 'status' AS field, status AS value, count(*) AS n FROM sites GROUP BY ALL

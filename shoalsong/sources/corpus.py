@@ -27,6 +27,17 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def below(path: Column, root: str | None) -> Column:
+    """The path below a scan root: what tells recordings of one corpus apart, as files in
+    different folders may share a name. Without a root, or outside of it, the path itself."""
+    if root is None:
+        return path
+    scheme = r"^[A-Za-z][\w+.-]*:/*|^/+"
+    plain = F.regexp_replace(path, scheme, "/")
+    prefix = re.sub(scheme, "/", root).rstrip("/") + "/"
+    return F.when(plain.startswith(prefix), F.substring(plain, F.lit(len(prefix) + 1), F.length(plain))).otherwise(path)
+
+
 def export_recordings(files: DataFrame, folder: str) -> DataFrame:
     """Write rows (name, content) as one file each; yields (path, length).
 

@@ -198,6 +198,8 @@ def cut_batches(spec: SegmentSpec, compat: bool = False):
     def windows(row):
         signal = _mono(row["data"].as_buffer(), row["bits"].as_py(), row["audio_format"].as_py(),
                        row["channels"].as_py(), compat)
+        if signal.dtype.kind == "f" and not np.isfinite(signal).all():
+            raise ValueError("samples are not finite numbers")
         rate = row["sample_rate"].as_py()
         for i in range(row["num_segments"].as_py()):
             yield signal[i * size:(i + 1) * size] if rate == target else _interpolate(signal, *grid(rate, i))

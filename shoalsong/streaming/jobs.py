@@ -20,6 +20,8 @@ from shoalsong import schemas
 from shoalsong.constants import SegmentSpec
 from shoalsong.operators import similarity, status
 from shoalsong.plans import analysis
+from shoalsong.sources import workspace
+from shoalsong.sources.tables import read_if_present
 
 
 def ingest(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -31,9 +33,9 @@ def ingest(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> D
     )
 
 
-def segments(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
+def segments(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES, root: str | None = None) -> DataFrame:
     """Segments of the arriving files: the batch code unchanged."""
-    return analysis.segments_of(files, spec, max_bytes)
+    return analysis.segments_of(files, spec, max_bytes, root)
 
 
 def timed(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -50,13 +52,23 @@ def classify_batches(pooled: DataFrame, refs: DataFrame, key: str, path: str, ch
     """Classify arriving pooled vectors against a fixed reference table.
 
     The nearest sites need a ranking, which a stream cannot do across batches
-    but each micro-batch can for its own recordings.
+    but each micro-batch can for its own recordings. What depends on the
+    references alone is made once, before the stream starts.
     """
+    spark = pooled.sparkSession
+    folder = workspace.new_folder(spark, "categories")
+    similarity.category_vectors(refs).write.parquet(folder)
+    vectors = spark.read.parquet(folder)
+    if sizes.get("matrix_bytes") is None:
+        sizes["matrix_bytes"] = similarity.reference_bytes(refs)
+
     def score(batch: DataFrame, batch_id: int) -> None:
-        labels = similarity.classify(batch, refs).select(key, "label", "confidence")
+        batch = batch.persist()
+        labels = similarity.classify(batch, refs, vectors=vectors).select(key, "label", "confidence")
         sites = similarity.similar_sites_or_placeholder(batch, refs, key, **sizes)
         best = sites.where(F.col("rank") == 1).select(key, "site_id", "similarity")
         labels.join(best, key, "left").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
 
     return (pooled.writeStream.foreachBatch(score)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
@@ -78,19 +90,44 @@ def _first_copies(keys: list[str]):
     return run
 
 
-def deduplicated(log: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """First delivery of each key; a copy is dropped if it comes within `delay`.
+def deduplicated(log: DataFrame, keys: list[str], delay: str | None = None) -> DataFrame:
+    """First delivery of each key, however late it comes; no row is lost.
+
+    The state holds every key seen (use the RocksDB store; `write_new` needs no
+    state at all). With `delay` the state is cleared of keys older than that,
+    but then Spark also drops first deliveries that come later than `delay`
+    behind the newest row.
 
     Copies that arrive in the same Arrow batch are dropped before the shuffle:
     of a key redelivered without end, each batch sends one row to its task.
     """
-    log = log.mapInArrow(_first_copies(keys), log.schema)
-    return timed(log).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    log = timed(log.mapInArrow(_first_copies(keys), log.schema))
+    if delay is None:
+        return log.dropDuplicates(keys)
+    return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+
+
+def write_new(stream: DataFrame, path: str, checkpoint: str, keys: list[str], trigger: dict = DRAIN) -> StreamingQuery:
+    """Rows whose key no earlier batch has written, one folder per batch, replaced on replay.
+
+    The table itself is the memory: each batch is joined with the keys of the
+    earlier folders, so nothing is held as state and nothing is ever too late.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        schema = f"{', '.join(f'`{n}` {t}' for n, t in batch.dtypes)}, batch bigint"
+        known = read_if_present(batch.sparkSession, path, schema, basePath=path).where(F.col("batch") < batch_id)
+        fresh = batch.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (stream.writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def hourly_errors(logs: DataFrame, delay: str = "1 hour") -> DataFrame:
+def hourly_errors(logs: DataFrame) -> DataFrame:
+    """Errors per hour and function, for update mode. Late rows are counted like
+    any other: the state is one number per hour and function, so it needs no watermark."""
     return (
-        timed(logs).where(F.col("level") == "ERROR").withWatermark("ts", delay)
+        timed(logs).where(F.col("level") == "ERROR")
         .groupBy(F.window("ts", "1 hour").alias("w"), "function").agg(F.count(F.lit(1)).alias("errors"))
         .select(F.col("w.start").alias("hour"), "function", "errors")
     )
@@ -111,7 +148,7 @@ def write_latest(updates: DataFrame, path: str, checkpoint: str, trigger: dict =
 
 
 def read_latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
-    """Newest row per key of a `write_latest` table."""
-    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
+    """Newest row per key of a `write_latest` table; empty before its first batch."""
+    rows = read_if_present(spark, path, schema, basePath=path)
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")

@@ -73,7 +73,7 @@ def folder(tmp_path_factory):
 @pytest.fixture(scope="module")
 def segments(spark, folder):
     path = folder + "-segments"
-    tables.write_segments(analysis.segments_of(corpus.scan_recordings(spark, folder), CURRENT_SPEC), path)
+    tables.write_segments(analysis.segments_of(corpus.scan_recordings(spark, folder), CURRENT_SPEC, root=folder + "/deep"), path)
     return tables.read_segments(spark, path)
 
 
@@ -105,7 +105,7 @@ def test_every_file_is_segments_or_one_error(segments):
 
 
 def test_size_limit(spark, folder):
-    small = analysis.segments_of(corpus.scan_recordings(spark, folder), CURRENT_SPEC, max_bytes=100)
+    small = analysis.segments_of(corpus.scan_recordings(spark, folder), CURRENT_SPEC, max_bytes=100, root=folder + "/deep")
     errors = {r["recording_id"]: r["error_code"] for r in analysis.dead_letters(small).collect()}
     assert errors["plain.wav"] == "FILE_TOO_LARGE" and errors["no_data.wav"] == "INVALID_AUDIO_FORMAT"
 
@@ -141,7 +141,7 @@ def test_stereo_is_scaled_by_its_peak(segments):
 
 def test_compat_scales(spark, folder):
     files = corpus.scan_recordings(spark, folder).where(F.col("path").endswith("eight_bit.wav"))
-    checked, _ = analysis.check_files(files, CURRENT_SPEC)
+    checked, _ = analysis.check_files(files, CURRENT_SPEC, root=folder + "/deep")
     old = signal_of(W.cut_segments(checked, CURRENT_SPEC, compat=True), "eight_bit.wav")
     new = signal_of(W.cut_segments(checked, CURRENT_SPEC), "eight_bit.wav")
     assert np.allclose(old * 256, new, atol=1e-6)
@@ -149,7 +149,7 @@ def test_compat_scales(spark, folder):
 
 def test_decoded_chunks_join_to_the_signal(spark, folder):
     files = corpus.scan_recordings(spark, folder).where(F.col("path").endswith("resampled.wav"))
-    checked, _ = analysis.check_files(files, CURRENT_SPEC)
+    checked, _ = analysis.check_files(files, CURRENT_SPEC, root=folder + "/deep")
     rows = W.decode_samples(checked, chunk=30000).orderBy("start_idx").collect()
     assert [r["start_idx"] for r in rows] == list(range(0, 200000, 30000))
     assert np.allclose(np.concatenate([r["samples"] for r in rows]), int16(sine(12.5, 16000)) / 32768)
@@ -198,7 +198,7 @@ def test_embedding_falls_back_per_recording(spark, folder):
 
     names = ("plain.wav", "silent_stereo.wav", "resampled.wav")
     files = corpus.scan_recordings(spark, folder).where(corpus.file_name(F.col("path")).isin(*names))
-    checked, _ = analysis.check_files(files, CURRENT_SPEC)
+    checked, _ = analysis.check_files(files, CURRENT_SPEC, root=folder + "/deep")
     rows = {r["recording_id"]: r for r in analysis.embed_files(checked, CURRENT_SPEC, picky, width=8, noise=False).collect()}
     assert {n: rows[n]["synthetic"] for n in names} == {"plain.wav": False, "silent_stereo.wav": True, "resampled.wav": False}
     signal = (int16(sine(6, R)) / 32768)[:160000]
@@ -208,7 +208,7 @@ def test_embedding_falls_back_per_recording(spark, folder):
 
 def test_no_model_gives_1280_features(spark, folder):
     files = corpus.scan_recordings(spark, folder).where(F.col("path").endswith("plain.wav"))
-    checked, _ = analysis.check_files(files, CURRENT_SPEC)
+    checked, _ = analysis.check_files(files, CURRENT_SPEC, root=folder + "/deep")
     row = analysis.embed_files(checked, CURRENT_SPEC).first()
     assert row["synthetic"] and row["dim"] == C.EMBEDDING_WIDTH
     window = (int16(sine(6, R)) / 32768)[:160000].astype(np.float32).astype(float)
@@ -223,3 +223,33 @@ def test_export_then_scan(spark, tmp_path):
         corpus.export_recordings(files, str(tmp_path)).collect()
     found = corpus.scan_recordings(spark, str(tmp_path)).select("length", "content").orderBy("length").collect()
     assert [(r["length"], bytes(r["content"])) for r in found] == [(1, b"1"), (2, b"22")]
+
+
+def test_equal_names_in_two_folders_are_two_recordings(spark, tmp_path):
+    for name, tone in (("u1", 440), ("u2", 880)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "rec.wav").write_bytes(wav(int16(sine(11, R, tone)), R))
+    files = corpus.scan_recordings(spark, str(tmp_path))
+    checked, _ = analysis.check_files(files, CURRENT_SPEC, root=f"file://{tmp_path}")
+    rows = {r["recording_id"]: r for r in analysis.embed_files(checked, CURRENT_SPEC, noise=False).collect()}
+    assert {k: r["num_segments"] for k, r in rows.items()} == {"u1/rec.wav": 2, "u2/rec.wav": 2}
+    assert rows["u1/rec.wav"]["embedding"] != rows["u2/rec.wav"]["embedding"]
+
+
+def test_samples_that_are_no_numbers_fail_one_file_only(spark, tmp_path):
+    samples = np.array(sine(11, R), np.float32)
+    bad = samples.copy()
+    bad[-5] = np.nan
+    (tmp_path / "good.wav").write_bytes(wav(samples, R, bits=32, kind=3))
+    (tmp_path / "nan.wav").write_bytes(wav(bad, R, bits=32, kind=3))
+    (tmp_path / "short.wav").write_bytes(wav(int16(sine(1, R)), R))
+    root, path = str(tmp_path), str(tmp_path / "pooled")
+    files = corpus.scan_recordings(spark, root)
+    checked, _ = analysis.check_files(files, CURRENT_SPEC, root=root)
+    analysis.embed_files(checked, CURRENT_SPEC).write.parquet(path)
+    outcome = analysis.file_outcomes(files, spark.read.parquet(path), CURRENT_SPEC, root=root).collect()
+    assert {r["recording_id"]: (r["error_code"], r["num_segments"]) for r in outcome} == {
+        "good.wav": (None, 2), "nan.wav": ("PROCESSING_FAILED", None), "short.wav": ("AUDIO_TOO_SHORT", None)}
+    letters = analysis.dead_letters(analysis.segments_of(files, CURRENT_SPEC, root=root)).collect()
+    assert sorted((r["recording_id"], r["error_code"]) for r in letters) == [
+        ("nan.wav", "PROCESSING_FAILED"), ("short.wav", "AUDIO_TOO_SHORT")]

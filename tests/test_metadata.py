@@ -135,3 +135,18 @@ def test_shared_folder_comes_from_the_session(spark):
     assert workspace.shared_folder(Session(None, "local[2]"))
     with pytest.raises(RuntimeError):
         workspace.shared_folder(Session(None, "yarn"))
+
+
+def test_updates_keep_other_attributes(spark):
+    from shoalsong.operators import reports, status
+
+    rows = [("U#1", "M", "put", 1, 1, "a1", "uploaded", None), ("U#1", "M", "update", 2, 2, None, "linked", None),
+            ("U#1", "M", "update", 3, 3, None, None, "late"), ("U#2", "M", "put", 1, 4, "x", "uploaded", "old"),
+            ("U#2", "M", "put", 5, 5, "y", "uploaded", None), ("U#2", "M", "update", 4, 6, None, "lost", None),
+            ("U#3", "M", "update", 1, 7, None, "only", None)]
+    log = spark.createDataFrame(rows, "pk string, sk string, op string, ts bigint, event_id bigint, analysis_id string, status string, error string")
+    got = {r["pk"]: (r["analysis_id"], r["status"], r["error"]) for r in status.current_items(log).collect()}
+    assert got == {"U#1": ("a1", "linked", "late"), "U#2": ("y", "uploaded", None), "U#3": (None, "only", None)}
+    sites = spark.createDataFrame([("a", "healthy"), ("a", None), ("a", "closed")], "country string, status string")
+    assert reports.country_status_pivot(sites).first().asDict() == {
+        "country": "a", "healthy": 1, "degraded": 0, "restored_early": 0, "restored_mid": 0, "unknown": 2}

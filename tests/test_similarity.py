@@ -143,10 +143,10 @@ def test_mean_pool_widths(spark, width):
     assert got[9]["embedding"] is None and got[9]["num_segments"] == 0
 
 
-def test_mean_pool_refuses_mixed_widths(spark):
+def test_mixed_widths_have_no_mean(spark):
     df = spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "recording_id bigint, embedding array<double>")
-    with pytest.raises(Exception, match="differ in width"):
-        embedding.mean_pool(df, "recording_id").collect()
+    assert embedding.mean_pool(df, "recording_id").first().asDict() == {
+        "recording_id": 1, "embedding": None, "dim": None, "num_segments": 2}
 
 
 def test_projection_of_odd_width(spark):
@@ -175,3 +175,18 @@ def test_vectors_with_nan(spark):
     assert rows[1]["label"] is None and not rows[1]["valid"]
     nearest = similarity.nearest_references(pooled, refs).orderBy("rank").collect()
     assert [(r["recording_id"], r["ref_id"]) for r in nearest] == [(0, 2), (0, 0)]
+
+
+def test_wide_and_mixed_vectors_do_not_fail_others(spark):
+    from shoalsong import schemas
+    from shoalsong.operators import embedding, similarity
+
+    wide = [float(i % 7) for i in range(4096)]
+    refs = spark.createDataFrame([(1, "f", "s1", "c", "H", 1, wide), (2, "g", "s2", "c", "D", 1, [1.0, 0.0])], schemas.REFERENCE_ENTRY)
+    pooled = spark.createDataFrame([("a", wide), ("b", [2.0, 0.0])], "recording_id string, embedding array<double>")
+    got = {r["recording_id"]: (r["label"], r["dim"]) for r in similarity.classify(pooled, refs).collect()}
+    assert got["a"][1] == 4096 and got["a"][0] == "healthy" and got["b"][0] == "degraded"
+    segments = spark.createDataFrame([("m", [1.0, 2.0]), ("m", [1.0]), ("ok", [1.0, 3.0]), ("ok", [3.0, 5.0])],
+                                     "recording_id string, embedding array<double>")
+    means = {r["recording_id"]: (r["embedding"], r["dim"]) for r in embedding.mean_pool(segments, "recording_id").collect()}
+    assert means == {"m": (None, None), "ok": ([2.0, 4.0], 2)}

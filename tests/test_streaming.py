@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from wavs import int16, sine, wav
 
@@ -17,10 +18,13 @@ from shoalsong.streaming import jobs
 
 @pytest.fixture
 def split_events(spark, tmp_path):
-    """The events as eight files, and a stream that reads one file per batch."""
+    """The events as five files, and a stream that reads one file per batch."""
     folder = str(tmp_path / "events")
     events = B.table(spark, SMALL, "events")
-    events.repartitionByRange(8, "event_id").write.parquet(folder)
+    # Newest first: every later file lies behind what has been seen.
+    places = events.withColumn("_part", F.ntile(5).over(Window.orderBy(F.desc("ts"), "event_id")))
+    for part in range(1, 6):
+        places.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return events, stream
 
@@ -47,7 +51,7 @@ def test_redelivered_items(spark, split_events, tmp_path):
     events, stream = split_events
     path, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     twice = B.job_log(stream).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("copy")
-    run(jobs.write_table, jobs.deduplicated(twice, ["pk", "sk", "event_id"], "30 days").select("event_id"), path, progress)
+    run(jobs.write_table, jobs.deduplicated(twice, ["pk", "sk", "event_id"]).select("event_id"), path, progress)
     got = sorted(r[0] for r in spark.read.parquet(path).collect())
     assert got == sorted(r["event_id"] for r in B.job_log(events).collect())
 
@@ -55,7 +59,7 @@ def test_redelivered_items(spark, split_events, tmp_path):
 def test_error_windows(spark, split_events, tmp_path):
     events, stream = split_events
     path, progress = str(tmp_path / "out"), str(tmp_path / "progress")
-    run(jobs.write_latest, jobs.hourly_errors(B.function_log(stream), "60 days"), path, progress)
+    run(jobs.write_latest, jobs.hourly_errors(B.function_log(stream)), path, progress)
     got = jobs.read_latest(spark, path, "hour timestamp, function string, errors bigint, batch bigint", ["hour", "function"])
     want = B.function_log(events).where("level = 'ERROR'").groupBy(
         F.date_trunc("hour", "ts").cast("timestamp").alias("hour"), "function").count()
@@ -97,3 +101,16 @@ def test_classification(spark, tmp_path):
     got = {r["recording_id"]: r["label"] for r in spark.read.parquet(path).collect()}
     want = {r["recording_id"]: r["label"] for r in similarity.classify(pooled, refs).collect()}
     assert got == want
+
+
+def test_new_rows_by_the_table_itself(spark, split_events, tmp_path):
+    events, stream = split_events
+    path, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    keys = ["user_id", "event_type"]
+    run(jobs.write_new, stream.select(*keys, "event_id"), path, progress, keys)
+    got = sorted(map(tuple, spark.read.parquet(path).select(*keys).collect()))
+    assert got == sorted(map(tuple, events.select(*keys).distinct().collect()))
+
+
+def test_no_batch_yet(spark, tmp_path):
+    assert jobs.read_latest(spark, str(tmp_path / "none"), "a bigint, b string, batch bigint", ["a"]).count() == 0
