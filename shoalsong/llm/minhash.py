@@ -14,17 +14,19 @@ Nothing emits all pairs of a group:
 1. Documents with equal sets are one class; only classes are compared.
 2. Each class is compared with one partner, the index leader it shares most
    keys with. Confirmed links are joined into components.
-3. Index keys that still hold more than one component yield, per class, its
-   nearest class of another component; those are confirmed, too.
-4. What then remains in different components under one key and within distance
-   19 is compared completely. After that every candidate link is confirmed,
-   refused, or inside one component.
+3. Index keys that still hold more than one component are compared completely,
+   block by block; of the pairs of different components within distance 19 a
+   task returns a forest that joins the same classes, never all of them.
+4. What such forests join is a cell. The sets of a cell, in blocks, meet each
+   other, all pairs of different components are counted exactly, and again
+   only links that join something are returned.
+
+After that every candidate link is confirmed, refused, or inside one component.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalsong.llm import words
-from shoalsong.llm.tables import broadcast_if_small, components, partitions, staged
+from shoalsong.llm.tables import broadcast_if_small, components, staged
 
 CHUNKS, WIDTH = 10, 4
 POSITIONS = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
-#: Sets in memory at once in a confirming task, about; rows of a block in a comparing task.
-SETS, BLOCK = 1000, 1024
+#: Pairs in a cell of the first comparison; signatures of a block under one key; sets of a block in a cell.
+FOLLOWERS, BLOCK, SETS = 128, 1024, 512
 
 _random = np.random.RandomState(7)
 FACTORS = _random.randint(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _random.randint(0, 2**63, POSITIONS, dtype=np.uint64)
 PLACES = _random.randint(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNED = "doc_id bigint, n_shingles bigint, digest binary, signature binary"
+SIGNED = "doc_id bigint, text_key string, n_shingles bigint, digest binary, signature binary"
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -70,8 +72,12 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def text_key():
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key")
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Per document (doc_id, n_shingles, digest of its set, signature); both null without words."""
+    """Per document (doc_id, md5 of its text, n_shingles, digest of its set, signature); the last two are null without words."""
     def run(batches):
         hasher = words.Hasher()
         for batch in batches:
@@ -82,11 +88,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 counts[row], digests[row] = len(shingles), digest(shingles)
                 signs[row] = signature(shingles).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(counts), pa.array(digests, pa.binary()),
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(counts), pa.array(digests, pa.binary()),
                  pa.array(signs, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "signature"])
+                ["doc_id", "text_key", "n_shingles", "digest", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text", text_key()).mapInArrow(run, SIGNED)
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -125,112 +131,141 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.select("id", "digest", "text").mapInArrow(run, "id bigint, shingles binary")
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (len(both) - common)
+class Forest:
+    """Union-find over numbers below n."""
 
+    def __init__(self, n: int) -> None:
+        self.parent = np.arange(n)
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, cell) whose sets are similar enough, without links that close a circle.
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return int(x)
 
-    Pairs of a cell meet the sets of the cell in one task, so a set travels once
-    per cell, not once per pair. Cells are packed into tasks of about SETS sets;
-    the caller splits larger ones.
-    """
-    pairs = staged(pairs.select("a", "b", F.xxhash64("cell").alias("cell")), "pairs")
-    n = max(1, math.ceil(2 * pairs.count() / SETS), partitions(pairs.sparkSession))
-    pairs = pairs.select("a", "b", F.pmod("cell", F.lit(n)).cast("int").alias("task"))
-    members = pairs.select("task", F.col("a").alias("id")).union(pairs.select("task", F.col("b").alias("id"))).distinct()
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = {i: np.frombuffer(s, np.uint64) for i, s in
-                zip(right.column("id").to_pylist(), right.column("shingles").to_pylist())}
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = up = parent.get(up, up)
-                x = up
-            return x
-
-        found = []
-        for a, b in sorted(zip(left.column("a").to_pylist(), left.column("b").to_pylist())):
-            ra, rb = root(a), root(b)
-            if ra != rb and a in held and b in held and similar(held[a], held[b], percent):
-                parent[max(ra, rb)] = min(ra, rb)
-                found.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    full = members.join(sets, "id").select(F.col("task").alias("at"), "id", "shingles")
-    return staged(pairs.groupBy("task").cogroup(full.groupBy("at")).applyInArrow(run, "a bigint, b bigint"), "links")
-
-
-def leader_pairs(keys: DataFrame) -> DataFrame:
-    """Each class with the index leader it shares most keys with."""
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+class Sets:
+    """Shingle sets as numbers, to count what one has in common with all others."""
+
+    def __init__(self, sets: list[bytes]) -> None:
+        arrays = [np.frombuffer(x, np.uint64) for x in sets]
+        self.size = np.array([len(x) for x in arrays])
+        self.end = np.cumsum(self.size)
+        known, self.codes = np.unique(np.concatenate(arrays), return_inverse=True)
+        self.flags = np.zeros(len(known), bool)
+
+    def similar(self, x: int, percent: int) -> np.ndarray:
+        """Which sets are similar enough to set x. No set is empty."""
+        own = self.codes[self.end[x] - self.size[x] : self.end[x]]
+        self.flags[own] = True
+        common = np.add.reduceat(self.flags[self.codes], self.end - self.size, dtype=np.int64)
+        self.flags[own] = False
+        return 100 * common >= percent * (self.size + self.size[x] - common)
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def leader_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of each class with the index leader it shares most keys with."""
     leaders = keys.groupBy("key").agg(F.min("id").alias("leader"))
     shared = keys.join(leaders, "key").where("leader < id").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-    # A leader's followers are spread over as many cells as their number asks for.
-    size = best.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-    spread = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (SETS // 2)).cast("bigint"))
-    return best.join(size, "leader").select(
-        F.col("leader").alias("a"), F.col("id").alias("b"), F.struct("leader", spread.alias("s")).alias("cell"))
+    # The followers of a leader are spread over as many cells as their number asks for.
+    size = best.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("bigint").alias("cells"))
+    spread = F.pmod(F.xxhash64("id"), F.col("cells"))
+    pairs = staged(best.join(size, "leader").select("leader", "id", spread.alias("cell")), "pairs")
+    followers = pairs.join(sets, "id").select("leader", "cell", "id", "shingles")
+    cells = pairs.groupBy("leader", "cell").agg(F.count(F.lit(1)).alias("n"))
+    heads = cells.join(sets.withColumnRenamed("id", "leader"), "leader")
+    rows = followers.unionByName(heads.select("leader", "cell", F.col("leader").alias("id"), "shingles"))
 
+    def run(table: pa.Table) -> pa.Table:
+        ids, leader = table.column("id").to_numpy(), table.column("leader")[0].as_py()
+        first = int(np.flatnonzero(ids == leader)[0]) if leader in ids else None
+        if first is None or len(ids) < 2:
+            return LINKS.empty_table()
+        found = Sets(table.column("shingles").to_pylist()).similar(first, percent)
+        found[first] = False
+        return pa.table([pa.array(np.full(found.sum(), leader)), pa.array(ids[found])], schema=LINKS)
 
-def open_pairs(keys: DataFrame, classes: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) under one key, of different components, within MAX_DISTANCE.
+    return rows.groupBy("leader", "cell").applyInArrow(run, "a bigint, b bigint")
 
-    With `nearest`, only the nearest partner of each class in a block. The rows
-    of a key are split into blocks, and each pair of blocks is one group, so a
-    group has at most about 2 * BLOCK rows.
-    """
-    root = F.coalesce("root", "id")
-    labelled = keys.join(roots, "id", "left").select("key", "id", root.alias("root"))
+
+def in_blocks(rows: DataFrame, group: str, size: str, limit: int) -> DataFrame:
+    """The rows of a group of `size`, for each pair (i, j) of its blocks of about `limit` rows; `own` is the block."""
+    blocks = F.ceil(F.col(size) / limit).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", group), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
+def _sides(table: pa.Table):
+    """Row numbers of the two blocks of a group, and of all rows a number for their root."""
+    own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    _, roots = np.unique(table.column("root").to_numpy(), return_inverse=True)
+    return np.flatnonzero(own == i), np.flatnonzero(own == j), roots
+
+
+def candidates(keys: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """A forest (a, b) over the pairs under one key, of different components, within MAX_DISTANCE."""
+    labelled = keys.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     opened = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
-    opened = opened.where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(opened, "key").join(classes.select("id", "signature"), "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = labelled.join(opened.where("lo <> hi").select("key", "n"), "key").join(classes.select("id", "signature"), "id")
 
     def run(table: pa.Table) -> pa.Table:
-        ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
-        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids = table.column("id").to_numpy()
+        left, right, roots = _sides(table)
         signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b = [], []
+        forest, a, b = Forest(len(ids)), [], []
+        there_signs, there_roots = signs[right], roots[right]
+        for x in left:
+            near = (there_signs != signs[x]).sum(axis=1, dtype=np.uint8) <= MAX_DISTANCE
+            for y in right[near & (there_roots != roots[x])]:
+                if forest.join(x, y):
+                    a.append(ids[x])
+                    b.append(ids[y])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
+
+    each = in_blocks(rows, "key", "n", BLOCK).select("key", "i", "j", "own", "id", "root", "signature")
+    return each.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def cell_links(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between different components among all that `pairs` hold together."""
+    cells = components(pairs).withColumnRenamed("root", "cell")
+    size = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    rows = cells.join(size, "cell").join(roots, "id", "left").join(sets, "id")
+    rows = rows.select("cell", "n", "id", F.coalesce("root", "id").alias("root"), "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        left, right, roots = _sides(table)
+        held = Sets(table.column("shingles").to_pylist())
+        forest, a, b = Forest(roots.max() + 1), [], []
         for x in left:
-            there = right[(roots[right] != roots[x]) & ((right > x) if i == j and not nearest else True)]
-            far = (signs[there] != signs[x]).sum(axis=1)
-            there, far = there[far <= MAX_DISTANCE], far[far <= MAX_DISTANCE]
-            if nearest:
-                there = there[far == far.min()][:1] if len(far) else there
-            out_a.append(np.full(len(there), ids[x]))
-            out_b.append(ids[there])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    columns = ["key", "i", "j", "own", "id", "root", "signature"]
-    return each.select(*columns).groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
-
-
-def in_cells(pairs: DataFrame) -> DataFrame:
-    """Adds the cell: pairs that hang together, in blocks of bounded size."""
-    roots = components(pairs)
-    size = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / (SETS // 2)).cast("bigint").alias("n"))
-    placed = roots.join(size, "root").select("id", "root", F.pmod(F.xxhash64("id"), "n").alias("s"))
-    a = placed.select(F.col("id").alias("a"), "root", F.col("s").alias("sa"))
-    b = placed.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select(
-        "a", "b", F.struct("root", F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y")).alias("cell"))
+            apart = forest.parent[roots[right]] != forest.root(roots[x])
+            if not apart.any():
+                continue
+            found = held.similar(x, percent)
+            for y in right[apart & found[right]]:
+                if forest.join(roots[x], roots[y]):
+                    a.append(ids[x])
+                    b.append(ids[y])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
+
+    each = in_blocks(rows, "cell", "n", SETS).select("cell", "i", "j", "own", "id", "root", "shingles")
+    return each.groupBy("cell", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of `docs` (doc_id, text): (doc_id, n_shingles, digest, component_id, kept).
+    """Per row of `docs` (doc_id, text): (doc_id, text_key, n_shingles, digest, component_id, kept).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their
     sets of distinct `width`-word shingles, lower-cased in A-Z; with fewer
@@ -255,18 +290,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = shingle_sets(docs, wanted, width)
     sets = staged(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
 
-    links = confirm(leader_pairs(keys), sets, percent)
+    links = staged(leader_links(keys, sets, percent), "links")
     roots = staged(components(links), "roots")
-    for nearest in (True, False):
-        pairs = staged(open_pairs(keys, classes, roots, nearest), "pairs")
-        if not pairs.isEmpty():
-            links = links.union(confirm(in_cells(pairs), sets, percent))
-            roots = staged(components(links), "roots")
+    pairs = staged(candidates(keys, classes, roots), "pairs")
+    if not pairs.isEmpty():
+        links = links.union(staged(cell_links(pairs, roots, sets, percent), "links"))
+        roots = staged(components(links), "roots")
 
     labelled = classes.join(roots, "id", "left").select("digest", "doc_id", F.coalesce("root", "id").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = labelled.join(lowest, "root").select(F.col("digest").alias("_digest"), "component_id")
     out = signed.join(found, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", "digest", component.alias("component_id"))
+    out = out.select("doc_id", "text_key", "n_shingles", "digest", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` (doc_id, text, ...) that stay: one of each component, all its columns.
+
+    That is a row with the smallest doc_id of the component; if rows share that
+    doc_id, the one with the smallest md5 of its text, and of equal rows one.
+    Rows without words are no duplicates, but equal ones are one.
+    """
+    found = near_duplicates(docs, width, percent).where("kept")
+    rows = found.groupBy("component_id", "digest", "text_key").agg(
+        F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
+    # Where a component is told apart by its id alone, several texts may have that id.
+    first = rows.groupBy("component_id", F.col("digest").isNull().alias("_none"),
+                         F.when(F.col("digest").isNull(), F.col("text_key")).alias("_text")).agg(
+        F.min("text_key").alias("_key"), F.min_by("doc_id", "text_key").alias("_id"), F.min_by("_n", "text_key").alias("_n"))
+    first = staged(first.select("_id", "_key", "_n"), "kept")
+    joined = docs.withColumn("_text_key", text_key()).join(
+        broadcast_if_small(first), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    once = joined.where("_n = 1").select(*docs.columns)
+    more = joined.where("_n > 1").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    return once.unionByName(more)
