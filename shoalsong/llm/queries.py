@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoalsong.llm import bpe, chat, embeddings, extract, linefreq, minhash, mixing, pll, toxicity, warc
+from shoalsong.llm.oracle import ORACLE  # noqa: F401
 from shoalsong.llm.tables import load
 
 
@@ -84,7 +85,3 @@ QUERIES = {
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLE = {
-    "op2_perspectives": chat.ORACLE,
-}
