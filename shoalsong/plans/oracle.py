@@ -428,6 +428,10 @@ FEATURES = """described AS (
 ORACLE["feature_embedding"] = with_(SIGNALS, _resampled(), SEGMENTS, LEVELS, SPECTRA, FEATURES) + f"""
 SELECT recording_id, segment_idx, pos, {r6('value', 'value')} FROM described"""
 
+ORACLE["feature_embedding_noisy"] = with_(SIGNALS, _resampled(), SEGMENTS, LEVELS, SPECTRA, FEATURES) + f"""
+SELECT recording_id, segment_idx, (pos // 2)::BIGINT AS block, 320::BIGINT AS n, {r6('min(value)', 'value')}, true AS near, true AS varied
+FROM described GROUP BY recording_id, segment_idx, pos // 2"""
+
 # --- Embedding ---------------------------------------------------------------
 
 ORACLE["embed_segments"] = with_(SIGNALS, QUANTISED, _resampled("quantised"), SEGMENTS) + f"""

@@ -453,8 +453,17 @@ def feature_embedding(spark, sf_dir):
 
 @query
 def feature_embedding_noisy(spark, sf_dir):
-    noisy = features.noisy_vectors(_features(spark, sf_dir), centroid_scale=B.SPEC.rate / 2)
-    return entries(noisy, "recording_id", "segment_idx", vector="feature_embedding")
+    """Per block of a vector what can be told without the noise itself: its length, that its mean
+    is the feature to within five standard errors, and that it varies."""
+    size, key = C.FEATURE_BLOCK, ["recording_id", "segment_idx"]
+    measured = _features(spark, sf_dir)
+    noisy = features.noisy_vectors(measured, centroid_scale=B.SPEC.rate / 2)
+    plain = measured.select(*key, features.feature_vector(block=1, centroid_scale=B.SPEC.rate / 2).alias("plain"))
+    blocks = noisy.join(plain, key).select(*key, "feature_embedding", F.posexplode("plain").alias("block", "value"))
+    part = blocks.withColumn("part", F.slice("feature_embedding", F.col("block") * size + 1, F.lit(size)))
+    near = F.abs(V.mean(F.col("part")) - F.col("value")) <= 5.5 * C.FEATURE_NOISE / size**0.5
+    return part.select(*key, long("block"), long(F.size("part"), "n"), r6("value"), near.alias("near"),
+                       (F.array_max("part") > F.array_min("part")).alias("varied"))
 
 
 # --- Embedding ---------------------------------------------------------------

@@ -21,8 +21,7 @@ def test_equals_sql(spark, con, name):
 
 def test_oracle_names_are_registered():
     assert set(ORACLE) <= set(QUERIES)
-    # The noise of this one exists only in numpy; test_features checks it.
-    assert set(QUERIES) - set(ORACLE) == {"feature_embedding_noisy"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_all_are_in_the_entry():
