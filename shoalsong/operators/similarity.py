@@ -351,16 +351,18 @@ def similar_sites(pooled: DataFrame, refs: DataFrame, key: str = "recording_id",
 
 def similar_sites_or_placeholder(pooled: DataFrame, refs: DataFrame, key: str = "recording_id",
                                  k: int = C.TOP_SITES, **sizes) -> DataFrame:
-    """As `similar_sites`, but the fixed three sites when there is no reference at all."""
+    """As `similar_sites`, but the fixed three sites when there is no reference at all.
+
+    Whether there is one is looked up first, so the recordings are evaluated once.
+    """
+    if not refs.isEmpty():
+        return similar_sites(pooled, refs, key, k, **sizes).drop("ref_id")
     fixed = F.array(*[
         F.struct(F.lit(i + 1).alias("rank"), F.lit(site).alias("site_id"), F.lit(country).alias("country"),
                  F.lit(status).alias("status"), F.lit(similarity).alias("similarity"))
         for i, (site, similarity, country, status) in enumerate(C.PLACEHOLDER_SITES)])
-    empty = refs.limit(1).agg((F.count(F.lit(1)) == 0).alias("empty")).scalar()
-    placeholder = pooled.where(empty).select(key, F.explode(fixed).alias("s")).select(
+    return pooled.select(key, F.explode(fixed).alias("s")).select(
         key, "s.rank", "s.site_id", "s.country", "s.status", "s.similarity")
-    found = similar_sites(pooled, refs, key, k, **sizes).drop("ref_id")
-    return found.unionByName(placeholder)
 
 
 # --- Projection --------------------------------------------------------------

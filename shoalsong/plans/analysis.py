@@ -12,7 +12,7 @@ from shoalsong.constants import SegmentSpec
 from shoalsong.functions import fields
 from shoalsong.functions import vectors as V
 from shoalsong.operators import embedding, features, similarity, validation
-from shoalsong.sources import corpus, tables, wav
+from shoalsong.sources import corpus, tables, wav, workspace
 
 
 def check_files(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES,
@@ -102,7 +102,14 @@ def _stored(value: Column) -> Column:
 
 
 def result_documents(pooled: DataFrame, refs: DataFrame, key: str = "analysis_id") -> DataFrame:
-    """One nested result per recording (`schemas.RESULT`), rounded for storage."""
+    """One nested result per recording (`schemas.RESULT`), rounded for storage.
+
+    The pooled vectors are written once and read by the classification and by
+    the search, so that files behind them are decoded and embedded once.
+    """
+    spark, folder = pooled.sparkSession, workspace.new_folder(pooled.sparkSession, "pooled")
+    pooled.write.parquet(folder)
+    pooled = spark.read.schema(pooled.schema).parquet(folder)
     scored = similarity.project_2d(similarity.classify(pooled, refs))
     sites = (
         similarity.similar_sites_or_placeholder(pooled, refs, key)
