@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoalsong.constants import SegmentSpec
+from shoalsong.constants import MAX_FILE_BYTES, SegmentSpec
 from shoalsong.functions import fields
 from shoalsong.operators import embedding, signal, validation
 from shoalsong.sources import wav
@@ -74,14 +74,27 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("recording_id"), "event_id", "ts", level.alias("v"), rate.alias("sample_rate"))
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample rows of the valid recordings, numbered in time order."""
+def _numbered(placed: DataFrame) -> DataFrame:
+    """Sample rows numbered in time order, of recordings that are bounded and placed."""
     order = Window.partitionBy("recording_id").orderBy("ts", "event_id")
-    return validation.admitted_samples(samples(spark, sf_dir), SPEC).select(
+    return placed.select(
         "recording_id", (F.row_number().over(order) - 1).cast("bigint").alias("sample_idx"), "v",
         "sample_rate", "n_samples")
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample rows of the valid recordings."""
+    return _numbered(validation.admitted_samples(samples(spark, sf_dir), SPEC))
+
+
+def file_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample rows of every recording that fits into a file of the published size limit."""
+    rows = samples(spark, sf_dir)
+    sizes = rows.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    fitting = sizes.where(F.col("n_samples") <= (MAX_FILE_BYTES - wav.HEADER_BYTES) // 2)
+    return _numbered(rows.join(fitting, "recording_id").repartition("recording_id"))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled sample rows with segment_idx and offset."""
     return signal.segment_fixed(signal.resample_linear(signals(spark, sf_dir), SPEC.rate), SPEC)
@@ -95,12 +108,12 @@ def pcm_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(recording_id, path, length, content): each valid recording as a WAV file.
+    """(recording_id, path, length, content): every recording as a WAV file, valid or not.
 
-    A valid recording has a bounded number of samples, so collecting it is safe.
+    The size limit bounds the samples of a recording, so collecting them is safe.
     """
     pcm = (
-        signals(spark, sf_dir)
+        file_signals(spark, sf_dir)
         .groupBy("recording_id")
         .agg(F.sort_array(F.collect_list(F.struct("sample_idx", signal.quantize_pcm16(F.col("v")).alias("q")))).alias("s"),
              F.max("sample_rate").alias("sample_rate"))

@@ -194,7 +194,7 @@ USAGE = """usage AS (
 # --- Sources and sinks -------------------------------------------------------
 
 ORACLE["scan_recordings"] = ORACLE["stream_ingest"] = with_(SAMPLES) + f"""
-SELECT {NAME} AS filename, (44 + 2 * n_samples)::BIGINT AS length FROM verdicts WHERE error_code IS NULL"""
+SELECT {NAME} AS filename, (44 + 2 * n_samples)::BIGINT AS length FROM verdicts"""
 
 ORACLE["admit_by_size"] = """
 SELECT doc_id, n_chars AS size_bytes, CASE WHEN n_chars > 5000 THEN 'FILE_TOO_LARGE' END AS error_code FROM documents"""
@@ -213,13 +213,14 @@ SELECT recording_id, (44 + 2 * n_samples)::BIGINT AS length,
        '52494646' || {_hex('36 + 2 * n_samples', 4)} || '57415645' || '666d7420' || {_hex('16::BIGINT', 4)}
        || {_hex('1::BIGINT', 2)} || {_hex('1::BIGINT', 2)} || {_hex('sample_rate::BIGINT', 4)} || {_hex('2 * sample_rate::BIGINT', 4)}
        || {_hex('2::BIGINT', 2)} || {_hex('16::BIGINT', 2)} || '64617461' || {_hex('2 * n_samples', 4)} AS header
-FROM verdicts WHERE error_code IS NULL"""
+FROM verdicts"""
 
 ORACLE["segment_table"] = with_(SIGNALS, QUANTISED, _resampled("quantised"), SEGMENTS) + f"""
 SELECT {NAME} AS filename, segment_idx, count(*) AS n, any_value(sample_rate)::BIGINT AS original_sample_rate,
        {r6('any_value(n_resampled / 4::DOUBLE)', 'total_duration')}, any_value(n_resampled // 16) AS num_segments,
-       {r6('sum(v)', 'total')}
-FROM segments JOIN verdicts USING (recording_id) GROUP BY recording_id, segment_idx"""
+       {r6('sum(v)', 'total')}, NULL AS error_code
+FROM segments JOIN verdicts USING (recording_id) GROUP BY recording_id, segment_idx
+UNION ALL SELECT {NAME}, NULL, NULL, sample_rate::BIGINT, NULL, NULL, NULL, error_code FROM verdicts WHERE error_code IS NOT NULL"""
 
 ORACLE["load_refs"] = with_(REFS) + f"""
 SELECT ref_id, filename, site_id, country, site_type, 1::BIGINT AS num_segments, len(embedding)::BIGINT AS dim,
@@ -234,7 +235,8 @@ SELECT 'n' || label || '_' || code || label || '_20230207_' || part || '.wav' AS
        count(*) AS num_segments, pos::BIGINT AS pos, {r6('avg(x)', 'value')}
 FROM flat GROUP BY label, code, part, pos"""
 
-ORACLE["build_ref_tables"] = with_(SIGNALS, QUANTISED, _resampled("quantised"), SEGMENTS) + f""",
+# References are not held to the duration limits.
+ORACLE["build_ref_tables"] = with_(SIGNALS.replace("< 7.5 THEN", "< 0 THEN").replace("> 36 THEN", "> 1e9 THEN"), QUANTISED, _resampled("quantised"), SEGMENTS) + f""",
 quarters AS (SELECT recording_id, segment_idx, pos // 4 AS pos, avg(v) AS x FROM segments GROUP BY ALL)
 SELECT {NAME} AS filename, 'c' || recording_id % 7 AS country, {CODE.format('recording_id', 'X')} AS site_type,
        count(*) AS num_segments, 'c' || recording_id % 7 || '_' || {CODE.format('recording_id', 'X')} || recording_id AS site_id,
@@ -380,13 +382,13 @@ SELECT recording_id, CASE WHEN recording_id % 5 > 0 THEN 'INVALID_AUDIO_FORMAT'
             WHEN 3 THEN 'missing format chunk' WHEN 4 THEN 'unsupported bit depth: 24-bit' END AS error,
        CASE recording_id % 5 WHEN 1 THEN 'missing RIFF header' WHEN 2 THEN 'missing WAVE marker' END AS marker_error,
        CASE recording_id % 5 WHEN 0 THEN n_samples END AS frames
-FROM verdicts WHERE error_code IS NULL"""
+FROM verdicts"""
 
 ORACLE["dead_letter"] = with_(SAMPLES) + f""",
 damaged AS (
   SELECT recording_id, recording_id % 5 AS damage, duration, n_resampled,
          CASE recording_id % 5 WHEN 2 THEN 43 + 2 * n_samples WHEN 3 THEN 36 ELSE 44 + 2 * n_samples END AS length
-  FROM verdicts WHERE error_code IS NULL),
+  FROM verdicts),
 judged AS (
   SELECT *, CASE WHEN length > 190 THEN 'FILE_TOO_LARGE' WHEN damage IN (1, 3) THEN 'INVALID_AUDIO_FORMAT'
                  WHEN damage = 2 THEN 'PROCESSING_FAILED' WHEN duration < 12 THEN 'AUDIO_TOO_SHORT'
@@ -605,7 +607,9 @@ refs AS (
          {CODE.format('analysis_id', 'X')} AS site_type, embedding FROM pooled),
 {PAIRS}, {CLASSES}
 SELECT {NAME.replace('recording_id', 'analysis_id')} AS filename, num_segments, false AS synthetic, label, {r6('confidence', 'confidence')}
-FROM labels JOIN pooled USING (analysis_id)"""
+, NULL AS error_code
+FROM labels JOIN pooled USING (analysis_id)
+UNION ALL SELECT {NAME}, NULL, NULL, NULL, NULL, error_code FROM verdicts WHERE error_code IS NOT NULL"""
 
 # --- Streaming ---------------------------------------------------------------
 

@@ -97,7 +97,7 @@ def segment_table(spark, sf_dir):
     return stored.select(
         F.col("recording_id").alias("filename"), long("segment_idx"), long(F.size("samples"), "n"),
         long("original_sample_rate"), r6("total_duration"), long("num_segments"),
-        r6(F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x), "total"))
+        r6(F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x), "total"), "error_code")
 
 
 @query
@@ -718,8 +718,10 @@ def index_build_stats(spark, sf_dir):
 
 @query
 def analyse_recordings(spark, sf_dir):
-    """Files to labels: decode, cut, describe, pool, index the same files as references, classify."""
-    checked, _ = analysis.check_files(B.wav_files(spark, sf_dir).drop("recording_id"), B.SPEC)
+    """Files to labels: decode, cut, describe, pool, index the same files as references, classify.
+    One row per file, with its label or its error."""
+    files = B.wav_files(spark, sf_dir).drop("recording_id")
+    checked, _ = analysis.check_files(files, B.SPEC)
     folder = workspace.new_folder(spark, "pooled")
     analysis.embed_files(checked, B.SPEC, _block_means, width=4, noise=False).write.parquet(folder)
     pooled = spark.read.parquet(folder)
@@ -728,8 +730,10 @@ def analyse_recordings(spark, sf_dir):
         F.xxhash64("recording_id").alias("ref_id"), F.col("recording_id").alias("filename"),
         parts["site_id"].alias("site_id"), parts["country"].alias("country"), parts["site_type"].alias("site_type"),
         "num_segments", "embedding")
-    return similarity.classify(pooled, refs).select(
-        F.col("recording_id").alias("filename"), "num_segments", "synthetic", "label", r6("confidence"))
+    labels = similarity.classify(pooled, refs).select("recording_id", "label", r6("confidence"))
+    outcomes = analysis.file_outcomes(files, pooled, B.SPEC).join(labels, "recording_id", "left")
+    return outcomes.select(
+        F.col("recording_id").alias("filename"), "num_segments", "synthetic", "label", "confidence", "error_code")
 
 
 # --- Streaming ---------------------------------------------------------------
