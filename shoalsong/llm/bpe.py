@@ -5,8 +5,9 @@ corpus is encoded once, in its table row. Ids then go back to the places of the
 words in two joins:
 
 * The most frequent words, bounded in number and bytes (HOT_WORDS, HOT_BYTES),
-  are broadcast and joined within the rows, which keeps some 97 of 100 places
-  out of any shuffle and takes the skew out of the rest.
+  are broadcast and joined within the rows, which keeps some 99 of 100 places
+  out of any shuffle and takes the skew out of the rest. A text goes on as the
+  ranks of its words, one to three bytes each.
 * The places of all other words are joined with the table by a shuffle, and the
   ids found go back to their text by its digest.
 
@@ -26,10 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalsong.llm import words
 from shoalsong.llm.tables import staged
 
 #: Bounds of the broadcast part of the table: words, bytes of words and ids, bytes of one word.
-HOT_WORDS, HOT_BYTES, HOT_WORD_BYTES = 1 << 20, 64 << 20, 256
+HOT_WORDS, HOT_BYTES, HOT_WORD_BYTES = 2_000_000, 64 << 20, 256
+#: Words of a text that travel to a task as one row, so that a batch of rows stays small; texts finished at once.
+CHUNK, SLICE = 128, 256
 
 # Fixed value: the published splitting pattern of byte-level BPE, white space by its Unicode property.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
@@ -79,10 +83,18 @@ def pre_tokens(text: Column, special: list[str] = ()) -> Column:
     return F.when(has, mixed).otherwise(split(text))
 
 
-def word_table(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, n, ids) of each distinct value of `words` (word); ids is binary."""
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    shared = words.sparkSession.sparkContext.broadcast(vocabulary.text)
+def in_chunks(split: DataFrame, column: str) -> DataFrame:
+    """Rows (..., chunk, `column`) with at most CHUNK words each; a text without words is one row."""
+    last = F.greatest(F.ceil(F.size(column) / CHUNK) - 1, F.lit(0)).cast("int")
+    numbered = split.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
+    # Outside of a lambda, so that a slice costs its own length and not that of the text.
+    return numbered.withColumn(column, F.slice(column, F.col("chunk") * CHUNK + 1, F.lit(CHUNK)))
+
+
+def word_table(split: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, n, ids) of each distinct value of `split` (word); ids is binary."""
+    counted = split.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    shared = split.sparkSession.sparkContext.broadcast(vocabulary.text)
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,25 +111,77 @@ def word_table(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return counted.mapInArrow(run, "word string, n bigint, ids binary")
 
 
-def hot_part(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The broadcast part of the table: words, number of ids of each (0 for the unknown word, -1), begin, ids."""
-    ids = table.column("ids").to_pylist()
-    size = np.array([len(x) // 4 for x in ids] + [0], np.int64)
-    words = table.column("word").combine_chunks()
-    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-    return words, size, np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
-
-
-def codes(hot: pa.Array, words: pa.Array) -> np.ndarray:
-    """The number of each word among `hot`, -1 if it isn't there."""
-    if not len(words) or not len(hot):
-        return np.full(len(words), -1, np.int32)
-    known = words.dictionary_encode()
-    found = pc.fill_null(pc.index_in(known.dictionary, value_set=hot), -1).to_numpy(zero_copy_only=False)
-    return found[known.indices.to_numpy(zero_copy_only=False)]
-
-
-def _hot_level(table: DataFrame, words: int, size: int) -> Column:
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a string or binary column without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return at, np.frombuffer(data or b"", np.uint8)
+
+
+def _hashes(strings: pa.Array, hasher: words.Hasher, size: int = 1 << 14) -> np.ndarray:
+    """Of whole strings, some thousands at a time: the hasher needs 40 bytes for each byte."""
+    out = [np.empty(0, np.uint64)]
+    for i in range(0, len(strings), size):
+        at, data = _bytes(strings.slice(i, size))
+        out.append(hasher(at[:-1] - at[0], at[1:] - at[0], data[at[0] : at[-1]]))
+    return np.concatenate(out)
+
+
+def hot_part(table: pa.Table) -> tuple:
+    """The broadcast part of the table (word, n, ids): words by rank, most frequent first, sorted hashes and their ranks,
+    and of each rank the number of its ids, where they begin, and all ids. Rank 0 is the unknown word."""
+    order = np.lexsort((np.arange(table.num_rows), -table.column("n").to_numpy()))
+    table = table.select(["word", "ids"]).take(pa.array(order))
+    known = pa.concat_arrays([pa.array([""]), *(c.cast(pa.string()) for c in table.column("word").chunks)])
+    sizes, parts = [np.zeros(1, np.int64)], [np.empty(0, np.uint8)]
+    for chunk in table.column("ids").chunks:
+        at, data = _bytes(chunk)
+        sizes.append(np.diff(at) // 4)
+        parts.append(data[at[0] : at[-1]])
+    size, flat = np.concatenate(sizes), np.concatenate(parts).view("<u4")
+    hashes = _hashes(known, words.Hasher())[1:]
+    ranks = np.argsort(hashes, kind="stable")
+    begin = (np.cumsum(size) - size).astype(np.uint32)
+    return known, hashes[ranks], (ranks + 1).astype(np.int32), size.astype(np.uint16), begin, flat
+
+
+def rank_words(hot: tuple, strings: pa.Array, hasher: words.Hasher) -> np.ndarray:
+    """The rank of each word, 0 if it isn't in the broadcast part."""
+    known, hashes, ranks = hot[:3]
+    if not len(strings) or not len(hashes):
+        return np.zeros(len(strings), np.int32)
+    coded = strings.dictionary_encode()
+    own = _hashes(coded.dictionary, hasher)
+    found = ranks[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)]
+    same = pc.equal(known.take(pa.array(found)), coded.dictionary).to_numpy(zero_copy_only=False)
+    return np.where(same, found, 0)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+# A rank is one byte below ONE; else its first byte is ONE to 223 and one more follows, or 224 to 255 and two.
+ONE, TWO = 160, 160 + 64 * 256
+
+
+def pack(ranks: np.ndarray) -> bytes:
+    """All first bytes, then all second and all third ones."""
+    two, three = ranks - ONE, ranks - TWO
+    first = np.where(ranks < ONE, ranks, np.where(ranks < TWO, ONE + (two >> 8), 224 + (three >> 16)))
+    second = np.where(ranks < TWO, two & 255, (three >> 8) & 255)[ranks >= ONE]
+    return np.concatenate([first, second, (three & 255)[ranks >= TWO]]).astype(np.uint8).tobytes()
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    data = np.frombuffer(data, np.uint8).astype(np.int32)
+    first = data[:n]
+    more, most = first >= ONE, first >= 224
+    out = first.copy()
+    second = np.zeros(n, np.int32)
+    second[more] = data[n : n + more.sum()]
+    out[more] = ONE + ((first[more] - ONE) << 8) + second[more]
+    out[most] = TWO + ((first[most] - 224) << 16) + (second[most] << 8) + data[n + more.sum() :]
+    return out
+
+
+def _hot_level(table: DataFrame, most: int, size: int) -> Column:
     """A condition on `table`: the words of the highest counts that keep to the bounds."""
     level = F.floor(F.log2("n") * 8)
     short = F.octet_length("word") <= HOT_WORD_BYTES
@@ -127,7 +191,7 @@ def _hot_level(table: DataFrame, words: int, size: int) -> Column:
     cut, total_words, total_bytes = None, 0, 0
     for row in sorted(levels.collect(), key=lambda r: -r["level"]):
         total_words, total_bytes = total_words + row["words"], total_bytes + row["bytes"]
-        if total_words > words or total_bytes > size:
+        if total_words > most or total_bytes > size:
             break
         cut = row["level"]
     return F.lit(False) if cut is None else short & (level >= cut)
@@ -139,67 +203,108 @@ def _lists(column) -> tuple[pa.Array, np.ndarray]:
     return column.values.slice(at[0], at[-1] - at[0]), at - at[0]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, hot_words: int = HOT_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def text_of(ids: bytes, pieces: list[bytes]) -> str:
+    """The pieces of the ids joined; ids outside the vocabulary give nothing."""
+    found = np.frombuffer(ids, "<u4")
+    found = found[found < len(pieces)] if len(found) and found.max() >= len(pieces) else found
+    return b"".join([pieces[k] for k in found.tolist()]).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, hot_words: int = HOT_WORDS, hot_bytes: int = HOT_BYTES,
+           decoded: bool = False) -> DataFrame:
     """(doc_id, ids) per row of `docs` (doc_id, text), as the tokenizers library encodes
     without adding special tokens; their strings in a text are still recognised.
 
     Null and empty texts have no ids. Repeated rows, null ids and equal texts
     are rows like any other; other columns are ignored. Texts are taken whole.
+    With `decoded`, `text` is what `decode` makes of the ids, joined in the same step.
     """
     spark = docs.sparkSession
-    words = pre_tokens(F.col("text"), vocabulary.special)
-    table = staged(word_table(docs.select(F.explode(words).alias("word")), vocabulary), "words")
+    pieces = pre_tokens(F.col("text"), vocabulary.special)
+    table = staged(word_table(docs.select(F.explode(pieces).alias("word")), vocabulary), "words")
     is_hot = _hot_level(table, hot_words, hot_bytes)
-    hot = spark.sparkContext.broadcast(hot_part(table.where(is_hot).select("word", "ids").toArrow()))
+    hot = spark.sparkContext.broadcast(hot_part(table.where(is_hot).toArrow()))
 
-    def rare_places(batches):
+    def ranked(batches):
+        hasher = words.Hasher()
         for batch in batches:
             values, at = _lists(batch.column("words"))
-            rare = np.flatnonzero(codes(hot.value[0], values) < 0)
+            yield batch, values, at, rank_words(hot.value, values, hasher)
+
+    def rare_places(batches):
+        for batch, values, at, ranks in ranked(batches):
+            rare = np.flatnonzero(ranks == 0)
             row = np.searchsorted(at, rare, "right") - 1
+            place = rare - at[row] + batch.column("chunk").to_numpy()[row] * CHUNK
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(row)), pa.array((rare - at[row]).astype(np.int32)),
-                 values.take(pa.array(rare))], ["key", "place", "word"])
+                [batch.column("key").take(pa.array(row)), pa.array(place.astype(np.int32)), values.take(pa.array(rare))],
+                ["key", "place", "word"])
 
     def streams(batches):
-        codec = pa.Codec("zstd", 3)
-        for batch in batches:
-            values, at = _lists(batch.column("words"))
-            found = codes(hot.value[0], values).astype("<i4")
-            packed = [codec.compress(found[i:j].tobytes(), asbytes=True) for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(np.diff(at).astype(np.int32)), pa.array(packed, pa.binary())],
-                ["doc_id", "key", "n_words", "codes"])
+        # The chunks of a text follow each other; a text may go on in the next batch.
+        codec, text, held = pa.Codec("zstd", 1), None, []
+
+        def closed():
+            ranks = np.concatenate(held)
+            plain = pack(ranks)
+            return (*text, len(ranks), len(plain), codec.compress(plain, asbytes=True))
+
+        def rows(done, id_type):
+            kinds = (id_type, pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)],
+                                              ["doc_id", "key", "n_words", "n_bytes", "ranks"])
+
+        for batch, _, at, ranks in ranked(batches):
+            ids, keys = batch.column("doc_id"), batch.column("key")
+            first = np.flatnonzero(batch.column("chunk").to_numpy() == 0).tolist()
+            ends = [*first, batch.num_rows]
+            if text is not None:
+                held.append(ranks[: at[ends[0]]])
+            done = []
+            for i, j in zip(ends, ends[1:]):
+                if text is not None:
+                    done.append(closed())
+                text, held = (ids[i].as_py(), keys[i].as_py()), [ranks[at[i] : at[j]]]
+            if done:
+                yield rows(done, ids.type)
+        if text is not None:
+            yield rows([closed()], ids.type)
+
+    pieces_of = spark.sparkContext.broadcast(vocabulary.pieces if decoded else [])
 
     def finish(batches):
-        codec, (_, size, begin, flat) = pa.Codec("zstd", 3), hot.value
+        codec, (*_, size, begin, flat) = pa.Codec("zstd", 3), hot.value
         for batch in batches:
-            out = []
-            for n, packed, rare in zip(*(batch.column(c).to_pylist() for c in ("n_words", "codes", "rare"))):
-                code = np.frombuffer(codec.decompress(packed, 4 * n, asbytes=True), "<i4") if n else np.empty(0, "<i4")
-                missing, sizes = code < 0, size[code]
-                found = [np.frombuffer(x["ids"], "<u4") for x in rare or ()]
-                if len(found) != missing.sum():
-                    raise RuntimeError("words of a text are missing in the word table")
-                sizes[missing] = [len(x) for x in found]
-                starts, total = np.cumsum(sizes) - sizes, int(sizes.sum())
-                place = np.repeat(begin[code] - starts, sizes) + np.arange(total)
-                hole = np.repeat(missing, sizes)
-                ids = np.empty(total, "<u4")
-                ids[~hole] = flat[place[~hole]]
-                ids[hole] = np.concatenate(found) if found else []
-                out.append(ids.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
+            for i in range(0, batch.num_rows, SLICE):
+                part, out = batch.slice(i, SLICE), []
+                for n, length, packed, rare in zip(*(part.column(c).to_pylist() for c in ("n_words", "n_bytes", "ranks", "rare"))):
+                    ranks = unpack(codec.decompress(packed, length, asbytes=True) if length else b"", n)
+                    missing, sizes = ranks == 0, size[ranks].astype(np.int64)
+                    found = [np.frombuffer(x["ids"], "<u4") for x in rare or ()]
+                    if len(found) != missing.sum():
+                        raise RuntimeError("words of a text are missing in the word table")
+                    sizes[missing] = [len(x) for x in found]
+                    starts, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+                    place = np.repeat(begin[ranks].astype(np.int64) - starts, sizes) + np.arange(total)
+                    hole = np.repeat(missing, sizes)
+                    ids = np.empty(total, "<u4")
+                    ids[~hole] = flat[place[~hole]]
+                    ids[hole] = np.concatenate(found) if found else []
+                    out.append(ids.tobytes())
+                columns = {"doc_id": part.column("doc_id"), "ids": pa.array(out, pa.binary())}
+                if decoded:
+                    columns["text"] = pa.array([text_of(x, pieces_of.value) for x in out], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     doc_type = dict(docs.dtypes)["doc_id"]
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key")
-    split = docs.select("doc_id", key, words.alias("words"))
-    rare = split.select("key", "words").mapInArrow(rare_places, "key binary, place int, word string")
+    split = in_chunks(docs.select("doc_id", key, pieces.alias("words")), "words")
+    rare = split.select("key", "chunk", "words").mapInArrow(rare_places, "key binary, place int, word string")
     rare = rare.join(table.where(~is_hot).select("word", "ids"), "word")
     rare = rare.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("rare"))
-    coded = split.mapInArrow(streams, f"doc_id {doc_type}, key binary, n_words int, codes binary")
-    joined = coded.join(rare, "key", "left").select("doc_id", "n_words", "codes", "rare")
-    return joined.mapInArrow(finish, f"doc_id {doc_type}, ids binary")
+    coded = split.mapInArrow(streams, f"doc_id {doc_type}, key binary, n_words int, n_bytes int, ranks binary")
+    joined = coded.join(rare, "key", "left").select("doc_id", "n_words", "n_bytes", "ranks", "rare")
+    return joined.mapInArrow(finish, f"doc_id {doc_type}, ids binary" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -211,18 +316,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     encoded = encoded.drop("text")
 
     def run(batches):
-        pieces = shared.value
-        last = len(pieces)
-        for batch in batches:
-            texts = []
-            for ids in batch.column("ids").to_pylist():
-                if ids is None:
-                    texts.append(None)
-                    continue
-                found = np.frombuffer(ids, "<u4")
-                found = found[found < last] if len(found) and found.max() >= last else found
-                texts.append(b"".join([pieces[i] for i in found.tolist()]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                texts = [None if x is None else text_of(x, shared.value) for x in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
     return encoded.mapInArrow(run, f"{schema}, text string")

@@ -52,9 +52,8 @@ def vocabulary() -> bpe.Vocabulary:
 
 
 def op7_bpe(spark, sf_dir):
-    vocab = vocabulary()
-    encoded = bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), vocab)
-    return bpe.digests(bpe.decode(encoded, vocab))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.encode(docs, vocabulary(), decoded=True))
 
 
 def op8_mixing(spark, sf_dir):

@@ -205,7 +205,7 @@ def test_the_inequality_spares_cells(spark):
     classes = embeddings.usable(frame).selectExpr("vec_id as id", "width", "vector", "1 as n")
     pivots = {32: centres}
     limit = float(np.arccos(0.9))
-    placed = embeddings.members(classes, pivots, limit, {(32, c): 0.1 for c in range(32)})
+    placed = embeddings.members(classes, pivots, limit, "<f8", {(32, c): 0.1 for c in range(32)})
     assert placed.count() == 640
 
 

@@ -194,6 +194,8 @@ def test_bpe_equals_the_library(spark, texts, hot):
         wanted.append((i, ids, library.decode(ids, skip_special_tokens=False)))
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted([(r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), r.text) for r in found], key=key) == sorted(wanted, key=key)
+    at_once = bpe.encode(frame, vocabulary, hot_words=hot, decoded=True).collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, found))
 
 
 def test_other_tokenizers_are_refused():
@@ -360,3 +362,16 @@ def test_ranks_are_packed():
     ranks = np.array(edges + np.random.RandomState(0).randint(0, bpe.HOT_WORDS + 1, 1000).tolist(), np.int32)
     assert (bpe.unpack(bpe.pack(ranks), len(ranks)) == ranks).all()
     assert len(bpe.unpack(bpe.pack(ranks[:0]), 0)) == 0
+
+
+def test_a_text_that_spans_batches(spark):
+    """More chunks than an Arrow batch has rows, with a text before, between and behind."""
+    from tokenizers import Tokenizer
+
+    vocabulary = queries.vocabulary()
+    library = Tokenizer.from_str(vocabulary.text)
+    rows = [(1, "first one"), (2, " ".join(some_words(1, 700_000, 5000))), (3, None), (4, " ".join(some_words(2, 90_000, 9000))), (5, "last")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(frame, vocabulary, hot_words=3000).collect()}
+    for i, text in rows:
+        assert found[i] == library.encode(text or "", add_special_tokens=False).ids
