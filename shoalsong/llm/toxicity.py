@@ -27,7 +27,7 @@ SIZES = (3, 4, 5, 6)
 BITS = 20
 DIM = 8
 #: The training sample: at most so many labelled rows, half of each class, and bytes of text.
-MAX_ROWS, MAX_BYTES = 6000, 16 << 20
+MAX_ROWS, MAX_BYTES = 4000, 8 << 20
 EPOCHS, BATCH, RATE, SHRINK = 20, 64, 0.02, 1e-3
 #: Only buckets are learned whose shares of the texts of either class differ by so many standard
 #: errors, so no text is learned by heart.
@@ -118,9 +118,8 @@ def differing(begin: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> np.
     """By how many standard errors the share of texts with a bucket differs between the classes."""
     ones, rows = labels.sum(), max(len(labels), 1)
     zeros = rows - ones
-    of_row = np.repeat(labels, np.diff(begin))
     both = np.bincount(buckets, minlength=1 << BITS)
-    one = np.bincount(buckets, weights=of_row, minlength=1 << BITS)
+    one = np.bincount(buckets[np.repeat(labels > 0, np.diff(begin))], minlength=1 << BITS)
     share = both / rows
     error = np.sqrt(np.maximum(share * (1 - share), 0.25 / rows) * (1 / max(ones, 1) + 1 / max(zeros, 1)))
     return np.abs(one / max(ones, 1) - (both - one) / max(zeros, 1)) / error
