@@ -26,18 +26,25 @@ from pyspark.sql import functions as F
 from shoalsong.llm.tables import components, staged
 
 #: Classes per pivot, most pivots (they go to the driver), rows of a block.
-PER_PIVOT, MAX_PIVOTS, BLOCK = 4096, 256, 2048
+PER_PIVOT, MAX_PIVOTS, BLOCK = 4096, 256, 8192
 #: Slack for rounding of angles; products this near the limit are summed exactly.
 SLACK, NEAR = 1e-6, 1e-9
 
 
+def kind_of(vectors: DataFrame) -> str:
+    """How entries travel: floats, which are doubles exactly, as they came, all else as doubles."""
+    return "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector, width): little-endian doubles of vectors that have a direction; null for others."""
+    """(vec_id, vector, width): the bytes of vectors that have a direction; null for others."""
+    kind = kind_of(vectors)
+
     def run(batches):
         for batch in batches:
             out, widths = [], []
             for value in batch.column("embedding"):
-                x = np.array(value.values.to_numpy(zero_copy_only=False), "<f8") if value.is_valid else np.empty(0)
+                x = np.array(value.values.to_numpy(zero_copy_only=False), kind) if value.is_valid else np.empty(0)
                 good = len(x) and np.isfinite(x).all() and x.any()
                 out.append(x.tobytes() if good else None)
                 widths.append(len(x) if good else None)
@@ -48,26 +55,26 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, vector binary, width int")
 
 
-def unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
+def unit(vectors: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), kind).astype(np.float64).reshape(len(vectors), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def cosine(a: bytes, b: bytes) -> float:
+def cosine(a: bytes, b: bytes, kind: str) -> float:
     """The cosine of two vectors with exactly rounded sums, the same for (a, b) and (b, a)."""
-    x, y = np.frombuffer(a, "<f8"), np.frombuffer(b, "<f8")
+    x, y = (np.frombuffer(v, kind).astype(np.float64) for v in (a, b))
     x, y = x / np.abs(x).max(), y / np.abs(y).max()
     return math.fsum(x * y) / math.sqrt(math.fsum(x * x) * math.fsum(y * y))
 
 
-def pivots_of(classes: DataFrame, count: int) -> dict[int, np.ndarray]:
+def pivots_of(classes: DataFrame, count: int, kind: str) -> dict[int, np.ndarray]:
     """Pivots by width: a bounded sample, those with the smallest hashes."""
     rows = classes.orderBy(F.xxhash64("vector"), "vector").select("width", "vector").limit(count).collect()
-    return {w: unit([r["vector"] for r in rows if r["width"] == w]) for w in {r["width"] for r in rows}}
+    return {w: unit([r["vector"] for r in rows if r["width"] == w], kind) for w in {r["width"] for r in rows}}
 
 
-def angles(batch, pivots) -> tuple[np.ndarray, list[np.ndarray]]:
+def angles(batch, pivots, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """Per row the angles to the pivots of its width; none if that width has no pivot."""
     widths = batch.column("width").to_numpy()
     vectors = batch.column("vector").to_pylist()
@@ -75,7 +82,7 @@ def angles(batch, pivots) -> tuple[np.ndarray, list[np.ndarray]]:
     for w in np.unique(widths):
         at = np.flatnonzero(widths == w)
         if w in pivots:
-            found = np.arccos(np.clip(unit([vectors[i] for i in at]) @ pivots[w].T, -1, 1))
+            found = np.arccos(np.clip(unit([vectors[i] for i in at], kind) @ pivots[w].T, -1, 1))
             for i, row in zip(at, found):
                 out[i] = row
     return widths, out
@@ -84,7 +91,7 @@ def angles(batch, pivots) -> tuple[np.ndarray, list[np.ndarray]]:
 MEMBER = "id bigint, width int, cell int, ring int, home boolean"
 
 
-def members(classes: DataFrame, pivots: dict, limit: float, radius: dict | None = None) -> DataFrame:
+def members(classes: DataFrame, pivots: dict, limit: float, kind: str, radius: dict | None = None) -> DataFrame:
     """(id, width, cell, ring, home): the own cell of each class and, with radii by (width, cell),
     the cells it is copied to. A width without pivot is one cell, -1."""
     shared = classes.sparkSession.sparkContext.broadcast((pivots, radius))
@@ -93,19 +100,19 @@ def members(classes: DataFrame, pivots: dict, limit: float, radius: dict | None
         pivots, radius = shared.value
         for batch in batches:
             rows = []
-            widths, found = angles(batch, pivots)
+            widths, found = angles(batch, pivots, kind)
             for id_, width, to in zip(batch.column("id").to_pylist(), widths.tolist(), found):
                 if not len(to):
                     rows.append((id_, width, -1, 0, True))
                     continue
                 own = int(to.argmin())
-                rows.append((id_, width, own, int(to[own] / (limit / 2)), True))
+                rows.append((id_, width, own, int(to[own] / limit), True))
                 if radius is None:
                     continue
                 reach = np.array([radius.get((width, c), -10.0) for c in range(len(to))])
                 near = (to - to[own] <= 2 * limit + SLACK) & (to <= limit + reach + SLACK)
                 near[own] = False
-                rows += [(id_, width, int(c), int(to[c] / (limit / 2)), False) for c in np.flatnonzero(near)]
+                rows += [(id_, width, int(c), int(to[c] / limit), False) for c in np.flatnonzero(near)]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))],
@@ -114,7 +121,7 @@ def members(classes: DataFrame, pivots: dict, limit: float, radius: dict | None
     return classes.select("id", "width", "vector").mapInArrow(run, MEMBER)
 
 
-def block_links(classes: DataFrame, placed: DataFrame, min_cosine: float, rings_apart: int = 3) -> DataFrame:
+def block_links(classes: DataFrame, placed: DataFrame, min_cosine: float, kind: str, rings_apart: int = 2) -> DataFrame:
     """Rows (id, weight, a, b): per class of a block the rows linked with it, and the links of a forest."""
     cell = ["width", "cell"]
     counts = placed.groupBy(*cell, "ring").agg(
@@ -145,7 +152,7 @@ def block_links(classes: DataFrame, placed: DataFrame, min_cosine: float, rings_
         at_left, at_right = np.flatnonzero(side), np.flatnonzero(~side)
         if not len(at_left) or not len(at_right):
             return schema.empty_table()
-        x, y = unit([vectors[i] for i in at_left]), unit([vectors[i] for i in at_right])
+        x, y = (unit([vectors[i] for i in at], kind) for at in (at_left, at_right))
         found_rows, found_columns = [], []
         for i in range(0, len(at_left), 256):
             dots = x[i : i + 256] @ y.T
@@ -154,7 +161,7 @@ def block_links(classes: DataFrame, placed: DataFrame, min_cosine: float, rings_
             keep = ids[r_ids] != ids[c_ids]
             close = np.flatnonzero(keep & (dots[r, c] < min_cosine + NEAR))
             for k in close:
-                keep[k] = cosine(vectors[r_ids[k]], vectors[c_ids[k]]) >= min_cosine
+                keep[k] = cosine(vectors[r_ids[k]], vectors[c_ids[k]], kind) >= min_cosine
             found_rows.append(r_ids[keep])
             found_columns.append(c_ids[keep])
         rows, columns = np.concatenate(found_rows), np.concatenate(found_columns)
@@ -198,17 +205,17 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.9) -> DataF
     """
     if not 0 < min_cosine <= 1:
         raise ValueError("min_cosine must be above 0 and at most 1")
-    limit = math.acos(min_cosine) + SLACK
+    limit, kind = math.acos(min_cosine) + SLACK, kind_of(vectors)
     rows = staged(usable(vectors), "vectors")
     classes = rows.where("vector is not null").groupBy("vector").agg(
         F.first("width").alias("width"), F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    pivots = pivots_of(classes, min(MAX_PIVOTS, max(1, math.ceil(classes.count() / PER_PIVOT))))
+    pivots = pivots_of(classes, min(MAX_PIVOTS, max(1, math.ceil(classes.count() / PER_PIVOT))), kind)
     # The rings of the own cells bound its radius; one row per pivot.
-    rings = members(classes, pivots, limit).where("cell >= 0").groupBy("width", "cell").agg(F.max("ring").alias("ring"))
-    radius = {(r["width"], r["cell"]): (r["ring"] + 1) * limit / 2 for r in rings.collect()}
-    placed = staged(members(classes, pivots, limit, radius), "members")
-    links = staged(block_links(classes, placed, min_cosine), "links")
+    rings = members(classes, pivots, limit, kind).where("cell >= 0").groupBy("width", "cell").agg(F.max("ring").alias("ring"))
+    radius = {(r["width"], r["cell"]): (r["ring"] + 1) * limit for r in rings.collect()}
+    placed = staged(members(classes, pivots, limit, kind, radius), "members")
+    links = staged(block_links(classes, placed, min_cosine, kind), "links")
     counts = links.where("id is not null").groupBy("id").agg(F.sum("weight").alias("others"))
     roots = components(links.where("a is not null").select("a", "b"))
     labelled = classes.join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
