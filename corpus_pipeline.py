@@ -32,8 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text, a row per document in the mix."""
-    vocab = vocabulary()
-    return bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocab), vocab))
+    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), vocabulary(), decoded=True))
 
 
 STAGES = [
