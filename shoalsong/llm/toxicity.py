@@ -28,6 +28,8 @@ BITS = 20
 DIM = 8
 #: The training sample: at most so many labelled rows, half of each class, and bytes of text.
 MAX_ROWS, MAX_BYTES = 4000, 8 << 20
+#: Texts longer than this many times MAX_BYTES / MAX_ROWS (33 KB) are taken only after all shorter ones.
+LONG = 16
 EPOCHS, BATCH, RATE, SHRINK = 20, 64, 0.02, 1e-3
 #: Only buckets are learned whose shares of the texts of either class differ by so many standard
 #: errors, so no text is learned by heart.
@@ -176,21 +178,43 @@ def _gradients(docs, begin, buckets, weights, labels, vectors, softmax, bias):
             np.stack([-to_softmax, to_softmax], axis=1), np.array([-total, total], np.float32))
 
 
+def fitting(toxic: np.ndarray, sizes: np.ndarray, max_bytes: int) -> np.ndarray:
+    """Places of the rows, taken in order, that fit into the bytes: half of them are for each class,
+    and what one class leaves is for the other. A row that doesn't fit is passed over alone."""
+    out: list[int] = []
+    left = max_bytes
+    for turn, c in enumerate(sorted((0, 1), key=lambda c: sizes[toxic == c].sum())):
+        room = left if turn else max_bytes // 2
+        for i in np.flatnonzero(toxic == c):
+            if sizes[i] <= room:
+                room, left = room - int(sizes[i]), left - int(sizes[i])
+                out.append(int(i))
+    return np.array(sorted(out), np.int64)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int):
     """(texts, labels, rate) of the sample: of each class the labelled rows with the smallest
-    md5 of doc_id, held-out ones left out, as far as the bounds allow."""
+    md5 of doc_id, held-out ones left out, as many as the bounds allow.
+
+    Texts of more than LONG times their share of the bytes come after all others, by their
+    length in doublings, so a few long ones cannot fill the sample. Equal rows count once.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("order", F.md5(F.col("doc_id").cast("string").cast("binary")))
     rate = known.agg(F.avg("toxic")).first()[0] or 0.0
-    chosen = [known.where(F.col("toxic") == c).orderBy("order").limit(max_rows // 2) for c in (0, 1)]
-    chosen = F.broadcast(chosen[0].union(chosen[1]))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
-    sizes = rows.select("order", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).orderBy("order")
-    sizes = sizes.limit(max_rows).toPandas()
-    fits = sizes["order"][sizes["n"].cumsum() <= max_bytes]
-    last = fits.iloc[-1] if len(fits) else ""
-    found = rows.where(F.col("order") <= last).select("order", "toxic", "text").orderBy("order", "text").limit(max_rows)
+    order = F.md5(F.col("doc_id").cast("string").cast("binary")).alias("order")
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    share = LONG * max_bytes / max(max_rows, 1)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / share))).alias("level")
+    rows = docs.select("doc_id", size.alias("n"), F.xxhash64("text").alias("hash")).where(F.col("n") <= max_bytes)
+    rows = rows.join(known, "doc_id").select("toxic", F.coalesce(level, F.lit(0)).alias("level"), order, "hash", "n").distinct()
+    chosen = [rows.where(F.col("toxic") == c).orderBy("level", "order", "hash").limit(max_rows // 2).collect() for c in (0, 1)]
+    chosen = [r for part in chosen for r in part]
+    taken = fitting(np.array([r["toxic"] for r in chosen], np.int64), np.array([r["n"] for r in chosen], np.int64), max_bytes)
+    taken = docs.sparkSession.createDataFrame(
+        [(chosen[i]["order"], chosen[i]["hash"], chosen[i]["toxic"]) for i in taken], "order string, hash bigint, toxic int")
+    found = docs.select(order, F.xxhash64("text").alias("hash"), "text").join(F.broadcast(taken), ["order", "hash"])
+    found = found.dropDuplicates(["order", "hash"]).select("order", "toxic", "text").orderBy("order", "text")
     table = found.toArrow().combine_chunks()
     texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
     return texts, table.column("toxic").to_numpy().astype(np.float64), rate
