@@ -27,6 +27,8 @@ from shoalsong.llm.tables import components, staged
 
 #: Classes per pivot, most pivots (they go to the driver), rows of a block.
 PER_PIVOT, MAX_PIVOTS, BLOCK = 4096, 256, 8192
+#: Rows of a block that are compared with the other block at once.
+SLICE = 256
 #: Slack for rounding of angles; products this near the limit are summed exactly.
 SLACK, NEAR = 1e-6, 1e-9
 
@@ -88,6 +90,27 @@ def angles(batch, pivots, kind: str) -> tuple[np.ndarray, list[np.ndarray]]:
     return widths, out
 
 
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the places linked by (a, b): in the end each has the smallest place it hangs together with.
+
+    `label` must be such a table already, as all places for themselves are.
+    """
+    a, b = label[a], label[b]
+    while True:
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        # Labels never rise above their place, so following them ends at the smallest.
+        while True:
+            new = label[label]
+            if (new == label).all():
+                break
+            label[:] = new
+        a, b = label[a], label[b]
+
+
 MEMBER = "id bigint, width int, cell int, ring int, home boolean"
 
 
@@ -153,39 +176,32 @@ def block_links(classes: DataFrame, placed: DataFrame, min_cosine: float, kind:
         if not len(at_left) or not len(at_right):
             return schema.empty_table()
         x, y = (unit([vectors[i] for i in at], kind) for at in (at_left, at_right))
-        found_rows, found_columns = [], []
-        for i in range(0, len(at_left), 256):
-            dots = x[i : i + 256] @ y.T
+        # Each slice is reduced as it is found; no pairs are kept. Label: the smallest id known to hang together.
+        linked, partners = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        known, place = np.unique(ids, return_inverse=True)
+        label = np.arange(len(known))
+        for i in range(0, len(at_left), SLICE):
+            dots = x[i : i + SLICE] @ y.T
             r, c = np.nonzero(dots >= min_cosine - NEAR)
             r_ids, c_ids = at_left[i + r], at_right[c]
             keep = ids[r_ids] != ids[c_ids]
             close = np.flatnonzero(keep & (dots[r, c] < min_cosine + NEAR))
             for k in close:
                 keep[k] = cosine(vectors[r_ids[k]], vectors[c_ids[k]], kind) >= min_cosine
-            found_rows.append(r_ids[keep])
-            found_columns.append(c_ids[keep])
-        rows, columns = np.concatenate(found_rows), np.concatenate(found_columns)
-        if not len(rows):
+            r_ids, c_ids, r = r_ids[keep], c_ids[keep], r[keep]
+            if not len(r_ids):
+                continue
+            linked[at_left[i : i + SLICE]] = np.bincount(r, weights=weight[c_ids], minlength=len(dots)).astype(np.int64)
+            partners[r_ids] = True
+            merge(label, place[r_ids], place[c_ids])
+        if not partners.any():
             return schema.empty_table()
-        own, inverse = np.unique(rows, return_inverse=True)
-        linked = np.bincount(inverse, weights=weight[columns]).astype(np.int64)
-        # Smallest id of what hangs together here: rows and columns pass minimums on until nothing changes.
-        known, ends = np.unique(np.concatenate([ids[rows], ids[columns]]), return_inverse=True)
-        a, b = ends[: len(rows)], ends[len(rows) :]
-        label = np.arange(len(known))
-        while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        at_own = np.flatnonzero(partners)
+        own, linked = ids[at_own], linked[at_own]
         joined = np.flatnonzero(label != np.arange(len(known)))
         none = pa.nulls
         return pa.table([
-            pa.concat_arrays([pa.array(ids[own]), none(len(joined), pa.int64())]),
+            pa.concat_arrays([pa.array(own), none(len(joined), pa.int64())]),
             pa.concat_arrays([pa.array(linked), none(len(joined), pa.int64())]),
             pa.concat_arrays([none(len(own), pa.int64()), pa.array(known[joined])]),
             pa.concat_arrays([none(len(own), pa.int64()), pa.array(known[label[joined]])])], schema=schema)
