@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoalsong.llm import chat
+from shoalsong.llm import chat, fim, lexical
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
@@ -138,4 +138,6 @@ ORACLE = {
     "op5_metric_join": OP5,
     "op6_minhash": OP6,
     "op8_mixing": OP8,
+    "op12_fill_in_middle": fim.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalsong.llm import bpe, chat, embeddings, extract, linefreq, minhash, mixing, pll, toxicity, warc
+from shoalsong.llm import (
+    bpe, chat, embeddings, extract, fim, lexical, linefreq, minhash, mixing, pll, token_files, toxicity, warc)
 from shoalsong.llm.oracle import ORACLE  # noqa: F401
 from shoalsong.llm.tables import load
+from shoalsong.sources.workspace import new_folder
 
 
 def _page(record_id):
@@ -72,6 +74,23 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_orc_tokens(spark, sf_dir):
+    import public_tokenizers
+
+    folder = new_folder(spark, "token-files")
+    token_files.write_token_files(
+        load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return token_files.digests(token_files.read_token_files(spark, folder))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fim.digests(fim.fill_in_middle(load(spark, sf_dir, "documents")))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_perspectives": op2_perspectives,
@@ -83,4 +102,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_toxicity": op10_toxicity,
+    "op11_orc_tokens": op11_orc_tokens,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_lexical_search": op13_lexical_search,
 }
