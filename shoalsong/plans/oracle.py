@@ -396,6 +396,15 @@ judged AS (
   FROM damaged)
 SELECT {NAME} AS filename, error_code FROM judged WHERE error_code IS NOT NULL"""
 
+ORACLE["stream_recordings"] = with_(SAMPLES) + f""",
+judged AS (
+  SELECT *, CASE recording_id % 5 WHEN 2 THEN 43 + 2 * n_samples WHEN 3 THEN 36 WHEN 4 THEN 0 ELSE 44 + 2 * n_samples END AS length,
+         CASE WHEN recording_id % 5 IN (1, 3, 4) THEN 'INVALID_AUDIO_FORMAT' WHEN recording_id % 5 = 2 THEN 'PROCESSING_FAILED'
+              ELSE error_code END AS found
+  FROM verdicts)
+SELECT {NAME} AS filename, found AS error_code, CASE WHEN found IS NULL THEN n_resampled // 16 ELSE 0 END::BIGINT AS windows FROM judged"""
+ORACLE["recording_source"] = ORACLE["stream_recordings"].replace("AS filename,", "AS filename, length::BIGINT AS length,")
+
 ORACLE["errors_by_code"] = with_(SAMPLES) + """
 SELECT error_code, count(*) AS errors FROM verdicts WHERE error_code IS NOT NULL GROUP BY 1"""
 

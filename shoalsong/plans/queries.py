@@ -15,7 +15,7 @@ from shoalsong.functions import vectors as V
 from shoalsong.operators import embedding, features, reports, signal, similarity, status, validation
 from shoalsong.plans import analysis
 from shoalsong.plans import bindings as B
-from shoalsong.sources import corpus, tables, wav, workspace
+from shoalsong.sources import corpus, recordings, tables, wav, workspace
 from shoalsong.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +385,38 @@ def dead_letter(spark, sf_dir):
     return analysis.dead_letters(segments).select(F.col("recording_id").alias("filename"), "error_code")
 
 
+def _damaged_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Recordings as files of which some are broken and some are empty."""
+    damaged = _damaged(B.wav_files(spark, sf_dir), F.col("content"), _replaced(0, b"RIFX"),
+                       F.expr("substring(content, 1, length(content) - 1)"),
+                       F.substring("content", 1, 36), F.lit(b""))
+    return _export(spark, damaged)
+
+
+def _file_summary(segments: DataFrame) -> DataFrame:
+    return segments.groupBy(F.col("recording_id").alias("filename")).agg(
+        F.max("error_code").alias("error_code"), F.count("segment_idx").alias("windows"))
+
+
+@query
+def recording_source(spark, sf_dir):
+    """Every file of a folder by the data source: its length and windows, or its error."""
+    folder = _damaged_folder(spark, sf_dir)
+    files = recordings.read_files(spark, folder).select(F.col("recording_id").alias("filename"), "length")
+    segments = recordings.read_segments(spark, folder, B.SPEC, splitBytes=65536)
+    return files.join(_file_summary(segments), "filename")
+
+
+@query
+def stream_recordings(spark, sf_dir):
+    """The same folder as a stream."""
+    folder = _damaged_folder(spark, sf_dir)
+    segments = recordings.stream_segments(spark, folder, workspace.new_folder(spark, "seen"), B.SPEC)
+    path, progress = _folders(spark)
+    jobs.write_table(segments, path, progress).awaitTermination()
+    return _file_summary(spark.read.schema(segments.schema).parquet(path))
+
+
 @query
 def errors_by_code(spark, sf_dir):
     return validation.errors_by_code(validation.recording_verdicts(B.samples(spark, sf_dir), B.SPEC))

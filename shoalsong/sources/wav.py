@@ -30,9 +30,9 @@ PCM_BITS = (8, 16, 32)
 PLAIN_HEADER = "^52494646.{8}57415645666D742010000000.{32}64617461.{8}$"
 
 
-def _find_chunks(content: memoryview, length: int) -> dict:
-    """Walk the chunks up to the data chunk of a file of `length` bytes, of which
-    `content` holds at least everything before the samples."""
+def find_chunks(content, length: int) -> dict:
+    """Walk the chunks up to the data chunk of a file of `length` bytes. `content` gives bytes by
+    slices: at least everything before the samples."""
     if bytes(content[:4]) != b"RIFF":
         return {"error": "missing RIFF header"}
     if bytes(content[8:12]) != b"WAVE":
@@ -43,10 +43,9 @@ def _find_chunks(content: memoryview, length: int) -> dict:
         size = int.from_bytes(content[at + 4:at + 8], "little")
         body = at + 8
         if name == b"fmt " and size >= 16 and body + 16 <= length:
-            kind, channels, rate = struct.unpack_from("<HHI", content, body)
-            bits = struct.unpack_from("<H", content, body + 14)[0]
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", content[body:body + 16])
             if kind == EXTENSIBLE and size >= 26 and body + 26 <= length:
-                kind = struct.unpack_from("<H", content, body + 24)[0]
+                kind = int.from_bytes(content[body + 24:body + 26], "little")
             found = {"audio_format": kind, "channels": channels, "sample_rate": rate, "bits": bits}
         elif name == b"data":
             if not found:
@@ -56,7 +55,7 @@ def _find_chunks(content: memoryview, length: int) -> dict:
     return {**found, "error": "missing data chunk" if found else "missing format chunk"}
 
 
-def _judge(header: dict) -> dict:
+def judge(header: dict) -> dict:
     """Add error, error_code and frames."""
     kind, bits = header.get("audio_format"), header.get("bits")
     if "error" in header:
@@ -91,7 +90,7 @@ def with_header(files: DataFrame, column: str = "content") -> DataFrame:
         for content, length in zip(contents, lengths.to_pylist()):
             try:
                 view = memoryview(content.as_buffer() if content.is_valid else b"")
-                rows.append(_judge(_find_chunks(view, length or 0)))
+                rows.append(judge(find_chunks(view, length or 0)))
             except Exception as problem:
                 rows.append({"error": str(problem), "error_code": C.PROCESSING_FAILED})
         return pa.array(rows, arrow_type)
@@ -136,33 +135,41 @@ def data_bytes(column: str = "content") -> Column:
     return F.substring(F.col(column), (F.col("data_offset") + 1).cast("int"), F.col("data_bytes").cast("int"))
 
 
-def _mono(data, bits: int, audio_format: int, channels: int, compat: bool):
-    """Float32 mono signal of one recording in [-1, 1]."""
+def integers(data, bits: int, audio_format: int, compat: bool):
+    """Sample values as stored, and what full scale is."""
     if bits == 8:
-        ints = np.frombuffer(data, np.uint8).astype(np.int16) - 128
-        scale = 32768.0 if compat else 128.0
-    elif bits == 16:
-        ints, scale = np.frombuffer(data, "<i2"), 32768.0
-    elif audio_format == IEEE_FLOAT and not compat:
-        ints, scale = np.frombuffer(data, "<f4"), 1.0
-    else:
-        ints, scale = np.frombuffer(data, "<i4"), 2147483648.0
+        return np.frombuffer(data, np.uint8).astype(np.int16) - 128, 32768.0 if compat else 128.0
+    if bits == 16:
+        return np.frombuffer(data, "<i2"), 32768.0
+    if audio_format == IEEE_FLOAT and not compat:
+        return np.frombuffer(data, "<f4"), 1.0
+    return np.frombuffer(data, "<i4"), 2147483648.0
+
+
+def scaled(data, bits: int, audio_format: int, compat: bool):
+    """Float32 samples of one channel by full scale."""
+    ints, scale = integers(data, bits, audio_format, compat)
+    return (ints.astype(np.float32) / scale).astype(np.float32)
+
+
+def mono(data, bits: int, audio_format: int, channels: int, compat: bool):
+    """Float32 mono signal of one recording in [-1, 1]."""
     if channels == 1:
-        return (ints.astype(np.float32) / scale).astype(np.float32)
-    mixed = ints.reshape(-1, channels).mean(axis=1, dtype=np.float64)
+        return scaled(data, bits, audio_format, compat)
+    mixed = integers(data, bits, audio_format, compat)[0].reshape(-1, channels).mean(axis=1, dtype=np.float64)
     # A mixed signal is scaled by its own peak; silence stays silent.
     peak = np.abs(mixed).max(initial=0.0)
     return (mixed / peak if peak > 0 else mixed).astype(np.float32)
 
 
-def _grid(rate: int, target: int, start: int, stop: int):
+def grid_of(rate: int, target: int, start: int, stop: int):
     """Source index and fraction of the output positions [start, stop)."""
     position = np.arange(start, stop, dtype=np.int64) * rate / target
     at = position.astype(np.int64)
     return at, position - at
 
 
-def _interpolate(signal, at, share):
+def interpolate(signal, at, share):
     """Half-open linear interpolation; the fraction was taken before the index
     is moved off the last sample."""
     if len(at) and at[-1] > len(signal) - 2:
@@ -188,21 +195,21 @@ def cut_batches(spec: SegmentSpec, compat: bool = False):
         """Where a window spans a whole number of source samples, all windows
         of a rate share the grid of the first, moved along."""
         if size * rate % target:
-            return _grid(rate, target, i * size, (i + 1) * size)
+            return grid_of(rate, target, i * size, (i + 1) * size)
         if rate not in first_grids:
             first_grids.clear()
-            first_grids[rate] = _grid(rate, target, 0, size)
+            first_grids[rate] = grid_of(rate, target, 0, size)
         at, share = first_grids[rate]
         return at + i * (size * rate // target), share
 
     def windows(row):
-        signal = _mono(row["data"].as_buffer(), row["bits"].as_py(), row["audio_format"].as_py(),
+        signal = mono(row["data"].as_buffer(), row["bits"].as_py(), row["audio_format"].as_py(),
                        row["channels"].as_py(), compat)
         if signal.dtype.kind == "f" and not np.isfinite(signal).all():
             raise ValueError("samples are not finite numbers")
         rate = row["sample_rate"].as_py()
         for i in range(row["num_segments"].as_py()):
-            yield signal[i * size:(i + 1) * size] if rate == target else _interpolate(signal, *grid(rate, i))
+            yield signal[i * size:(i + 1) * size] if rate == target else interpolate(signal, *grid(rate, i))
 
     def emit(records):
         arrays = [pa.array(values, field.type) for values, field in zip(zip(*records), arrow_schema)]
@@ -263,7 +270,7 @@ def decode_samples(checked: DataFrame, key: str = "recording_id", chunk: int = 1
         if row["error_code"].is_valid:
             return [(None, None, row["error_code"].as_py(), row["error"].as_py())]
         try:
-            signal = _mono(row["data"].as_buffer(), row["bits"].as_py(), row["audio_format"].as_py(),
+            signal = mono(row["data"].as_buffer(), row["bits"].as_py(), row["audio_format"].as_py(),
                            row["channels"].as_py(), compat)
             return [(i, signal[i:i + chunk], None, None) for i in range(0, len(signal), chunk)]
         except Exception as problem:
