@@ -140,24 +140,31 @@ def mean_pool(segments: DataFrame, *keys: str, vector: str = "embedding") -> Dat
                          F.col("v_count").alias("num_segments"))
 
 
-def pool_with_fallback(
+def kind_sums(
     segments: DataFrame,
     key: str = "recording_id",
     model_vector: str = "embedding",
     feature_vector: str = "feature_embedding",
 ) -> DataFrame:
-    """Pooled vector per key; if any segment has no model vector, the feature
-    vectors of all segments are pooled instead and `synthetic` is true.
-
-    Both kinds are summed in one aggregation, so the decision needs no second
-    pass. Every segment must have a feature vector.
-    """
+    """Sums of model and feature vectors by key and block: what pooling needs of segments. Sums of
+    several parts of the segments merge by `merged_sums`."""
     kinds = F.explode(F.array(
         F.struct(F.lit(False).alias("is_feature"), F.col(model_vector).cast("array<double>").alias("_v")),
         F.struct(F.lit(True).alias("is_feature"), F.col(feature_vector).cast("array<double>").alias("_v"))))
     vectors = segments.select(key, kinds.alias("_k")).select(key, "_k.*")
-    merged = _block_sums(vectors, [key, "is_feature"]).groupBy(key).agg(
-        *_collected("m", "NOT is_feature"), *_collected("f", "is_feature"))
+    return _block_sums(vectors, [key, "is_feature"])
+
+
+def merged_sums(parts: DataFrame, key: str = "recording_id") -> DataFrame:
+    """One row per key, kind and block from the `kind_sums` of any number of parts."""
+    return parts.groupBy(key, "is_feature", "_block").agg(
+        F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+        *[F.sum(f"_{i}").alias(f"_{i}") for i in range(POOL_BLOCK)])
+
+
+def pooled_sums(sums: DataFrame, key: str = "recording_id") -> DataFrame:
+    """The pooled vector per key from the sums of all its segments, as `pool_with_fallback` gives it."""
+    merged = sums.groupBy(key).agg(*_collected("m", "NOT is_feature"), *_collected("f", "is_feature"))
     return merged.select(
         key,
         F.when(F.expr("m_count < f_count"), _mean_of("f")).otherwise(_mean_of("m")).alias("embedding"),
@@ -167,6 +174,21 @@ def pool_with_fallback(
     )
 
 
+def pool_with_fallback(
+    segments: DataFrame,
+    key: str = "recording_id",
+    model_vector: str = "embedding",
+    feature_vector: str = "feature_embedding",
+) -> DataFrame:
+    """Pooled vector per key; if any segment has no model vector, the feature
+    vectors of all segments are pooled instead and `synthetic` is true.
+
+    Both kinds are summed in one aggregation, so the decision needs no second
+    pass. Every segment must have a feature vector.
+    """
+    return pooled_sums(kind_sums(segments, key, model_vector, feature_vector), key)
+
+
 def embedding_summary(pooled: DataFrame, key: str = "recording_id") -> DataFrame:
     synthetic = F.col("synthetic") if "synthetic" in pooled.columns else F.lit(False)
     return pooled.select(

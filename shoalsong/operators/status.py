@@ -20,6 +20,34 @@ def latest_state(log: DataFrame, *keys: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_s")).select(*keys, "_s.*")
 
 
+ITEM_TIME = ("ts", "event_id")
+
+
+def item_changes(log: DataFrame, *keys: str) -> DataFrame:
+    """Each row of a log with `op`, "put" or "update", as a change: `put_at`, when it was a put, `last`, its
+    time, and each attribute with its time. Changes of an item merge by `merged_changes`, in any order."""
+    keys = keys or ("pk", "sk")
+    time = F.struct(*ITEM_TIME)
+    rest = [c for c in log.columns if c not in (*keys, *ITEM_TIME, "op")]
+    return log.select(
+        *keys, F.when(F.col("op") == "put", time).alias("put_at"), time.alias("last"),
+        *[F.when(F.col(c).isNotNull(), F.struct(time.alias("at"), F.col(c).alias("value"))).alias(c) for c in rest])
+
+
+def merged_changes(changes: DataFrame, *keys: str) -> DataFrame:
+    """One change per item: the last put, and the newest value of each attribute. Combined before the shuffle."""
+    keys = keys or ("pk", "sk")
+    return changes.groupBy(*keys).agg(*[F.max(c).alias(c) for c in changes.columns if c not in keys])
+
+
+def items_of(merged: DataFrame, *keys: str) -> DataFrame:
+    """The items that merged changes make: a value older than the last put is gone."""
+    keys = keys or ("pk", "sk")
+    rest = [c for c in merged.columns if c not in (*keys, "put_at", "last")]
+    kept = [F.when(F.col("put_at").isNull() | (F.col(c)["at"] >= F.col("put_at")), F.col(c)["value"]).alias(c) for c in rest]
+    return merged.select(*keys, *[F.col("last")[t].alias(t) for t in ITEM_TIME], *kept)
+
+
 def current_items(log: DataFrame, *keys: str) -> DataFrame:
     """Items after all puts and updates of a log with `op`, "put" or "update".
 
@@ -27,18 +55,7 @@ def current_items(log: DataFrame, *keys: str) -> DataFrame:
     are not null, and leaves the others as they are. Per attribute that is the
     newest value that is not null among the last put and what follows it.
     """
-    keys = keys or ("pk", "sk")
-    rest = [c for c in log.columns if c not in (*keys, "op")]
-    order = F.struct("ts", "event_id")
-    puts = log.where(F.col("op") == "put").groupBy(*keys).agg(F.max(order).alias("_put"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    since = log.alias("l").join(puts.alias("p"), condition, "left").where(
-        F.col("_put").isNull() | (F.struct("l.ts", "l.event_id") >= F.col("_put"))).select("l.*")
-    return since.groupBy(*keys).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in rest])
+    return items_of(merged_changes(item_changes(log, *keys), *keys), *keys)
 
 
 def status_flags(log: DataFrame, key: str = "analysis_id") -> DataFrame:

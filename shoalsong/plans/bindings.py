@@ -143,6 +143,23 @@ def job_log(events: DataFrame) -> DataFrame:
         state.alias("status"), F.when(kind == "error", F.get_json_object("props", "$.k")).alias("error"))
 
 
+def item_log(events: DataFrame) -> DataFrame:
+    """Every event as a put or update of an item: a click updates the upload that a signup puts, and every
+    fourth view, purchase and error updates what is there."""
+    kind, of_four = F.col("event_type"), F.pmod("event_id", F.lit(4))
+    analysis, is_upload = analysis_id(), F.col("event_type").isin("signup", "click")
+    sk = (F.when(is_upload, "METADATA").when(kind == "view", "PREPROCESSED").when(kind == "purchase", "RESULT").otherwise("ERROR"))
+    state = (F.when(kind == "signup", "uploaded").when(kind == "click", "processing").when(kind == "view", "preprocessed")
+             .when(kind == "purchase", "complete").otherwise("failed"))
+    return events.select(
+        F.when(is_upload, fields.upload_key(analysis)).otherwise(fields.analysis_key(analysis)).alias("pk"), sk.alias("sk"),
+        F.when((kind == "click") | (~is_upload & (of_four == 0)), "update").otherwise("put").alias("op"), "ts", "event_id",
+        analysis.cast("string").alias("upload_id"), analysis.cast("string").alias("analysis_id"),
+        F.when(of_four != 0, state).alias("status"), F.when(of_four != 1, F.col("event_id") * 10).cast("bigint").alias("size_bytes"),
+        F.when(of_four != 2, F.pmod("event_id", F.lit(9))).cast("bigint").alias("num_segments"),
+        F.when(kind == "error", F.get_json_object("props", "$.k")).alias("error"))
+
+
 def analysis_id() -> Column:
     return (F.col("user_id") * 100 + F.dayofmonth("ts")).cast("bigint")
 

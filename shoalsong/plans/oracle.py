@@ -252,6 +252,28 @@ ORACLE["job_log_append"] = with_(LOG) + "SELECT pk, sk, analysis_id, analysis_id
 
 ORACLE["lookup_items"] = with_(LOG) + "SELECT pk, sk, event_id, status FROM log WHERE sk = 'RESULT'"
 
+# The last put of an item, and of each attribute the newest value that is not null from there on.
+ITEMS = """log AS (
+  SELECT CASE WHEN event_type IN ('signup', 'click') THEN 'UPLOAD#' ELSE 'ANALYSIS#' END || (user_id * 100 + day(ts)) AS pk,
+         CASE WHEN event_type IN ('signup', 'click') THEN 'METADATA' WHEN event_type = 'view' THEN 'PREPROCESSED'
+              WHEN event_type = 'purchase' THEN 'RESULT' ELSE 'ERROR' END AS sk,
+         event_type <> 'click' AND (event_type = 'signup' OR event_id % 4 <> 0) AS is_put, ts, event_id,
+         CASE WHEN event_id % 4 <> 0 THEN CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'click' THEN 'processing'
+              WHEN 'view' THEN 'preprocessed' WHEN 'purchase' THEN 'complete' ELSE 'failed' END END AS status,
+         CASE WHEN event_id % 4 <> 1 THEN event_id * 10 END::BIGINT AS size_bytes,
+         CASE WHEN event_id % 4 <> 2 THEN event_id % 9 END::BIGINT AS num_segments,
+         CASE event_type WHEN 'error' THEN regexp_extract(props, '"k": ([0-9]+)', 1) END AS error
+  FROM events),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pk, sk ORDER BY ts, event_id) AS i FROM log),
+puts AS (SELECT pk, sk, max(i) FILTER (is_put) AS put FROM placed GROUP BY ALL),
+current AS (
+  SELECT pk, sk, last(event_id ORDER BY i) AS event_id,
+         """ + ", ".join(f"last({c} ORDER BY i) FILTER ({c} IS NOT NULL) AS {c}" for c in ("status", "size_bytes", "num_segments", "error")) + """
+  FROM placed JOIN puts USING (pk, sk) WHERE i >= coalesce(put, 0) GROUP BY pk, sk)"""
+
+ORACLE["stored_items"] = with_(ITEMS) + "SELECT * FROM current"
+ORACLE["stored_item_lookup"] = with_(ITEMS) + "SELECT pk, sk, event_id, status, num_segments FROM current WHERE sk = 'RESULT'"
+
 ORACLE["result_documents"] = with_(VECTORS, REFS, POOLED, PAIRS, CLASSES, TOP, POINTS, REF_POINTS) + f""",
 wide AS (
   SELECT analysis_id, {', '.join(f"round(max(p) FILTER (status = '{s}'), 6) + 0.0 AS p_{s}" for s in ('healthy', 'degraded', 'restored_early', 'restored_mid'))}
@@ -622,6 +644,9 @@ UNION ALL SELECT {NAME}, NULL, NULL, NULL, NULL, error_code FROM verdicts WHERE
 
 # --- Streaming ---------------------------------------------------------------
 
+ORACLE["stream_chain"] = f"""
+SELECT *, CASE WHEN error_code IS NULL THEN 'complete' ELSE 'failed' END AS status FROM ({ORACLE['analyse_recordings']})"""
+
 ORACLE["stream_features"] = with_(SIGNALS, QUANTISED, _resampled("quantised"), SEGMENTS, LEVELS, SPECTRA) + f"""
 SELECT {NAME} AS filename, segment_idx, {r6('rms', 'rms')}, {r6('peak', 'peak')}, zero_crossings, {r6('centroid', 'centroid')}
 FROM levels JOIN centroids USING (recording_id, segment_idx)"""

@@ -12,11 +12,13 @@ from shoalsong import constants as C
 from shoalsong import schemas
 from shoalsong.functions import fields
 from shoalsong.functions import vectors as V
-from shoalsong.operators import embedding, features, reports, signal, similarity, status, validation
+from shoalsong.operators import embedding, features
+from shoalsong.operators import items as job_items
+from shoalsong.operators import reports, signal, similarity, status, validation
 from shoalsong.plans import analysis
 from shoalsong.plans import bindings as B
-from shoalsong.sources import corpus, recordings, tables, wav, workspace
-from shoalsong.streaming import jobs
+from shoalsong.sources import corpus, items, recordings, tables, wav, workspace
+from shoalsong.streaming import chain, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,7 +150,7 @@ def job_log_append(spark, sf_dir):
     log = B.job_log(B.table(spark, sf_dir, "events"))
     tables.append_log(log.where(F.col("sk") == "METADATA"), folder)
     tables.append_log(log.where(F.col("sk") != "METADATA"), folder)
-    return tables.read_log(spark, folder).select("pk", "sk", KEY, "upload_id", "event_id", "status", "error")
+    return tables.read_log(spark, folder).select("pk", "sk", long(KEY), long("upload_id"), "event_id", "status", "error")
 
 
 @query
@@ -158,6 +160,30 @@ def lookup_items(spark, sf_dir):
     return tables.lookup_items(log, keys).select("pk", "sk", "event_id", "status")
 
 
+def _item_table(spark: SparkSession, sf_dir: str) -> str:
+    """Events as puts and updates, appended in three parts in any order, compacted before the last."""
+    folder, rows = workspace.new_folder(spark, "items"), B.item_log(B.table(spark, sf_dir, "events"))
+    for part in range(3):
+        if part == 2:
+            items.compact(spark, folder, buckets=8)
+        items.append_items(rows.where(F.pmod("event_id", F.lit(3)) == part), folder)
+    return folder
+
+
+@query
+def stored_items(spark, sf_dir):
+    """Current items of a table of puts and updates, part of them compacted."""
+    return items.read_items(spark, _item_table(spark, sf_dir)).select(
+        "pk", "sk", "event_id", "status", "size_bytes", "num_segments", "error")
+
+
+@query
+def stored_item_lookup(spark, sf_dir):
+    """The results of all requests by key from the same table."""
+    keys = B.requests(spark, sf_dir).select(fields.analysis_key(F.col(KEY)).alias("pk"), F.lit("RESULT").alias("sk"))
+    return items.lookup(spark, _item_table(spark, sf_dir), keys).select("pk", "sk", "event_id", "status", "num_segments")
+
+
 @query
 def result_documents(spark, sf_dir):
     documents = analysis.result_documents(B.pooled(spark, sf_dir), B.refs(spark, sf_dir))
@@ -165,7 +191,7 @@ def result_documents(spark, sf_dir):
     d = stored.select(F.from_json("body", schemas.RESULT).alias("d")).select("d.*")
     summary, seen = F.col("embedding_summary"), F.col("classification")
     return d.select(
-        KEY, "status", seen["label"].alias("label"), r6(seen["confidence"], "confidence"),
+        long(KEY), "status", seen["label"].alias("label"), r6(seen["confidence"], "confidence"),
         *[r6(seen["probabilities"][s], f"p_{s}") for s in reports.STATUSES],
         *[F.col("similar_sites")[i]["site_id"].alias(f"site_{i + 1}") for i in range(3)],
         *[r6(F.col("similar_sites")[i]["similarity"], f"similarity_{i + 1}") for i in range(3)],
@@ -753,6 +779,15 @@ def analyse_recordings(spark, sf_dir):
     """Files to labels: decode, cut, describe, pool, index the same files as references, classify.
     One row per file, with its label or its error."""
     files = B.wav_files(spark, sf_dir).drop("recording_id")
+    pooled, refs = _own_references(spark, files)
+    labels = similarity.classify(pooled, refs).select("recording_id", "label", r6("confidence"))
+    outcomes = analysis.file_outcomes(files, pooled, B.SPEC).join(labels, "recording_id", "left")
+    return outcomes.select(
+        F.col("recording_id").alias("filename"), "num_segments", "synthetic", "label", "confidence", "error_code")
+
+
+def _own_references(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pooled vectors of the files, and the same as reference entries."""
     checked, _ = analysis.check_files(files, B.SPEC)
     folder = workspace.new_folder(spark, "pooled")
     analysis.embed_files(checked, B.SPEC, _block_means, width=4, noise=False).write.parquet(folder)
@@ -762,10 +797,7 @@ def analyse_recordings(spark, sf_dir):
         F.xxhash64("recording_id").alias("ref_id"), F.col("recording_id").alias("filename"),
         parts["site_id"].alias("site_id"), parts["country"].alias("country"), parts["site_type"].alias("site_type"),
         "num_segments", "embedding")
-    labels = similarity.classify(pooled, refs).select("recording_id", "label", r6("confidence"))
-    outcomes = analysis.file_outcomes(files, pooled, B.SPEC).join(labels, "recording_id", "left")
-    return outcomes.select(
-        F.col("recording_id").alias("filename"), "num_segments", "synthetic", "label", "confidence", "error_code")
+    return pooled, refs
 
 
 # --- Streaming ---------------------------------------------------------------
@@ -804,6 +836,25 @@ def stream_features(spark, sf_dir):
         "filename", long("segment_idx"), r6("rms"), r6("peak"), "zero_crossings", r6("centroid"))
 
 
+@query
+def stream_chain(spark, sf_dir):
+    """Files to results, dead letters and job items as one stream; the windows of a recording come in
+    several batches. The status is what the items say."""
+    files = B.wav_files(spark, sf_dir)
+    _, refs = _own_references(spark, files.drop("recording_id"))
+    cut = recordings.read_segments(spark, _export(spark, files), B.SPEC)
+    arrived, schema = workspace.new_folder(spark, "segments"), schemas.SEGMENT
+    cut.repartition(4, F.coalesce("segment_idx", F.lit(0))).write.parquet(arrived)
+    segments = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    path, progress = _folders(spark)
+    chain.run(segments, refs, path, progress, B.SPEC, _block_means, width=4, noise=False).awaitTermination()
+    log = chain.committed(spark, path, "items", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.JOB_ITEM.fields))
+    states = status.with_status(status.status_flags(status.current_items(log.drop("batch")))).select(KEY, "status")
+    done = job_items.identified(chain.outcomes(spark, path)).join(states, KEY)
+    return done.select(F.col("recording_id").alias("filename"), "num_segments", "synthetic", "label", r6("confidence"),
+                       "error_code", "status")
+
+
 @query
 def stream_classify(spark, sf_dir):
     arrived = workspace.new_folder(spark, "pooled")

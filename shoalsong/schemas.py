@@ -55,16 +55,43 @@ SITE = T.StructType([
 JOB_LOG = T.StructType([
     T.StructField("pk", T.StringType()),
     T.StructField("sk", T.StringType()),
-    T.StructField("analysis_id", T.LongType()),
-    T.StructField("upload_id", T.LongType()),
+    T.StructField("analysis_id", T.StringType()),
+    T.StructField("upload_id", T.StringType()),
     T.StructField("ts", T.TimestampNTZType()),
     T.StructField("event_id", T.LongType()),
     T.StructField("status", T.StringType()),
     T.StructField("error", T.StringType()),
 ])
 
+# A put (the whole item) or an update (the attributes that are not null) of an item. METADATA items have
+# the file, PREPROCESSED its duration and windows, RESULT the label and the document, ERROR code and bounds.
+JOB_ITEM = T.StructType([
+    T.StructField("pk", T.StringType()),
+    T.StructField("sk", T.StringType()),
+    T.StructField("op", T.StringType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("event_id", T.LongType()),
+    T.StructField("upload_id", T.StringType()),
+    T.StructField("analysis_id", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("filename", T.StringType()),
+    T.StructField("file_key", T.StringType()),
+    T.StructField("size_bytes", T.LongType()),
+    T.StructField("content_type", T.StringType()),
+    T.StructField("duration_seconds", T.DoubleType()),
+    T.StructField("num_segments", T.LongType()),
+    T.StructField("segments_key", T.StringType()),
+    T.StructField("label", T.StringType()),
+    T.StructField("confidence", T.DoubleType()),
+    T.StructField("document", T.StringType()),
+    T.StructField("error_code", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("min_duration_required", T.DoubleType()),
+    T.StructField("max_duration_allowed", T.DoubleType()),
+])
+
 RESULT = T.StructType([
-    T.StructField("analysis_id", T.LongType()),
+    T.StructField("analysis_id", T.StringType()),
     T.StructField("status", T.StringType()),
     T.StructField("classification", T.StructType([
         T.StructField("label", T.StringType()),

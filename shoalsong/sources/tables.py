@@ -51,7 +51,8 @@ def load_references(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
 
 def append_log(items: DataFrame, path: str) -> None:
     """Add put and update items; nothing is overwritten, the latest row of a key counts."""
-    items.select(*schemas.JOB_LOG.names).write.mode("append").parquet(path)
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.JOB_LOG.fields]
+    items.select(*typed).write.mode("append").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
