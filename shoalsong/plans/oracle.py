@@ -658,6 +658,8 @@ FROM labels JOIN top USING (analysis_id) WHERE rank = 1"""
 ORACLE["stream_status"] = _resolved(f"{_COMPLETE} {_PROCESSING} {_FAILED}").replace(
     "FROM states", "FROM (SELECT * FROM states WHERE analysis_id IN (SELECT analysis_id FROM log)) AS states")
 
+ORACLE["stream_status_expiring"] = f"SELECT * FROM ({ORACLE['stream_status']}) WHERE status <> 'not_found'"
+
 ORACLE["stream_dedup"] = with_(LOG) + "SELECT DISTINCT pk, sk, event_id, status FROM log"
 
 ORACLE["stream_error_window"] = """

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -79,6 +79,74 @@ def status_updates(log: DataFrame, key: str = "analysis_id") -> DataFrame:
     return status.with_status(status.status_flags(log, key))
 
 
+FLAGS = ("has_result boolean, has_preprocessed boolean, has_error boolean, error_at bigint, error_event bigint, "
+         "last_error string")
+
+
+def _tracker(name: str, keep_ms: int):
+    """A stateful processor: the flags of one analysis, dropped `keep_ms` after its last item once it is final."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Tracker(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.flags = handle.getValueState("flags", FLAGS)
+
+        def handleInputRows(self, key, rows, timerValues):
+            old = self.flags.get()
+            result, cut, failed, *last = (False, False, False, None, None, None) if old is None else old
+            for row in rows:
+                result, cut, failed = result or row.sk == "RESULT", cut or row.sk == "PREPROCESSED", failed or row.sk == "ERROR"
+                if row.sk == "ERROR" and (last[0] is None or (row.at, row.event_id) >= tuple(last[:2])):
+                    last = [row.at, row.event_id, row.error]
+            new = (result, cut, failed, *last)
+            for timer in list(self.handle.listTimers()):  # one at most
+                self.handle.deleteTimer(timer)
+            if result or failed:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + keep_ms)
+            if old is None or new != tuple(old):
+                self.flags.update(new)
+                yield Row(**{name: key[0]}, **dict(zip(
+                    ("has_result", "has_preprocessed", "has_error", "error_at", "error_event", "last_error"), new)))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.flags.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    return Tracker()
+
+
+def tracked_status(log: DataFrame, key: str = "analysis_id", keep: int = 7 * 86400) -> DataFrame:
+    """Changes of the flags per analysis, with state that ends: `keep` seconds after the last item of an
+    analysis that has a result or an error, its state is dropped.
+
+    An item that comes later starts a new state, and the table of `write_latest`
+    reopens the analysis: flags of all its rows count (`read_tracked`), so nothing
+    that was known is lost. Only unfinished analyses and those of the last `keep`
+    seconds are in the store, however long the stream runs. No item is too late.
+    Needs the RocksDB state store. To drain what is there and stop, switch
+    `spark.sql.streaming.noDataMicroBatches.enabled` off: with timers Spark else
+    goes on without end.
+    """
+    kind = dict(log.dtypes)[key]
+    items = log.where(F.col("sk").isin("RESULT", "PREPROCESSED", "ERROR") & F.col(key).isNotNull()).select(
+        key, "sk", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "error")
+    return items.groupBy(key).transformWithState(
+        _tracker(key, keep * 1000), f"{key} {kind}, {FLAGS}", "Update", "ProcessingTime")
+
+
+def read_tracked(spark: SparkSession, path: str, key: str = "analysis_id", kind: str = "bigint") -> DataFrame:
+    """Status per analysis from all rows that `tracked_status` has written with `write_latest`."""
+    rows = read_if_present(spark, path, f"{key} {kind}, {FLAGS}, batch bigint", basePath=path)
+    flags = rows.groupBy(key).agg(
+        *[F.bool_or(c).alias(c) for c in ("has_result", "has_preprocessed", "has_error")],
+        F.max(F.when(F.col("has_error"), F.struct("error_at", "error_event", "last_error")))["last_error"].alias("last_error"))
+    return status.with_status(flags)
+
+
 def _first_copies(keys: list[str]):
     """Arrow step: the first row of each key within a batch."""
     def run(batches):

@@ -1,5 +1,8 @@
 """Streams over several batches end where the batch job ends."""
 
+import datetime
+import time
+
 import numpy as np
 import pytest
 from conftest import SMALL
@@ -47,6 +50,55 @@ def test_status_machine(spark, split_events, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.fixture
+def timers(spark):
+    names = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.providerClass":
+             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_status_with_state_that_ends(spark, timers, tmp_path):
+    """State of finished analyses is dropped; a late item reopens them from the table."""
+    folder, path, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = "analysis_id bigint, sk string, ts timestamp_ntz, event_id bigint, error string"
+
+    def drain(rows, keep):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        query = run(jobs.write_latest, jobs.tracked_status(stream, keep=keep), path, progress)
+        return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+
+    def found():
+        return {r["analysis_id"]: (r["status"], r["error"]) for r in jobs.read_tracked(spark, path).collect()}
+
+    at = datetime.datetime(2024, 1, 1)
+    drain([(i, "PREPROCESSED", at, i, None) for i in range(20)] + [(i, "RESULT", at, 100 + i, None) for i in range(18)]
+          + [(50, "ERROR", at, 200, "late"), (50, "ERROR", at - datetime.timedelta(1), 201, "early"), (60, "METADATA", at, 1, None)], 1)
+    assert found() == {**{i: ("complete", None) for i in range(18)}, 18: ("processing", None), 19: ("processing", None),
+                       50: ("failed", "late")}
+    time.sleep(2)
+    # The timers of the first batch fire with this one: two unfinished analyses and the new one are left.
+    drain([(70, "PREPROCESSED", at, 300, None)], 1)
+    rows = drain([(3, "ERROR", at, 301, "after the result"), (50, "RESULT", at, 302, None)], 3600)
+    assert rows <= 2 * (3 + 2)  # flags and a timer each, where 21 analyses were seen
+    assert found() == {**{i: ("complete", None) for i in range(18)}, 18: ("processing", None), 19: ("processing", None),
+                       50: ("complete", None), 70: ("processing", None)}
+
+
+def test_tracked_status_equals_the_batch(spark, timers, split_events, tmp_path):
+    events, stream = split_events
+    path, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    run(jobs.write_latest, jobs.tracked_status(B.job_log(stream)), path, progress)
+    log = B.job_log(events).where("sk <> 'METADATA'")
+    want = status.resolve_status(log.select("analysis_id").distinct(), log)
+    assert sorted(map(str, map(tuple, jobs.read_tracked(spark, path).collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
 def test_redelivered_items(spark, split_events, tmp_path):
     events, stream = split_events
     path, progress = str(tmp_path / "out"), str(tmp_path / "progress")
