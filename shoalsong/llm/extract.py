@@ -46,6 +46,13 @@ CHROME_NAMES = frozenset(
     "breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notification alert popup modal overlay "
     "newsletter subscribe subscription signup login search share sharing social related recommended comment comments "
     "commentlist disqus reply replies respond pagination pager toolbar widget copyright disclaimer masthead skip".split())
+#: What may follow one of those names, joined by hyphens, in the name of a part of a page.
+CHROME_PARTS = frozenset(
+    "area badge banner bar bars block body bottom box button buttons container content form header heading icon icons inner "
+    "item items left link links list main message overlay panel post posts right row section slot text title top unit wrap "
+    "wrapper".split())
+#: Tags that may stand in the head of a page; any other ends an open one.
+HEAD_TAGS = frozenset("html head base link meta title".split())
 #: An opening tag ends an open element of these kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -76,26 +83,38 @@ def _named(at: dict[str, str]) -> bool:
 
 
 def _names(at: dict[str, str]) -> set[str]:
-    return set(re.split(r"[\s_-]+", f"{at.get('class', '')} {at.get('id', '')}".lower()))
+    """Class names and the id. Of a joined name (site-footer, nav-bar) the last part counts, and the first
+    if all that follow are parts of pages: search-engine-history names no search box."""
+    names = set()
+    for name in f"{at.get('class', '')} {at.get('id', '')}".lower().split():
+        parts = [p for p in re.split("[_-]+", name) if p]
+        names.update(parts[-1:])
+        if all(p in CHROME_PARTS or p in CHROME_NAMES or p.isdigit() for p in parts[1:]):
+            names.update(parts[:1])
+    return names
 
 
 def blocks(page: str) -> list[tuple[int, str, float]]:
-    """(zone, text, share of linked characters) of the blocks of a page with text, in order."""
+    """(zone, text, share of linked characters) of the blocks of a page with text, in order.
+
+    Where all articles stand inside chrome, such as a menu whose end is missing, only chrome inside
+    of them counts.
+    """
     out: list[list] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, chrome, article, main; inherited
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, chrome, article, main, chrome inside of these; inherited
     text: list[str] = []
     linked = 0
     at = 0
 
-    def state() -> tuple[str, bool, bool, bool]:
-        return stack[-1] if stack else ("", False, False, False)
+    def state() -> tuple[str, bool, bool, bool, bool]:
+        return stack[-1] if stack else ("", False, False, False, False)
 
     def flush() -> None:
         nonlocal linked
         plain = " ".join(html.unescape("".join(text)).split())
         if plain:
-            _, chrome, article, main = state()
-            out.append([chrome, article, main, plain, min(1.0, linked / len(plain))])
+            _, chrome, article, main, inner = state()
+            out.append([chrome, article, main, plain, min(1.0, linked / len(plain)), inner])
         text.clear()
         linked = 0
 
@@ -111,6 +130,8 @@ def blocks(page: str) -> list[tuple[int, str, float]]:
         found = TOKEN.search(page, at)
         piece = page[at : found.start() if found else len(page)]
         if piece:
+            if stack and stack[-1][0] == "head" and piece.strip():
+                pop({"head"})
             text.append(piece)
             if any(x[0] == "a" for x in stack[-4:]):
                 linked += len(piece)
@@ -135,6 +156,8 @@ def blocks(page: str) -> list[tuple[int, str, float]]:
             continue
         if tag in VOID:
             continue
+        if tag not in HEAD_TAGS:
+            pop({"head"})
         if tag not in INLINE:
             pop({"p"}, {"article", "main", "div", "section", "td", "th", "li", "body", "blockquote"})
         if tag in CLOSES:
@@ -142,13 +165,17 @@ def blocks(page: str) -> list[tuple[int, str, float]]:
         if tag in ("article", "main"):
             pop({"nav", "header"})
         attributes = _attributes(found[3])
-        _, chrome, article, main = state()
-        chrome = chrome or _is_chrome(tag, attributes, article or main)
+        _, chrome, article, main, inner = state()
+        is_chrome = _is_chrome(tag, attributes, article or main)
+        chrome, inner = chrome or is_chrome, inner or is_chrome and (article or main or tag in ("article", "main"))
         article = article or tag == "article" or attributes.get("itemprop", "").lower() == "articlebody"
         main = main or tag == "main" or attributes.get("role", "").lower() == "main"
         if not found[3].endswith("/") or tag not in INLINE:
-            stack.append((tag, chrome, article, main))
+            stack.append((tag, chrome, article, main, inner))
     flush()
+    if not any(b[3] and not b[0] and (b[1] or b[2]) for b in out) and any((b[1] or b[2]) and not b[5] for b in out):
+        for b in out:
+            b[0] = b[5] if b[1] or b[2] else b[0]
     in_article = sum(len(b[3]) for b in out if b[1] and not b[0])
     in_main = sum(len(b[3]) for b in out if b[2] and not b[0])
     article_is_main = in_article and in_article >= 0.3 * in_main
