@@ -30,9 +30,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+#: Frequent words that the last stage broadcasts, and their bytes: a driver that has run the other stages
+#: holds less than one that only encodes. All other words are joined by a shuffle.
+HOT_WORDS, HOT_BYTES = 250_000, 8 << 20
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text, a row per document in the mix."""
-    return bpe.digests(bpe.encode(docs.select("doc_id", "text"), vocabulary(), decoded=True))
+    encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary(), HOT_WORDS, HOT_BYTES, decoded=True)
+    return bpe.digests(encoded)
 
 
 STAGES = [
