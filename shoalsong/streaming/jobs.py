@@ -64,11 +64,13 @@ def classify_batches(pooled: DataFrame, refs: DataFrame, key: str, path: str, ch
 
     def score(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        labels = similarity.classify(batch, refs, vectors=vectors).select(key, "label", "confidence")
-        sites = similarity.similar_sites_or_placeholder(batch, refs, key, **sizes)
-        best = sites.where(F.col("rank") == 1).select(key, "site_id", "similarity")
-        labels.join(best, key, "left").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            labels = similarity.classify(batch, refs, vectors=vectors).select(key, "label", "confidence")
+            sites = similarity.similar_sites_or_placeholder(batch, refs, key, **sizes)
+            best = sites.where(F.col("rank") == 1).select(key, "site_id", "similarity")
+            labels.join(best, key, "left").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (pooled.writeStream.foreachBatch(score)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
