@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalsong.llm.mixing import WHITE
-from shoalsong.llm.tables import not_null_key, staged
+from shoalsong.llm.tables import not_null_key, staged, unused
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -57,6 +57,7 @@ def repeated_words(words: Column) -> Column:
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text counts as empty."""
+    (words,) = unused(docs, "_w")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " " + WHITE, "") != "")
     measured = docs.select(
@@ -65,8 +66,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         _let(words_of(text), lambda w: F.struct(
-            F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("_w"),
-    ).select(*docs.columns, "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words")
+            F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias(words),
+    ).select(*docs.columns, f"{words}.n_words", "word_chars", "n_symbols", "n_dup_lines", f"{words}.n_repeat_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured.withColumn("base_failed", failed)
 
@@ -112,14 +113,16 @@ def quality_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     Words are runs of characters other than space and \\t to \\r. A null text is
     empty and fails the base rules; a null host is a host of its own; repeated
     rows count as one text for line frequency and are judged alike. Columns of
-    `docs` that have the name of a result are replaced. Texts are read whole.
+    `docs` that have the name of a result are replaced, all others stay. Texts
+    are read whole. An empty table gives an empty result.
     """
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "kept")
-    docs = docs.drop(*results, "_w", "_host", "_text")
+    docs = docs.drop(*results)
+    host_key, key, depleted = unused(docs, "_host", "_text", "depleted")
     lost = staged(depleted_texts(docs, host, **limits).select(
-        F.col("host_key").alias("_host"), F.col("text_key").alias("_text"), "n_lost_words", "depleted"), "lost")
-    keyed = base_rules(docs).withColumn("_host", not_null_key(F.col(host))).withColumn("_text", text_key(F.col("text")))
-    judged = keyed.join(lost, ["_host", "_text"], "left")
-    kept = ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))
+        F.col("host_key").alias(host_key), F.col("text_key").alias(key), "n_lost_words", F.col("depleted").alias(depleted)), "lost")
+    keyed = base_rules(docs).withColumn(host_key, not_null_key(F.col(host))).withColumn(key, text_key(F.col("text")))
+    judged = keyed.join(lost, [host_key, key], "left")
+    kept = ~F.col("base_failed") & ~F.coalesce(depleted, F.lit(False))
     lost_words = F.coalesce("n_lost_words", F.lit(0)).cast("bigint")
-    return judged.withColumn("n_lost_words", lost_words).withColumn("kept", kept).drop("_host", "_text", "depleted")
+    return judged.withColumn("n_lost_words", lost_words).withColumn("kept", kept).drop(host_key, key, depleted)

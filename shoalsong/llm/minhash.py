@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalsong.llm import words
-from shoalsong.llm.tables import broadcast_if_small, components, staged
+from shoalsong.llm.tables import broadcast_if_small, components, staged, unused
 
 CHUNKS, WIDTH = 10, 4
 POSITIONS = CHUNKS * WIDTH
@@ -311,18 +311,20 @@ def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     That is a row with the smallest doc_id of the component; if rows share that
     doc_id, the one with the smallest md5 of its text, and of equal rows one.
-    Rows without words are no duplicates, but equal ones are one.
+    Rows without words are no duplicates, but equal ones are one. Other columns
+    may have any name. An empty table gives an empty result.
     """
+    key, of_id, of_key, n = unused(docs, "_text_key", "_id", "_key", "_n")
     found = near_duplicates(docs, width, percent).where("kept")
     rows = found.groupBy("component_id", "digest", "text_key").agg(
-        F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
+        F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     # Where a component is told apart by its id alone, several texts may have that id.
     first = rows.groupBy("component_id", F.col("digest").isNull().alias("_none"),
                          F.when(F.col("digest").isNull(), F.col("text_key")).alias("_text")).agg(
-        F.min("text_key").alias("_key"), F.min_by("doc_id", "text_key").alias("_id"), F.min_by("_n", "text_key").alias("_n"))
-    first = staged(first.select("_id", "_key", "_n"), "kept")
-    joined = docs.withColumn("_text_key", text_key()).join(
-        broadcast_if_small(first), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    once = joined.where("_n = 1").select(*docs.columns)
-    more = joined.where("_n > 1").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+        F.min("text_key").alias(of_key), F.min_by("doc_id", "text_key").alias(of_id), F.min_by("n", "text_key").alias(n))
+    first = staged(first.select(of_id, of_key, n), "kept")
+    joined = docs.withColumn(key, text_key()).join(
+        broadcast_if_small(first), F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)))
+    once = joined.where(F.col(n) == 1).select(*docs.columns)
+    more = joined.where(F.col(n) > 1).dropDuplicates(["doc_id", key]).select(*docs.columns)
     return once.unionByName(more)

@@ -18,10 +18,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalsong.llm.tables import broadcast_if_small, not_null_key, running_total, staged
+from shoalsong.llm.tables import broadcast_if_small, not_null_key, partitions, running_total, staged, unused
 
 WHITE = "\t\n\x0b\x0c\r"
 BLOCK_WORDS = 4096
+# Points of the lattice that one row unfolds into.
+STRETCH = 1 << 16
 MAX_REPEATS = 3
 CYCLE = (1, 2, 3)
 
@@ -69,15 +71,22 @@ def _step(slots: int) -> tuple[int, int]:
 
 
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (slot, key, block): which block of which source each slot of the schedule takes."""
+    """Rows (slot, key, block): which block of which source each slot of the schedule takes.
+
+    A source has one row for every `STRETCH` of its points, and these rows are dealt to
+    all tasks, so neither a task nor an array holds the slots of a whole source.
+    """
     quotas = sources.withColumn("words", F.floor(F.col("target") + 0.5).cast("bigint"))
     quotas = quotas.withColumn("blocks", F.ceil(F.col("words") / block_words).cast("bigint"))
     quotas = running_total(quotas, [], ["rank"], "blocks", "begin")
     quotas = staged(quotas.where("blocks > 0"), "quotas")
     slots = quotas.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     _, inverse = _step(slots) if slots else (0, 0)
-    point = F.explode(F.sequence("begin", F.col("begin") + F.col("blocks") - 1))
-    points = quotas.select("key", point.alias("point"))
+    end = F.col("begin") + F.col("blocks") - 1
+    stretches = quotas.select("key", end.alias("end"), F.explode(F.sequence("begin", end, F.lit(STRETCH).cast("bigint"))).alias("low"))
+    stretches = stretches.repartition(partitions(sources.sparkSession))
+    high = F.least("end", F.col("low") + (STRETCH - 1))
+    points = stretches.select("key", F.explode(F.sequence("low", high)).alias("point"))
     product = F.col("point").cast("decimal(19,0)") * F.lit(inverse).cast("decimal(19,0)")
     times = points.select("key", F.pmod(product, F.lit(max(slots, 1)).cast("decimal(19,0)")).cast("bigint").alias("slot"))
     return running_total(times.withColumn("_one", F.lit(1)), ["key"], ["slot"], "_one", "block").select("slot", "key", "block")
@@ -132,13 +141,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A row comes taken / size times, rounded: as only the document at the end of
     a source's target is taken in part, that keeps to the targets. Rows with
-    equal doc_id, source and size share what is taken of them evenly.
+    equal doc_id, source and size share what is taken of them evenly. Other
+    columns may have any name. An empty table gives an empty result.
     """
+    of_id, of_key, of_size, copies, key, size, copy = unused(
+        docs, "_id", "_key", "_size", "_copies", "_own_key", "_own_size", "_copy")
     taken = taken_words(*mixture(docs, **options)).where("size > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size")).agg(
-        F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias(of_id), F.col("key").alias(of_key), F.col("size").alias(of_size)).agg(
+        F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(copies)).where(F.col(copies) > 0)
     taken = staged(taken, "taken")
-    keyed = docs.withColumn("_own_key", not_null_key(F.col("source"))).withColumn("_own_size", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")) & (F.col("_own_size") == F.col("_size"))
+    keyed = docs.withColumn(key, not_null_key(F.col("source"))).withColumn(size, word_count(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)) & (F.col(size) == F.col(of_size))
     joined = keyed.join(broadcast_if_small(taken), same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

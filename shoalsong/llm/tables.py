@@ -36,6 +36,12 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many _ behind it as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := name + "_" * i).lower() not in taken) for name in names]
+
+
 def not_null_key(column: Column) -> Column:
     """A string for grouping and joining: null is a value of its own, "" does not equal it."""
     return F.when(column.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), column.cast("string")))
