@@ -13,6 +13,8 @@ from shoalsong.sources import wav
 # Seconds and rates scaled to the event table: 4 samples a second, windows of 16.
 SPEC = SegmentSpec(rate=4, seconds=4.0, min_seconds=7.5, max_seconds=36.0)
 SIZE_LIMIT = 5000
+# Samples of a recording that are gathered at a time.
+PIECE = 1 << 20
 
 
 # Declared, so that no job has to read file footers for a schema.
@@ -87,12 +89,16 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(validation.admitted_samples(samples(spark, sf_dir), SPEC))
 
 
-def file_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, n_samples, length) of every recording: the bytes that a file of it has."""
+    sizes = samples(spark, sf_dir).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    return sizes.withColumn("length", 2 * F.col("n_samples") + wav.HEADER_BYTES)
+
+
+def file_signals(spark: SparkSession, sf_dir: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Sample rows of every recording that fits into a file of the published size limit."""
-    rows = samples(spark, sf_dir)
-    sizes = rows.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_samples"))
-    fitting = sizes.where(F.col("n_samples") <= (MAX_FILE_BYTES - wav.HEADER_BYTES) // 2)
-    return _numbered(rows.join(fitting, "recording_id").repartition("recording_id"))
+    fitting = file_sizes(spark, sf_dir).where(F.col("length") <= max_bytes).drop("length")
+    return _numbered(samples(spark, sf_dir).join(fitting, "recording_id").repartition("recording_id"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,21 +113,29 @@ def pcm_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.segment_fixed(signal.resample_linear(quantised, SPEC.rate), SPEC)
 
 
-def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wav_files(spark: SparkSession, sf_dir: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(recording_id, path, length, content): every recording as a WAV file, valid or not.
 
-    The size limit bounds the samples of a recording, so collecting them is safe.
+    A recording whose file would exceed `max_bytes` has its counted length and no
+    content, so the size rule turns it into an error row. Samples of the others
+    are gathered `PIECE` at a time as rows; whole files are only put together of
+    packed 16-bit arrays, at most `max_bytes`.
     """
-    pcm = (
-        file_signals(spark, sf_dir)
-        .groupBy("recording_id")
+    pieces = (
+        file_signals(spark, sf_dir, max_bytes)
+        .groupBy("recording_id", F.floor(F.col("sample_idx") / PIECE).alias("piece"))
         .agg(F.sort_array(F.collect_list(F.struct("sample_idx", signal.quantize_pcm16(F.col("v")).alias("q")))).alias("s"),
              F.max("sample_rate").alias("sample_rate"))
-        .select("recording_id", F.transform("s", lambda x: x["q"]).alias("pcm"), "sample_rate")
+        .select("recording_id", "piece", F.transform("s", lambda x: x["q"]).alias("pcm"), "sample_rate")
     )
-    return wav.encode(pcm).select(
-        "recording_id", recording_name(F.col("recording_id")).alias("path"),
-        F.length("content").cast("bigint").alias("length"), "content")
+    pcm = pieces.groupBy("recording_id").agg(
+        F.sort_array(F.collect_list(F.struct("piece", "pcm"))).alias("p"), F.max("sample_rate").alias("sample_rate")).select(
+        "recording_id", F.flatten(F.transform("p", lambda x: x["pcm"])).alias("pcm"), "sample_rate")
+    written = wav.encode(pcm).select("recording_id", F.length("content").cast("bigint").alias("length"), "content")
+    too_large = file_sizes(spark, sf_dir).where(F.col("length") > max_bytes).select(
+        "recording_id", "length", F.lit(None).cast("binary").alias("content"))
+    return written.unionByName(too_large).select(
+        "recording_id", recording_name(F.col("recording_id")).alias("path"), "length", "content")
 
 
 def recording_name(recording_id: Column) -> Column:

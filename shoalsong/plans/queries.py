@@ -52,9 +52,11 @@ def entries(df: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
 
 
 def _export(spark: SparkSession, files: DataFrame) -> str:
-    """Write (path, content) rows as files below the shared folder."""
+    """Write (path, content) rows as files below the shared folder; a recording beyond the size limit
+    has no content and is refused before it is stored."""
     folder = workspace.new_folder(spark, "corpus")
-    written = corpus.export_recordings(files.select(F.col("path").alias("name"), "content"), folder)
+    stored = files.where(F.col("content").isNotNull())
+    written = corpus.export_recordings(stored.select(F.col("path").alias("name"), "content"), folder)
     written.write.parquet(workspace.new_folder(spark, "manifest"))
     return folder
 
@@ -385,7 +387,8 @@ def _damaged(files: DataFrame, *damage: Column) -> DataFrame:
     broken = F.lit(None).cast("binary")
     for i, content in enumerate(damage):
         broken = F.when(F.col("recording_id") % len(damage) == i, content).otherwise(broken)
-    return files.withColumn("content", broken).withColumn("length", F.length("content").cast("bigint"))
+    return files.withColumn("content", broken).withColumn(
+        "length", F.coalesce(F.length("content").cast("bigint"), F.col("length")))
 
 
 def _replaced(start: int, text: bytes) -> Column:
