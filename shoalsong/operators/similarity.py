@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from shoalsong import constants as C
 from shoalsong.functions import fields
 from shoalsong.functions import vectors as V
+from shoalsong.operators import cells
+from shoalsong.operators.cells import best_per_row, first_k, unit_rows
 from shoalsong.operators.embedding import mean_pool
 
 CODES = [code for code, _ in C.CATEGORIES]
@@ -201,10 +203,7 @@ def _pack(vectors: DataFrame, id_column: str, keys: list[str], rows: int) -> Dat
                 where = np.flatnonzero((tags == tag).all(axis=1))
                 for start in range(0, len(where), rows):
                     part = table.take(pa.array(where[start:start + rows]))
-                    flat = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-                    matrix = flat.astype(np.float64).reshape(part.num_rows, -1)
-                    lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-                    matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+                    matrix = unit_rows(part.column("embedding").combine_chunks(), int(tag[head.index("dim")]))
                     ids = part.column(id_column).combine_chunks()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(tag[0])], pa.int32()),
@@ -216,32 +215,6 @@ def _pack(vectors: DataFrame, id_column: str, keys: list[str], rows: int) -> Dat
     return vectors.select(id_column, *head, "embedding").mapInArrow(run, schema)
 
 
-def _best_per_row(scores, ref_ids, k: int):
-    """(rows, references, scores) of the k highest scores of each row, exact.
-
-    Scores are compared to 12 places, so equal references tie whatever order
-    the product summed in, and ties go to the lower id.
-    """
-    n = scores.shape[1]
-    keep = min(k, n)
-    # The k-th highest of the group maxima is a lower bound of the k-th highest score.
-    group = max(1, min(64, n // (8 * k)))
-    maxima = np.maximum.reduceat(scores, np.arange(0, n, group), axis=1)
-    last = maxima.shape[1] - keep
-    floor = np.partition(maxima, last, axis=1)[:, last]
-    hits = np.flatnonzero(scores >= (floor - 1e-9)[:, None])
-    rows, columns = hits // n, hits % n
-    values = np.round(scores.ravel()[hits], 12)
-    return _first_k(rows, ref_ids[columns], values, keep)
-
-
-def _first_k(rows, references, scores, k: int):
-    order = np.lexsort((references, -scores, rows))
-    rows = rows[order]
-    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[best], references[order][best], scores[order][best]
-
-
 def _nearest_in_blocks(k: int):
     """Arrow function: the k best references of each row of a matrix, over the
     consecutive reference matrices it is paired with."""
@@ -259,9 +232,9 @@ def _nearest_in_blocks(k: int):
                 width = row["dim"].as_py()
                 ids, ref_ids = row["ids"].values, row["ref_ids"].values.to_numpy()
                 left, right = (np.frombuffer(row[c].as_buffer()).reshape(-1, width) for c in ("matrix", "ref_matrix"))
-                found = _best_per_row(left @ right.T, ref_ids, k)
+                found = best_per_row(left @ right.T, ref_ids, k)
                 if held is not None and held_ids.equals(ids):
-                    held = _first_k(*(np.concatenate(pair) for pair in zip(held, found)), k)
+                    held = first_k(*(np.concatenate(pair) for pair in zip(held, found)), k)
                     continue
                 if held is not None:
                     yield result(held_ids, held)
@@ -290,43 +263,21 @@ def nearest_references(
 
     The size of the reference matrix decides the join; it is measured with
     `reference_bytes` unless given. Up to `broadcast_bytes` it is broadcast.
-    Beyond, the references are hashed into blocks of about `block_bytes` and
-    every recording matrix visits each block: an equi-join on (block, lane,
-    width). A recording matrix belongs to one lane and each lane has a copy of
-    every block, so that there are enough tasks. Either way k rows per recording
-    and block leave the product, and ties go to the lower ref_id. `key` must be
+    Beyond, the references are written as cells of about `block_bytes` and each
+    task reads those that can hold one of the nearest (`operators.cells`);
+    recordings are not shuffled. Ties go to the lower ref_id. `key` must be
     unique.
     """
-    spark = pooled.sparkSession
     entries = finite(refs).select("ref_id", V.width(F.col("embedding")).alias("dim"), "embedding")
     if matrix_bytes is None:
         matrix_bytes = reference_bytes(refs)
     rows = finite(pooled).select(key, V.width(F.col("embedding")).alias("dim"), "embedding")
-    references = F.col("ids").alias("ref_ids"), F.col("matrix").alias("ref_matrix")
-
-    if matrix_bytes <= broadcast_bytes:
-        left = _pack(rows, key, [], 1024)
-        right = _pack(entries.coalesce(1), "ref_id", [], 4096).select("dim", *references)
-        pairs = left.join(F.broadcast(right), "dim")
-    else:
-        blocks = -(-matrix_bytes // block_bytes)
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # Several (block, lane) cells per task even out how cells hash to tasks.
-        lanes = max(1, -(-4 * tasks // blocks))
-        left = (
-            _pack(rows, key, [], 1024)
-            .withColumn("lane", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(lanes)).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        )
-        hashed = entries.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).cast("int"))
-        right = (
-            _pack(hashed.repartition(min(blocks, tasks), "block").sortWithinPartitions("block"),
-                  "ref_id", ["block"], 4096)
-            .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-            .select("dim", "block", "lane", *references)
-        )
-        pairs = left.join(right, ["dim", "block", "lane"])
-
+    if matrix_bytes > broadcast_bytes:
+        return cells.nearest(rows, entries, key, k, block_bytes, max(8, -(-matrix_bytes // block_bytes)))
+    left = _pack(rows, key, [], 1024)
+    right = _pack(entries.coalesce(1), "ref_id", [], 4096).select(
+        "dim", F.col("ids").alias("ref_ids"), F.col("matrix").alias("ref_matrix"))
+    pairs = left.join(F.broadcast(right), "dim")
     candidates = pairs.select("dim", "ids", "matrix", "ref_ids", "ref_matrix").mapInArrow(
         _nearest_in_blocks(k), f"id {pooled.schema[key].dataType.simpleString()}, ref_id bigint, similarity double")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "ref_id")
