@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shoalsong import constants as C
 from shoalsong import schemas
+from shoalsong.sources import json_arrays
 
 
 def read_if_present(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options) -> DataFrame:
@@ -36,17 +37,19 @@ def write_references(refs: DataFrame, path: str) -> None:
 def load_references(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The reference index; `fmt="json"` reads one JSON array per file.
 
-    A JSON index is one document, so one task reads it in order and the position
-    of an entry serves as its ref_id.
+    A JSON index is read by byte ranges in many tasks, and the position of an
+    entry, over all files by path, serves as its ref_id. An entry that is no
+    valid JSON has a ref_id and nulls.
     """
     if fmt == "parquet":
         return read_if_present(spark, path, schemas.REFERENCE_ENTRY)
     documents = "filename string, site_id string, country string, site_type string, num_segments bigint, " \
                 "embedding_file string, mean_embedding array<double>"
-    read = read_if_present(spark, path, documents, "json", multiLine="true")
+    entry = F.from_json("text", documents)
+    read = json_arrays.read_objects(spark, path).select(F.col("position").alias("ref_id"), entry.alias("e"))
     return read.select(
-        F.monotonically_increasing_id().alias("ref_id"), "filename", "site_id", "country", "site_type", "num_segments",
-        F.col("mean_embedding").alias("embedding"))
+        "ref_id", "e.filename", "e.site_id", "e.country", "e.site_type", "e.num_segments",
+        F.col("e.mean_embedding").alias("embedding"))
 
 
 def append_log(items: DataFrame, path: str) -> None:
