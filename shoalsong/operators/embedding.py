@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from shoalsong.functions import vectors as V
 
@@ -198,3 +201,99 @@ def embedding_summary(pooled: DataFrame, key: str = "recording_id") -> DataFrame
         F.lit("mean").alias("aggregation"),
         synthetic.alias("synthetic"),
     )
+
+
+# --- Pooling on matrices -----------------------------------------------------
+
+# Running sums that a task holds before it passes them on.
+POOL_BYTES = 64 << 20
+
+
+def _summed_by_key(batch: pa.RecordBatch, keys: list[str]):
+    """(key values and width, count, sum vector) of each key and width of a batch (keys, _n, _vector)."""
+    lists = batch.column("_vector")
+    widths = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    table = pa.Table.from_arrays([*(batch.column(k) for k in keys), pa.array(widths), pa.array(np.arange(len(widths)))],
+                                 [*(f"k{i}" for i in range(len(keys))), "width", "row"])
+    heads = table.column_names[:-1]
+    groups = table.group_by(heads, use_threads=False).aggregate([("row", "list")])
+    rows = groups.column("row_list").combine_chunks()
+    owner = np.empty(len(widths), np.int64)
+    owner[rows.flatten().to_numpy()] = np.repeat(np.arange(len(rows)), pc.list_value_length(rows).to_numpy())
+    counts = np.bincount(owner, weights=batch.column("_n").to_numpy(), minlength=len(rows)).astype(np.int64)
+    sums: list = [None] * len(rows)
+    for width in np.unique(widths[widths > 0]):
+        of_width = np.flatnonzero(widths == width)
+        of_width = of_width[np.argsort(owner[of_width], kind="stable")]
+        flat = pc.fill_null(lists.take(pa.array(of_width)).flatten(), 0.0).to_numpy()
+        found, starts = np.unique(owner[of_width], return_index=True)
+        for group, total in zip(found, np.add.reduceat(flat.reshape(-1, width), starts, axis=0)):
+            sums[group] = total
+    return zip(zip(*(groups.column(h).to_pylist() for h in heads)), counts.tolist(), sums)
+
+
+def _fold_sums(keys: list[str], types: list[pa.DataType], ordered: bool):
+    """Arrow function: rows (keys, _n, _vector) to one row per key and width, several where the sums held
+    exceed `POOL_BYTES`. On rows `ordered` by key, to one row (keys, _vector, _dim, _n) per key with its mean."""
+    def rows_of(held):
+        heads = list(zip(*held)) if held else [()] * (len(keys) + 1)
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(values, t) for values, t in zip(heads, types)),
+             pa.array([n for n, _ in held.values()], pa.int64()),
+             pa.array([v for _, v in held.values()], pa.list_(pa.float64()))], [*keys, "_n", "_vector"])
+
+    def means_of(held):
+        found: dict[tuple, dict] = {}
+        for head, value in held.items():
+            found.setdefault(head[:-1], {})[head[-1]] = value
+        heads = list(zip(*found)) if found else [()] * len(keys)
+        widths = [max(of_key) if len(of_key.keys() - {-1}) == 1 and max(of_key) > 0 else None for of_key in found.values()]
+        means = [None if w is None else of_key[w][1] / of_key[w][0] for w, of_key in zip(widths, found.values())]
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(values, t) for values, t in zip(heads, types)), pa.array(means, pa.list_(pa.float64())),
+             pa.array(widths, pa.int32()), pa.array([sum(n for n, _ in of_key.values()) for of_key in found.values()], pa.int64())],
+            [*keys, "_vector", "_dim", "_n"])
+
+    def run(batches):
+        held, size, out = {}, 0, means_of if ordered else rows_of
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for head, n, total in _summed_by_key(batch, keys):
+                if head in held:
+                    before, running = held[head]
+                    held[head] = before + n, running if total is None else running + total
+                    continue
+                held[head] = n, np.zeros(0) if total is None and head[-1] == 0 else total
+                size += 64 + (0 if total is None else total.nbytes)
+            if size > POOL_BYTES:
+                key = list(held)[-1][:-1]
+                last = {head: held.pop(head) for head in list(held) if head[:-1] == key} if ordered else {}
+                yield out(held)
+                held, size = last, 0
+        if held:
+            yield out(held)
+
+    return run
+
+
+def mean_pool_matrices(segments: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
+    """`mean_pool` by matrix sums in the task: for wide vectors.
+
+    A task adds up the vectors of a key before the shuffle, so one row per key
+    and task is shuffled, whatever the width, and a key with a third of all
+    segments costs one row per task. Merging holds one key at a time. Nulls,
+    empty tables and mixed widths as in `mean_pool`; null entries count 0,
+    and one that is null in all vectors is 0.
+    At least one key; names of keys must not start with _.
+    """
+    names = list(keys)
+    rows = segments.select(*names, F.when(F.col(vector).isNull(), 0).otherwise(1).cast("bigint").alias("_n"),
+                           F.col(vector).cast("array<double>").alias("_vector"))
+    types = [to_arrow_type(rows.schema[k].dataType) for k in names]
+    partial = rows.mapInArrow(_fold_sums(names, types, False), rows.schema)
+    dealt = partial.repartition(*names).sortWithinPartitions(*names)
+    schema = StructType([*(rows.schema[k] for k in names), StructField("_vector", ArrayType(DoubleType())),
+                         StructField("_dim", IntegerType()), StructField("_n", LongType())])
+    return dealt.mapInArrow(_fold_sums(names, types, True), schema).select(
+        *names, F.col("_vector").alias(vector), F.col("_dim").alias("dim"), F.col("_n").alias("num_segments"))

@@ -482,6 +482,8 @@ SELECT vec_id, pos::BIGINT AS pos, {r6('x', 'value')} FROM flat WHERE pos < 40""
 ORACLE["mean_pool"] = with_(VECTORS, POOLED) + f"""
 SELECT analysis_id, num_segments, pos::BIGINT AS pos, {r6('value', 'value')} FROM pooled_flat"""
 
+ORACLE["mean_pool_matrices"] = ORACLE["mean_pool"]
+
 ORACLE["embed_with_fallback"] = with_(VECTORS, POOLED) + f""",
 faulty AS (SELECT analysis_id, bool_or(vec_id % 7 = 0) AS synthetic, count(*) AS num_segments FROM vectors GROUP BY 1)
 SELECT analysis_id, synthetic, num_segments, pos::BIGINT AS pos, {r6('avg(CASE WHEN synthetic THEN x * x + pos ELSE x END)', 'value')}

@@ -562,6 +562,11 @@ def mean_pool(spark, sf_dir):
     return entries(B.pooled(spark, sf_dir), KEY, "num_segments")
 
 
+@query
+def mean_pool_matrices(spark, sf_dir):
+    return entries(embedding.mean_pool_matrices(B.segment_vectors(spark, sf_dir), KEY), KEY, "num_segments")
+
+
 def _with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = B.segment_vectors(spark, sf_dir)
     return vectors.withColumn("feature_embedding", F.transform("embedding", lambda x, i: x * x + i)).withColumn(
