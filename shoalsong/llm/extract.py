@@ -7,10 +7,14 @@ hidden parts are no text.
 
 The blocks of all pages of a host are one stream of words with a mark between
 pages. A suffix array of it, sorted to RUN words deep by prefix doubling, brings
-equal runs together; runs on PAGES or more distinct pages are boilerplate. It is
-cut from open blocks, where only the unique runs stay. The words of a marked
-article stay even where other pages, or their footers and adverts, repeat them:
-sentences that many articles share are no boilerplate.
+equal runs together; runs on PAGES or more distinct pages of the host are
+boilerplate, also where the host is so large that it has several arrays. It is
+cut from open blocks, where the unique runs stay, whatever their share. The words
+of a marked article stay even where other pages, or their footers and adverts,
+repeat them: sentences that many articles share are no boilerplate.
+
+Pages with the same set of words count as one, so a page that was merely copied
+keeps its text.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from shoalsong.llm import words
 from shoalsong.llm.tables import not_null_key, staged
 
 RUN, PAGES = 8, 3
-#: Share of a block's words that must be boilerplate for the block to go.
-COVERED = 0.8
+#: Share of a block's characters from which it is a link.
+LINKED = 0.8
 #: Characters of html in one suffix array; larger hosts have several, with pages dealt by digest.
 ARRAY_CHARS = 8 << 20
 
@@ -209,68 +213,127 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.n
     return np.argsort(rank, kind="stable"), rank
 
 
-def boilerplate(tokens, page, copy, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Per token whether a run repeated on enough distinct pages covers it. `copy` numbers pages by
-    content: equal pages count once."""
-    n = len(tokens)
-    marks = np.zeros(n + 1, np.int64)
-    if n < run:
-        return marks[:n] > 0
+def _groups(tokens, page, copy, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in order, the group of equal runs each is in, and the distinct (group, copy) pairs by group."""
     order, rank = repeated(tokens, page, run)
     first = np.r_[0, np.flatnonzero(np.diff(rank[order])) + 1]
-    groups = np.arange(len(first)).repeat(np.diff(np.r_[first, n]))
-    pairs = np.unique(groups * (int(copy.max()) + 1) + copy[order])
-    on_pages = np.bincount(pairs // (int(copy.max()) + 1), minlength=len(first))
-    at = order[(on_pages >= pages)[groups]]
+    groups = np.arange(len(first)).repeat(np.diff(np.r_[first, len(tokens)]))
+    many = int(copy.max()) + 1
+    pairs = np.unique(groups * many + copy[order])
+    return order, groups, pairs // many, pairs % many
+
+
+def _covered(at: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Per token of n whether a run that begins at one of the places covers it."""
+    marks = np.zeros(n + 1, np.int64)
     np.add.at(marks, at, 1)
     np.add.at(marks, np.minimum(at + run, n), -1)
     return np.cumsum(marks)[:n] > 0
 
 
-def host_texts(pages: list[list[tuple[int, str, float]]]) -> list[str]:
-    """The main text of each page, given the blocks of all pages of a host."""
-    flat = [b for page in pages for b in page]
-    owner = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-    hasher, hashes, block = words.Hasher(), [], []
-    for rows, starts, ends, data in words.pieces(pa.array([b[1] for b in flat], pa.string())):
-        hashes.append(hasher(starts, ends, data))
-        block.append(rows)
-    tokens = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    block = np.concatenate(block) if block else np.empty(0, np.int64)
-    zones = np.array([b[0] for b in flat], np.int64)
-    # Equal pages are copies, and copies count once.
-    seen: dict[str, int] = {}
-    copies = np.array([seen.setdefault("\n".join(b[1] for b in page), len(seen)) for page in pages], np.int64)
-    covered = boilerplate(tokens, owner[block], copies[owner[block]])
-    size = np.bincount(block, minlength=len(flat))
-    share = np.bincount(block, weights=covered, minlength=len(flat)) / np.maximum(size, 1)
+def boilerplate(tokens, page, copy, run: int = RUN, pages: int = PAGES) -> np.ndarray:
+    """Per token whether a run repeated on enough distinct pages covers it. `copy` numbers pages by
+    content: equal pages count once."""
+    n = len(tokens)
+    if n < run:
+        return np.zeros(n, bool)
+    order, groups, pair_group, _ = _groups(tokens, page, copy, run)
+    on_pages = np.bincount(pair_group, minlength=groups[-1] + 1)
+    return _covered(order[(on_pages >= pages)[groups]], n, run)
+
+
+class Stream:
+    """The words of all pages of an array, hashed, with the block and page of each."""
+
+    def __init__(self, pages: list[list[tuple[int, str, float]]]) -> None:
+        self.pages = pages
+        self.flat = [b for page in pages for b in page]
+        owner = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+        hasher, hashes, block = words.Hasher(), [], []
+        for rows, starts, ends, data in words.pieces(pa.array([b[1] for b in self.flat], pa.string())):
+            hashes.append(hasher(starts, ends, data))
+            block.append(rows)
+        self.tokens = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.block = np.concatenate(block) if block else np.empty(0, np.int64)
+        self.page = owner[self.block]
+        self.is_open = np.array([b[0] == OPEN for b in self.flat], bool)
+        # Pages by their sets of words, the same in all arrays.
+        self.keys = np.zeros(len(pages), np.int64)
+        edges = np.searchsorted(self.page, np.arange(len(pages) + 1))
+        for i, (begin, end) in enumerate(zip(edges[:-1], edges[1:])):
+            self.keys[i] = words.mixed(np.unique(self.tokens[begin:end]).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]
+
+    def copies(self) -> np.ndarray:
+        """The number of its page's content, per word."""
+        return np.unique(self.keys, return_inverse=True)[1][self.page]
+
+    def runs(self, run: int = RUN) -> np.ndarray:
+        """A 64-bit hash of the run that begins at each word, as far as there are so many words."""
+        n = max(0, len(self.tokens) - run + 1)
+        out = np.zeros(n, np.uint64)
+        for k in range(run):
+            out = words.mixed(out * words.BASE + self.tokens[k : k + n])
+        return out.view(np.int64)
+
+
+def host_runs(pages: list[list[tuple[int, str, float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, copy, whether it touches an open block) of the runs of one of several arrays of a host.
+
+    A run names at most PAGES distinct pages: with that, the runs on PAGES or more pages of all arrays
+    together are exactly known.
+    """
+    stream = Stream(pages)
+    n = len(stream.tokens)
+    if n < RUN:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    order, groups, pair_group, pair_copy = _groups(stream.tokens, stream.page, stream.copies(), RUN)
+    opened = np.r_[0, np.cumsum(stream.is_open[stream.block])]
+    within = np.zeros(n, bool)
+    within[: n - RUN + 1] = stream.page[: n - RUN + 1] == stream.page[RUN - 1 :]
+    touches = np.zeros(n, bool)
+    touches[: n - RUN + 1] = opened[RUN:] > opened[: n - RUN + 1]
+    count = groups[-1] + 1
+    first = np.searchsorted(groups, np.arange(count))
+    open_group = np.bincount(groups, weights=touches[order], minlength=count) > 0
+    # A run that meets the end of its page is alone in its group.
+    place = np.arange(len(pair_group)) - np.searchsorted(pair_group, np.arange(count))[pair_group]
+    kept = (place < PAGES) & within[order[first]][pair_group]
+    at = order[first][pair_group[kept]]
+    return stream.runs()[at], np.unique(stream.keys)[pair_copy[kept]], open_group[pair_group[kept]]
+
+
+def host_texts(pages: list[list[tuple[int, str, float]]], frequent: np.ndarray | None = None) -> list[str]:
+    """The main text of each page, given the blocks of all pages of an array.
+
+    `frequent` are the runs that are boilerplate; without it the array holds the whole host and tells them.
+    """
+    stream = Stream(pages)
+    flat, size = stream.flat, np.bincount(stream.block, minlength=len(stream.flat))
+    if frequent is None:
+        covered = boilerplate(stream.tokens, stream.page, stream.copies())
+    else:
+        covered = _covered(np.flatnonzero(np.isin(stream.runs(), frequent)), len(stream.tokens), RUN)
     begin = np.cumsum(size) - size
     out, at = [], 0
     for page in pages:
-        here = range(at, at + len(page))
-        open_words = sum(size[i] for i in here if zones[i] == OPEN)
-        lost = sum(size[i] * share[i] for i in here if zones[i] == OPEN)
-        # Pages of which nearly all is found elsewhere are versions of one page, not boilerplate.
-        cut = lost <= 0.9 * open_words
         kept = []
-        for i in here:
-            zone, text, linked = flat[i]
+        links = [b[0] == OPEN and b[2] >= LINKED for b in page]
+        for i, (zone, text, _) in enumerate(page):
             if zone == MAIN:
                 kept.append(text)
-            elif zone == OPEN and linked < 0.8:
-                if cut and share[i] >= COVERED:
-                    continue
-                if cut and share[i] > 0:
-                    marks = covered[begin[i] : begin[i] + size[i]]
+            elif zone == OPEN and not (links[i] and (i > 0 and links[i - 1] or i + 1 < len(page) and links[i + 1])):
+                marks = covered[begin[at + i] : begin[at + i] + size[at + i]]
+                if marks.any():
                     text = " ".join(w for w, gone in zip(text.split(" "), marks) if not gone)
-                kept.append(text)
+                if text:
+                    kept.append(text)
         out.append("\n".join(kept))
         at += len(page)
     return out
 
 
 def _pack(page: list[tuple[int, str, float]], codec) -> tuple[bytes, int]:
-    data = "\n".join(f"{zone}{int(linked >= 0.8)}{text}" for zone, text, linked in page).encode()
+    data = "\n".join(f"{zone}{int(linked >= LINKED)}{text}" for zone, text, linked in page).encode()
     return codec.compress(data, asbytes=True), len(data)
 
 
@@ -288,9 +351,16 @@ def main_texts(pages: DataFrame, array_chars: int = ARRAY_CHARS) -> DataFrame:
     Repeated rows and copies are extracted alike and count as one page. Other
     columns are ignored. Pages are read whole, whatever their length.
 
+    An open block that is a link counts as a menu's next to another such one;
+    an open block of which nothing is left has no line. An empty table gives an
+    empty result.
+
     The pages of a host larger than array_chars are dealt to several arrays by
-    the digest of their html, each of about that size: there, a run has to
-    repeat within one of them. Boilerplate repeats in all.
+    the digest of their html, each of about that size. There, the arrays name
+    their runs and up to PAGES pages of each, Spark counts pages over all arrays,
+    and each array gets those of its runs that are boilerplate: the texts are the
+    same whatever the size of an array (but for equal 64-bit hashes of two runs).
+    Hosts without open blocks have nothing to cut and name no runs.
     """
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1)
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), not_null_key(host).alias("host"))
@@ -298,22 +368,53 @@ def main_texts(pages: DataFrame, array_chars: int = ARRAY_CHARS) -> DataFrame:
     large = staged(sizes.where("arrays > 1"), "hosts")
     dealt = keyed.join(large, "host", "left")
     part = F.pmod(F.xxhash64("html"), F.coalesce("arrays", F.lit(1))).cast("int")
-    dealt = dealt.select("host", part.alias("part"), "page_id", "url", "html")
+    dealt = dealt.select("host", part.alias("part"), "page_id", "url", "html", F.col("arrays").isNotNull().alias("large"))
+    page_id = f"page_id {dict(dealt.dtypes)['page_id']}"
 
     def parse(batches):
         codec = pa.Codec("zstd", 3)
         for batch in batches:
-            packed = [_pack(blocks(x), codec) for x in batch.column("html").to_pylist()]
+            found = [blocks(x) for x in batch.column("html").to_pylist()]
+            packed = [_pack(x, codec) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([p for p, _ in packed], pa.binary()), pa.array([n for _, n in packed], pa.int64())],
-                ["host", "part", "page_id", "url", "blocks", "size"])
+                [*batch.columns[:4], pa.array([p for p, _ in packed], pa.binary()), pa.array([n for _, n in packed], pa.int64()),
+                 pa.array([any(b[0] == OPEN for b in x) for x in found], pa.bool_())],
+                ["host", "part", "page_id", "url", "blocks", "size", "open"])
 
-    def run(table: pa.Table) -> pa.Table:
+    def unpacked(table: pa.Table) -> list[list[tuple[int, str, float]]]:
         codec = pa.Codec("zstd", 3)
-        found = [_unpack(b, n, codec) for b, n in zip(table.column("blocks").to_pylist(), table.column("size").to_pylist())]
+        return [_unpack(b, n, codec) for b, n in zip(table.column("blocks").to_pylist(), table.column("size").to_pylist())]
+
+    def texts(table: pa.Table, frequent: np.ndarray | None = None) -> pa.Table:
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"),
-                         "text": pa.array(host_texts(found), pa.string())})
+                         "text": pa.array(host_texts(unpacked(table), frequent), pa.string())})
 
-    kinds = dict(dealt.dtypes)
-    parsed = dealt.mapInArrow(parse, f"host string, part int, page_id {kinds['page_id']}, url string, blocks binary, size bigint")
-    return parsed.groupBy("host", "part").applyInArrow(run, f"page_id {kinds['page_id']}, url string, text string")
+    def run(table: pa.Table) -> pa.Table:
+        return texts(table)
+
+    def name_runs(key, table):
+        runs, copies, opened = host_runs(unpacked(table))
+        return pa.table({"host": pa.array([key[0].as_py()] * len(runs), pa.string()),
+                         "part": pa.array([key[1].as_py()] * len(runs), pa.int32()),
+                         "run": runs, "copy": copies, "open": opened})
+
+    def cut(table: pa.Table, runs: pa.Table) -> pa.Table:
+        return texts(table, runs.column("run").to_numpy())
+
+    schema = f"{page_id}, url string, text string"
+
+    def parsed(rows: DataFrame) -> DataFrame:
+        return rows.drop("large").mapInArrow(
+            parse, f"host string, part int, {page_id}, url string, blocks binary, size bigint, open boolean")
+
+    whole = parsed(dealt.where("not large")).groupBy("host", "part").applyInArrow(run, schema)
+    if large.isEmpty():
+        return whole
+    split = staged(parsed(dealt.where("large")), "blocks")
+    cuttable = split.join(split.where("open").select("host").distinct(), "host", "left_semi")
+    named = staged(cuttable.groupBy("host", "part").applyInArrow(
+        name_runs, "host string, part int, run bigint, copy bigint, open boolean"), "runs")
+    frequent = named.groupBy("host", "run").agg(F.count_distinct("copy").alias("pages")).where(F.col("pages") >= PAGES)
+    cuts = named.where("open").select("host", "part", "run").distinct().join(frequent, ["host", "run"], "left_semi")
+    both = split.groupBy("host", "part").cogroup(cuts.groupBy("host", "part"))
+    return whole.unionByName(both.applyInArrow(cut, schema))
