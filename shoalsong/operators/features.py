@@ -63,8 +63,16 @@ def _passed_through(segments: DataFrame) -> tuple[list[str], str]:
     return [f.name for f in keep], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
 
 
-def magnitude_spectrum(segments: DataFrame, sample_rate: int) -> DataFrame:
-    """Replace `samples` by arrays `frequency`, `magnitude` and `share` (one-sided)."""
+def bin_frequency(bin: Column, n: Column, sample_rate: int) -> Column:
+    """Frequency in Hz of a bin of a window of n samples."""
+    return bin * float(sample_rate) / n
+
+
+def magnitude_spectrum(segments: DataFrame) -> DataFrame:
+    """Replace `samples` by their number `n` and arrays `magnitude` and `share` (one-sided).
+
+    The frequency of a bin follows from n (`bin_frequency`). An empty window gives no row.
+    """
     names, kept = _passed_through(segments)
     vectors = pa.list_(pa.float64())
 
@@ -73,14 +81,41 @@ def magnitude_spectrum(segments: DataFrame, sample_rate: int) -> DataFrame:
             for part, matrix in _windows(batch):
                 magnitude = _magnitudes(matrix)
                 share = magnitude / (magnitude.sum(axis=1, keepdims=True) + C.SPECTRUM_EPSILON)
-                bins = [np.fft.rfftfreq(matrix.shape[1], 1.0 / sample_rate)] * len(matrix)
+                ends = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * magnitude.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(n) for n in names]
-                    + [pa.array(list(v), vectors) for v in (bins, magnitude, share)],
-                    names + ["frequency", "magnitude", "share"])
+                    [part.column(n) for n in names] + [pa.array(np.full(len(matrix), matrix.shape[1], dtype=np.int64))]
+                    + [pa.ListArray.from_arrays(ends, pa.array(v.ravel()), vectors) for v in (magnitude, share)],
+                    names + ["n", "magnitude", "share"])
 
-    schema = kept + ", frequency array<double>, magnitude array<double>, share array<double>"
-    return segments.mapInArrow(run, schema)
+    return segments.mapInArrow(run, kept + ", n bigint, magnitude array<double>, share array<double>")
+
+
+def magnitude_spectrum_columns(segments: DataFrame) -> DataFrame:
+    """As `magnitude_spectrum`, with built-in functions only.
+
+    Each bin is a sum over the samples, so the work grows with the square of the
+    window: for short windows, where starting Python costs more than the sums.
+    """
+    keep = [c for c in segments.columns if c != "samples"]
+    n = F.size("samples")
+    magnitude = F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), _bin_magnitude)
+    spectra = segments.where(n > 0).select(*keep, n.cast("bigint").alias("n"), magnitude.alias("magnitude"))
+    total = F.aggregate("magnitude", F.lit(0.0), lambda a, x: a + x) + C.SPECTRUM_EPSILON
+    # The total is an array of one value, so that it is summed up once per window.
+    share = F.flatten(F.transform(F.array(total), lambda t: F.transform("magnitude", lambda x: x / t)))
+    return spectra.select(*keep, "n", "magnitude", share.alias("share"))
+
+
+def _bin_magnitude(k: Column) -> Column:
+    n = F.size("samples")
+
+    def part(wave) -> Column:
+        # The angle is taken from a whole number below n, which keeps it exact for late samples.
+        waves = F.transform("samples", lambda v, i: v * wave(
+            F.pmod(k.cast("bigint") * i, n.cast("bigint")) * F.lit(2.0 * np.pi) / n))
+        return F.aggregate(waves, F.lit(0.0), lambda a, x: a + x)
+
+    return F.hypot(part(F.cos), part(F.sin))
 
 
 def feature_batches(names: list[str], sample_rate: int):

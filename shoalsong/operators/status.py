@@ -6,7 +6,7 @@ a window, so a key with any number of updates costs one row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalsong import constants as C
@@ -126,6 +126,23 @@ def required_field(requests: DataFrame, column: str, field: str, error_code: str
         .when(value.isNull() | (value == ""), F.lit(error_code)))
 
 
+def lifecycle_of_log(log: DataFrame, upload: str = "upload_id", key: str = "analysis_id") -> DataFrame:
+    """As `upload_lifecycle`, of items of one log (sk, upload_id, analysis_id, ...), where an upload has one analysis.
+
+    One aggregate by upload, combined before the shuffle; nothing is joined. Items without an upload id,
+    and of uploads that left no METADATA, are no uploads.
+    """
+    def seen(sk: str) -> Column:
+        return F.coalesce(F.bool_or(F.col("sk") == sk), F.lit(False))
+
+    flags = log.where(F.col(upload).isNotNull()).groupBy(upload).agg(
+        seen("METADATA").alias("_known"), seen("RESULT").alias("_done"),
+        F.max(F.when(F.col("sk") == "PREPROCESSED", F.col(key))).alias(key))
+    linked = F.col(key).isNotNull()
+    status = F.when(linked & F.col("_done"), "complete").when(linked, "processing").otherwise("uploaded")
+    return flags.where("_known").select(upload, key, status.alias("status"))
+
+
 def upload_lifecycle(uploads: DataFrame, analyses: DataFrame, results: DataFrame, key: str = "upload_id") -> DataFrame:
     """Uploads with their linked analysis and the status that follows:
     uploaded, processing once linked, complete once a result exists."""

@@ -375,6 +375,8 @@ cells AS (SELECT recording_id, unnest(range(windows * 16)) AS spot FROM counts)
 SELECT c.recording_id, c.spot // 16 AS segment_idx, c.spot % 16 AS "offset", {r6('coalesce(r.v, 0)', 'v')}
 FROM cells c LEFT JOIN resampled r ON r.recording_id = c.recording_id AND r.sample_idx = c.spot"""
 
+ORACLE["segment_fixed_sql"], ORACLE["segment_padded_sql"] = ORACLE["segment_fixed"], ORACLE["segment_padded"]
+
 ORACLE["first_window"] = with_(SIGNALS) + f""",
 frames AS (
   SELECT recording_id, sample_idx // 2 AS frame, avg(v) AS v, any_value(n_samples // 2) AS n
@@ -451,6 +453,8 @@ ORACLE["magnitude_spectrum"] = _SPECTRA + f"""
 SELECT recording_id, segment_idx, bin::BIGINT AS bin, {r6('frequency', 'frequency')}, {r6('magnitude', 'magnitude')}, {r6('share', 'share')}
 FROM spectra"""
 
+ORACLE["magnitude_spectrum_columns"] = ORACLE["magnitude_spectrum"]
+
 ORACLE["spectral_centroid"] = _SPECTRA + f"SELECT recording_id, segment_idx, {r6('centroid', 'centroid')} FROM centroids"
 
 FEATURES = """described AS (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoalsong import constants as C
 from shoalsong import schemas
-from shoalsong.functions import fields
+from shoalsong.functions import fields, windows
 from shoalsong.functions import vectors as V
 from shoalsong.operators import embedding, features
 from shoalsong.operators import items as job_items
@@ -209,8 +209,9 @@ def result_documents(spark, sf_dir):
 @query
 def storage_rollup(spark, sf_dir):
     documents = B.table(spark, sf_dir, "documents").select(
-        F.col("source").alias("bucket"), F.col("lang").alias("prefix"), F.col("n_chars").alias("length"))
-    return corpus.storage_rollup(documents, "bucket", "prefix")
+        F.concat(F.lit("s3a://"), "source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"),
+        F.col("n_chars").alias("length"))
+    return corpus.storage_rollup(corpus.with_prefix(documents), "bucket", "prefix")
 
 
 @query
@@ -348,6 +349,24 @@ def segment_padded(spark, sf_dir):
     return signal.segment_padded(resampled, B.SPEC).select("recording_id", "segment_idx", "offset", r6("v"))
 
 
+def _cut_by_sql(samples: DataFrame, padded: bool) -> DataFrame:
+    windows.register_windows(samples.sparkSession)
+    return samples.sparkSession.sql(
+        f"SELECT * FROM cut_windows(TABLE({{samples}}) PARTITION BY recording_id ORDER BY (sample_idx), "
+        f"{B.SPEC.samples}, {str(padded).lower()})", samples=samples.select("recording_id", "sample_idx", "v"),
+    ).select("recording_id", "segment_idx", "offset", r6("v"))
+
+
+@query
+def segment_fixed_sql(spark, sf_dir):
+    return _cut_by_sql(signal.resample_linear(B.signals(spark, sf_dir), B.SPEC.rate), False)
+
+
+@query
+def segment_padded_sql(spark, sf_dir):
+    return _cut_by_sql(signal.resample_endpoint(B.signals(spark, sf_dir), B.SPEC.rate), True)
+
+
 @query
 def first_window(spark, sf_dir):
     # Windows of 64 make some recordings whole, some padded and some too short.
@@ -495,10 +514,18 @@ def feature_peak(spark, sf_dir):
 
 @query
 def magnitude_spectrum(spark, sf_dir):
-    spectra = features.magnitude_spectrum(signal.segment_arrays(B.segments(spark, sf_dir)), B.SPEC.rate)
-    bins = F.posexplode(F.arrays_zip("frequency", "magnitude", "share")).alias("bin", "z")
-    return spectra.select("recording_id", "segment_idx", bins).select(
-        "recording_id", "segment_idx", long("bin"), r6("z.frequency", "frequency"),
+    return _bins(features.magnitude_spectrum(signal.segment_arrays(B.segments(spark, sf_dir))))
+
+
+@query
+def magnitude_spectrum_columns(spark, sf_dir):
+    return _bins(features.magnitude_spectrum_columns(signal.segment_arrays(B.segments(spark, sf_dir))))
+
+
+def _bins(spectra: DataFrame) -> DataFrame:
+    bins = F.posexplode(F.arrays_zip("magnitude", "share")).alias("bin", "z")
+    return spectra.select("recording_id", "segment_idx", "n", bins).select(
+        "recording_id", "segment_idx", long("bin"), r6(features.bin_frequency(F.col("bin"), F.col("n"), B.SPEC.rate), "frequency"),
         r6("z.magnitude", "magnitude"), r6("z.share", "share"))
 
 
@@ -709,11 +736,7 @@ def resolve_status_errors_first(spark, sf_dir):
 @query
 def upload_lifecycle(spark, sf_dir):
     log = B.job_log(B.table(spark, sf_dir, "events"))
-    current = status.latest_state(log)
-    uploads = current.where(F.col("sk") == "METADATA").select("upload_id")
-    analyses = current.where(F.col("sk") == "PREPROCESSED").select("upload_id", KEY)
-    results = current.where(F.col("sk") == "RESULT")
-    return status.upload_lifecycle(uploads, analyses, results).select("upload_id", KEY, "status")
+    return status.lifecycle_of_log(log)
 
 
 @query

@@ -63,6 +63,14 @@ def export_recordings(files: DataFrame, folder: str) -> DataFrame:
     return files.select("name", "content").mapInArrow(run, "path string, length bigint")
 
 
+def with_prefix(objects: DataFrame, path: str = "path") -> DataFrame:
+    """Adds `bucket`, the authority of a path such as s3a://bucket/prefix/name, and `prefix`, its first
+    folder. A path without an authority has a null bucket, an object in no folder an empty prefix."""
+    bucket = F.nullif(F.regexp_extract(path, "^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1), F.lit(""))
+    key = F.regexp_replace(path, "^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/*", "")
+    return objects.withColumn("bucket", bucket).withColumn("prefix", F.regexp_extract(key, "^([^/]+)/", 1))
+
+
 def storage_rollup(objects: DataFrame, *prefix: str, size: str = "length") -> DataFrame:
     """Objects and bytes per prefix; on a file scan no content is read."""
     return objects.groupBy(*prefix).agg(
