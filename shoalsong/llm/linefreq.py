@@ -32,27 +32,37 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the array, first occurrences included.
 
-    Windows are sorted with their places, so equal ones are neighbours.
+    Windows are hashed first, and sorted with their places, so equal hashes are neighbours. Only those
+    are spelled out and sorted again: words decide, so the count is exact.
     """
-    def covered(windows: Column) -> Column:
-        # Three views of the sorted windows: one before, the same, one after.
-        none = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(-1).alias("i")))
+    def twice(windows: Column) -> Column:
+        # Places of windows that equal a neighbour. Three views of them: one before, the same, one after.
+        none = F.array(F.struct(F.lit(None).alias("w"), F.lit(-1).alias("i")))
         before, after = F.concat(none, windows), F.concat(F.slice(windows, 2, F.size(windows)), none)
         # zip_with fills the shorter side with null, which equals nothing.
         pairs = F.zip_with(windows, F.zip_with(before, after, lambda b, a: F.struct(b.w.alias("b"), a.w.alias("a"))),
                            lambda x, n: F.when((x.w == n.b) | (x.w == n.a), x.i))
-        places = F.array_compact(pairs)
-        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
+        return F.array_compact(pairs)
 
-    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    threes = F.zip_with(pairs, F.slice(words, 3, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    windows = F.transform(F.slice(threes, 1, F.size(words) - 2), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    def hashed(parts: Column) -> Column:
+        pairs = F.zip_with(parts, F.slice(parts, 2, F.size(parts)), lambda a, b: F.xxhash64(a, b))
+        threes = F.zip_with(pairs, F.slice(parts, 3, F.size(parts)), lambda a, b: F.xxhash64(a, b))
+        return F.slice(threes, 1, F.size(parts) - 2)
 
-    def counted(windows: Column) -> Column:
-        distinct = F.size(F.array_distinct(F.transform(windows, lambda x: x.w)))
-        return F.when(distinct == F.size(windows), F.lit(0)).otherwise(_let(F.sort_array(windows), covered))
+    def spelled(i: Column) -> Column:
+        return F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("w"), i.alias("i"))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(windows, counted)).cast("bigint")
+    def covered(places: Column) -> Column:
+        exact = _let(F.sort_array(F.transform(places, spelled)), twice)
+        return F.size(F.array_distinct(F.flatten(F.transform(exact, lambda i: F.array(i, i + 1, i + 2)))))
+
+    def counted(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return F.when(repeats, _let(_let(placed, twice), covered)).otherwise(F.lit(0))
+
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(_let(each, hashed), counted)).cast("bigint")
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
