@@ -157,6 +157,10 @@ def feature_vector(block: int = C.FEATURE_BLOCK, centroid_scale: float = C.CENTR
     return F.concat(*[F.array_repeat(b, block) for b in blocks])
 
 
+# Vectors that a task makes before it passes them on: a wide vector is thousands of times its features.
+VECTOR_BYTES = 4 << 20
+
+
 def vector_batches(names: list[str], block: int, noise: bool, centroid_scale: float = C.CENTROID_SCALE_HZ):
     """Arrow step: the columns `names` plus `feature_embedding`.
 
@@ -171,13 +175,17 @@ def vector_batches(names: list[str], block: int, noise: bool, centroid_scale: fl
             return base
         return base + C.FEATURE_NOISE * np.random.RandomState(int(abs(rms * 1e6) % 2**31)).randn(len(base))
 
+    rows = max(1, VECTOR_BYTES // (8 * 4 * max(1, block)))
+
     def run(batches):
         for batch in batches:
-            levels = [batch.column(c).to_numpy() for c in ("rms", "peak", "zcr", "centroid")]
-            vectors = [vector(*row) for row in zip(*levels)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [pa.array(vectors, pa.list_(pa.float64()))],
-                names + ["feature_embedding"])
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                levels = [part.column(c).to_numpy() for c in ("rms", "peak", "zcr", "centroid")]
+                vectors = [vector(*row) for row in zip(*levels)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c) for c in names] + [pa.array(vectors, pa.list_(pa.float64()))],
+                    names + ["feature_embedding"])
 
     return run
 
