@@ -179,6 +179,10 @@ def interpolate(signal, at, share):
     return (low * (1 - share) + high * share).astype(np.float32)
 
 
+# Windows that a task holds before it passes them on: short ones cost more as rows than as samples.
+HELD_WINDOWS = 4096
+
+
 def cut_batches(spec: SegmentSpec, compat: bool = False):
     """Arrow step: one row per window of each file (`schemas.SEGMENT`)."""
     size, target = spec.samples, spec.rate
@@ -186,7 +190,7 @@ def cut_batches(spec: SegmentSpec, compat: bool = False):
         ("recording_id", pa.string()), ("segment_idx", pa.int32()), ("samples", pa.list_(pa.float32())),
         ("sample_rate", pa.int32()), ("original_sample_rate", pa.int64()), ("total_duration", pa.float64()),
         ("num_segments", pa.int32()), ("error_code", pa.string()), ("error", pa.string())])
-    per_batch = max(1, (4 << 20) // size)
+    per_batch = max(1, min(HELD_WINDOWS, (4 << 20) // size))
 
     # Only the grid of the latest rate is kept.
     first_grids = {}

@@ -4,7 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from shoalsong.constants import SegmentSpec
 from shoalsong.operators import features
+from shoalsong.sources import wav
 
 
 @pytest.mark.parametrize("noise", [True, False])
@@ -20,3 +22,17 @@ def test_wide_vectors_leave_a_few_at_a_time(noise):
     vectors = [v for p in parts for v in p.column("feature_embedding").to_pylist()]
     alone = [next(step(iter([batch.slice(i, 1)]))).column("feature_embedding").to_pylist()[0] for i in (0, 7, 1999)]
     assert [vectors[i] for i in (0, 7, 1999)] == alone and vectors[7] is None
+
+
+def test_short_windows_leave_before_the_files_end():
+    spec, files, windows = SegmentSpec(rate=4, seconds=1.0), 2500, 3
+    data = [np.full(4 * windows, i % 100, "<i2").tobytes() for i in range(files)]
+    one = {"sample_rate": 4, "channels": 1, "bits": 16, "audio_format": 1, "n_resampled": 4 * windows, "num_segments": windows}
+    batch = pa.RecordBatch.from_pydict({
+        "recording_id": [f"r{i}" for i in range(files)], "data": pa.array(data, pa.binary()),
+        **{k: [v] * files for k, v in one.items()},
+        "error_code": pa.array([None] * files, pa.string()), "error": pa.array([None] * files, pa.string())})
+    parts = list(wav.cut_batches(spec)(iter([batch])))
+    assert max(p.num_rows for p in parts) <= wav.HELD_WINDOWS < files * windows
+    rows = [(r["recording_id"], r["segment_idx"], r["samples"]) for p in parts for r in p.to_pylist()]
+    assert rows == [(f"r{i}", j, [i % 100 / 32768] * 4) for i in range(files) for j in range(windows)]
