@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Callable
 
 import numpy as np
@@ -852,7 +851,8 @@ def stream_ingest(spark, sf_dir):
     folder = _export(spark, B.wav_files(spark, sf_dir))
     files = jobs.ingest(spark, folder).select(corpus.file_name(F.col("path")).alias("filename"), "length")
     path, progress = _folders(spark)
-    jobs.write_table(files, path, progress).awaitTermination()
+    with jobs.listed_together(spark):
+        jobs.write_table(files, path, progress).awaitTermination()
     return spark.read.schema(files.schema).parquet(path)
 
 
@@ -907,26 +907,13 @@ def stream_status(spark, sf_dir):
     return jobs.read_latest(spark, path, f"{KEY} bigint, status string, error string, batch bigint", [KEY])
 
 
-@contextlib.contextmanager
-def _settings(spark: SparkSession, **values: str):
-    """Settings of the session for the time of a stream."""
-    before = {n: spark.conf.get(n) for n in values}
-    for n, v in values.items():
-        spark.conf.set(n, v)
-    try:
-        yield
-    finally:
-        for n, v in before.items():
-            spark.conf.set(n, v)
-
-
 @query
 def stream_status_expiring(spark, sf_dir):
     """The status by state that ends some time after a result or error."""
     store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     path, progress = _folders(spark)
-    with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": store,
-                             "spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+    with jobs.settings(spark, **{"spark.sql.streaming.stateStore.providerClass": store,
+                                 "spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
         updates = jobs.tracked_status(B.job_log(_stream(spark, sf_dir, "events", "ts")), keep=1)
         jobs.write_latest(updates, path, progress).awaitTermination()
     return jobs.read_tracked(spark, path)

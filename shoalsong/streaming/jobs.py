@@ -9,6 +9,8 @@ not show twice.
 
 from __future__ import annotations
 
+import contextlib
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -33,6 +35,26 @@ def ingest(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> D
     )
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Settings of the session for the time of a stream; those that were not set are unset again."""
+    before = {n: spark.conf.get(n, None) for n in values}
+    for n, v in values.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def listed_together(spark: SparkSession):
+    """While a stream of many files runs: the files of a batch are looked up by a task per core. Spark else
+    starts a task for each file, and every task sends some 3 KB to the driver."""
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    return settings(spark, **{"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(tasks)})
+
+
 def segments(files: DataFrame, spec: SegmentSpec, max_bytes: int = C.MAX_FILE_BYTES, root: str | None = None) -> DataFrame:
     """Segments of the arriving files: the batch code unchanged."""
     return analysis.segments_of(files, spec, max_bytes, root)

@@ -166,3 +166,21 @@ def test_new_rows_by_the_table_itself(spark, split_events, tmp_path):
 
 def test_no_batch_yet(spark, tmp_path):
     assert jobs.read_latest(spark, str(tmp_path / "none"), "a bigint, b string, batch bigint", ["a"]).count() == 0
+
+
+def test_files_of_a_batch_are_listed_by_few_tasks(spark, tmp_path):
+    """Not by a task per file, of which each sends its own result to the driver."""
+    name, folder = "spark.sql.sources.parallelPartitionDiscovery.parallelism", tmp_path / "in"
+    folder.mkdir()
+    for i in range(60):
+        (folder / f"c_{i}.wav").write_bytes(wav(int16(sine(0.01, 800)), 800))
+    before = spark.conf.get(name)
+    with jobs.listed_together(spark):
+        files = jobs.ingest(spark, str(folder)).select("path", "length")
+        query = run(jobs.write_table, files, str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert spark.conf.get(name) == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    tasks = [tracker.getStageInfo(s).numTasks for s in stages]
+    assert tasks and max(tasks) <= spark.sparkContext.defaultParallelism < 60
