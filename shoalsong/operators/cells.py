@@ -20,6 +20,7 @@ compared. Ties go to the lower ref_id.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 
 import numpy as np
@@ -213,15 +214,30 @@ def search(queries, k: int, pivots, cells: list[tuple], load):
     return *first_k(*held, k), compared
 
 
-def nearest(pooled: DataFrame, entries: DataFrame, key: str, k: int, cell_bytes: int, count: int) -> DataFrame:
-    """(key, ref_id, similarity, rank) of `pooled` (key, dim, embedding) among `entries` (ref_id, dim,
-    embedding), vectors without NaN. `count` is the wanted number of pivots per width."""
-    spark = pooled.sparkSession
-    folder = workspace.new_folder(spark, "cells")
+@dataclasses.dataclass(frozen=True)
+class Index:
+    """Stored cells: their folder, the pivots per width, (dim, pivot, part, smallest, largest angle) per width."""
+
+    folder: str
+    cell_bytes: int
+    pivots: dict
+    cells: dict
+
+
+def build(entries: DataFrame, cell_bytes: int, count: int) -> Index:
+    """Write `entries` (ref_id, dim, embedding), vectors without NaN, as cells. `count` is the wanted
+    number of pivots per width."""
+    folder = workspace.new_folder(entries.sparkSession, "cells")
     pivots = choose_pivots(entries, min(PIVOTS, count))
     cells: dict[int, list] = {}
     for cell in write_cells(entries, pivots, folder, cell_bytes):
         cells.setdefault(cell[0], []).append(cell)
+    return Index(folder, cell_bytes, pivots, cells)
+
+
+def nearest(pooled: DataFrame, index: Index, key: str, k: int) -> DataFrame:
+    """(key, ref_id, similarity, rank) of `pooled` (key, dim, embedding), vectors without NaN, in an index."""
+    folder, cell_bytes, pivots, cells = index.folder, index.cell_bytes, index.pivots, index.cells
     id_type = pooled.schema[key].dataType.simpleString()
 
     def run(batches):

@@ -250,6 +250,14 @@ def reference_bytes(refs: DataFrame) -> int:
     return finite(refs).agg(F.sum(V.width(F.col("embedding")).cast("bigint") * 8)).first()[0] or 0
 
 
+def reference_cells(refs: DataFrame, block_bytes: int = 32 << 20, matrix_bytes: int | None = None) -> cells.Index:
+    """The comparable references written as cells of about `block_bytes`, to be searched any number of times."""
+    entries = finite(refs).select("ref_id", V.width(F.col("embedding")).alias("dim"), "embedding")
+    if matrix_bytes is None:
+        matrix_bytes = reference_bytes(refs)
+    return cells.build(entries, block_bytes, max(8, -(-matrix_bytes // block_bytes)))
+
+
 def nearest_references(
     pooled: DataFrame,
     refs: DataFrame,
@@ -258,6 +266,7 @@ def nearest_references(
     broadcast_bytes: int = 64 << 20,
     block_bytes: int = 32 << 20,
     matrix_bytes: int | None = None,
+    index: cells.Index | None = None,
 ) -> DataFrame:
     """(key, ref_id, similarity, rank) of the k most similar references, exact.
 
@@ -265,15 +274,18 @@ def nearest_references(
     `reference_bytes` unless given. Up to `broadcast_bytes` it is broadcast.
     Beyond, the references are written as cells of about `block_bytes` and each
     task reads those that can hold one of the nearest (`operators.cells`);
-    recordings are not shuffled. Ties go to the lower ref_id. `key` must be
-    unique.
+    recordings are not shuffled. With the stored `index` of the references
+    (`reference_cells`) nothing is measured, broadcast or written. Ties go to
+    the lower ref_id. `key` must be unique.
     """
+    rows = finite(pooled).select(key, V.width(F.col("embedding")).alias("dim"), "embedding")
+    if index is not None:
+        return cells.nearest(rows, index, key, k)
     entries = finite(refs).select("ref_id", V.width(F.col("embedding")).alias("dim"), "embedding")
     if matrix_bytes is None:
         matrix_bytes = reference_bytes(refs)
-    rows = finite(pooled).select(key, V.width(F.col("embedding")).alias("dim"), "embedding")
     if matrix_bytes > broadcast_bytes:
-        return cells.nearest(rows, entries, key, k, block_bytes, max(8, -(-matrix_bytes // block_bytes)))
+        return cells.nearest(rows, reference_cells(refs, block_bytes, matrix_bytes), key, k)
     left = _pack(rows, key, [], 1024)
     right = _pack(entries.coalesce(1), "ref_id", [], 4096).select(
         "dim", F.col("ids").alias("ref_ids"), F.col("matrix").alias("ref_matrix"))

@@ -70,25 +70,25 @@ DRAIN = {"availableNow": True}
 
 
 def classify_batches(pooled: DataFrame, refs: DataFrame, key: str, path: str, checkpoint: str,
-                     trigger: dict = DRAIN, **sizes) -> StreamingQuery:
+                     trigger: dict = DRAIN, block_bytes: int = 32 << 20, **sizes) -> StreamingQuery:
     """Classify arriving pooled vectors against a fixed reference table.
 
     The nearest sites need a ranking, which a stream cannot do across batches
     but each micro-batch can for its own recordings. What depends on the
-    references alone is made once, before the stream starts.
+    references alone is made once, before the stream starts: no batch sends them
+    through the driver again, its tasks read the stored cells that they need.
     """
     spark = pooled.sparkSession
     folder = workspace.new_folder(spark, "categories")
     similarity.category_vectors(refs).write.parquet(folder)
     vectors = spark.read.parquet(folder)
-    if sizes.get("matrix_bytes") is None:
-        sizes["matrix_bytes"] = similarity.reference_bytes(refs)
+    index = similarity.reference_cells(refs, block_bytes, sizes.get("matrix_bytes"))
 
     def score(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             labels = similarity.classify(batch, refs, vectors=vectors).select(key, "label", "confidence")
-            sites = similarity.similar_sites_or_placeholder(batch, refs, key, **sizes)
+            sites = similarity.similar_sites_or_placeholder(batch, refs, key, index=index, **sizes)
             best = sites.where(F.col("rank") == 1).select(key, "site_id", "similarity")
             labels.join(best, key, "left").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         finally:

@@ -184,3 +184,23 @@ def test_files_of_a_batch_are_listed_by_few_tasks(spark, tmp_path):
     stages = [s for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
     tasks = [tracker.getStageInfo(s).numTasks for s in stages]
     assert tasks and max(tasks) <= spark.sparkContext.defaultParallelism < 60
+
+
+def test_references_are_prepared_once_for_all_batches(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    refs = spark.createDataFrame(
+        [(i, "f", f"s{i}", "c", "HDRM"[i % 4], 1, rng.normal(size=8).tolist()) for i in range(50)], schemas.REFERENCE_ENTRY)
+    pooled = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(40)],
+                                   "recording_id bigint, embedding array<double>")
+    made, folder, path = [], str(tmp_path / "in"), str(tmp_path / "out")
+    pack, write = similarity._pack, similarity.cells.write_cells
+    monkeypatch.setattr(similarity, "_pack", lambda *a: made.append("matrices") or pack(*a))
+    monkeypatch.setattr(similarity.cells, "write_cells", lambda *a: made.append("cells") or write(*a))
+    pooled.repartition(4).write.parquet(folder)
+    stream = spark.readStream.schema(pooled.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = run(jobs.classify_batches, stream, refs, "recording_id", path, str(tmp_path / "progress"))
+    assert len(query.recentProgress) >= 4 and made == ["cells"]
+    monkeypatch.undo()
+    got = {r["recording_id"]: (r["site_id"], round(r["similarity"], 9)) for r in spark.read.parquet(path).collect()}
+    want = similarity.similar_sites(pooled, refs).where("rank = 1").collect()
+    assert got == {r["recording_id"]: (r["site_id"], round(r["similarity"], 9)) for r in want}
