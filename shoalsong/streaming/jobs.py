@@ -124,8 +124,10 @@ def _tracker(name: str, keep_ms: int):
                 if row.sk == "ERROR" and (last[0] is None or (row.at, row.event_id) >= tuple(last[:2])):
                     last = [row.at, row.event_id, row.error]
             new = (result, cut, failed, *last)
-            for timer in list(self.handle.listTimers()):  # one at most
-                self.handle.deleteTimer(timer)
+            # Only a final analysis has a timer, one at most; each question to the store is a round trip.
+            if old is not None and (old[0] or old[2]):
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
             if result or failed:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + keep_ms)
             if old is None or new != tuple(old):

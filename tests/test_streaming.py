@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 from conftest import SMALL
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 from wavs import int16, sine, wav
 
@@ -204,3 +204,45 @@ def test_references_are_prepared_once_for_all_batches(spark, tmp_path, monkeypat
     got = {r["recording_id"]: (r["site_id"], round(r["similarity"], 9)) for r in spark.read.parquet(path).collect()}
     want = similarity.similar_sites(pooled, refs).where("rank = 1").collect()
     assert got == {r["recording_id"]: (r["site_id"], round(r["similarity"], 9)) for r in want}
+
+
+class _Store:
+    """One state value and its timers, counting what is asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):
+        self.asked += 1
+        return iter(list(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000 + len(self.timers) + self.asked
+
+
+def test_timers_are_looked_up_of_finished_analyses_only():
+    store = _Store()
+    tracker = jobs._tracker("analysis_id", 500)
+    tracker.init(store)
+    asked = []
+    for event, sk in enumerate(["PREPROCESSED", "PREPROCESSED", "RESULT", "ERROR", "RESULT"]):
+        row = Row(sk=sk, at=event, event_id=event, error=None)
+        list(tracker.handleInputRows((7,), iter([row]), store))
+        asked.append((store.asked, len(store.timers)))
+    assert asked == [(0, 0), (0, 0), (0, 1), (1, 1), (2, 1)]
+    assert tuple(store.value) == (True, True, True, 3, 3, None)
