@@ -1,15 +1,13 @@
 """Byte-level BPE by a distinct-word table.
 
-Spark splits the texts into words (pre-tokens), and each distinct word of the
-corpus is encoded once, in its table row. Ids then go back to the places of the
-words in two joins:
+Spark splits the texts into words (pre-tokens) and counts them; each word that
+occurs twice or more is encoded once, in its table row. Ids then go back to the
+places of the words where the texts are, so no text is shuffled:
 
 * The most frequent words, bounded in number and bytes (HOT_WORDS, HOT_BYTES),
-  are broadcast and joined within the rows, which keeps some 99 of 100 places
-  out of any shuffle and takes the skew out of the rest. A text goes on as the
-  ranks of its words, one to three bytes each.
-* The places of all other words are joined with the table by a shuffle, and the
-  ids found go back to their text by its digest.
+  are broadcast and joined within the rows: some 99 of 100 places.
+* Words outside of that part are encoded in the task that holds them, each once
+  for a batch of rows.
 
 Decoding joins ids with pieces; pieces are bounded by the vocabulary and so
 broadcast. Ids travel as little-endian unsigned 32-bit integers.
@@ -17,6 +15,8 @@ broadcast. Ids travel as little-endian unsigned 32-bit integers.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import os
 import re
@@ -32,8 +32,9 @@ from shoalsong.llm.tables import staged
 
 #: Bounds of the broadcast part of the table: words, bytes of words and ids, bytes of one word.
 HOT_WORDS, HOT_BYTES, HOT_WORD_BYTES = 2_000_000, 64 << 20, 256
-#: Words of a text that travel to a task as one row, so that a batch of rows stays small; texts finished at once.
-CHUNK, SLICE = 128, 256
+#: Words of a text that travel to a task as one row, so that a batch of rows stays small; texts finished at once;
+#: words that the library encodes at once.
+CHUNK, SLICE, PART = 128, 256, 4096
 
 # Fixed value: the published splitting pattern of byte-level BPE, white space by its Unicode property.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
@@ -91,21 +92,35 @@ def in_chunks(split: DataFrame, column: str) -> DataFrame:
     return numbered.withColumn(column, F.slice(column, F.col("chunk") * CHUNK + 1, F.lit(CHUNK)))
 
 
-def word_table(split: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, n, ids) of each distinct value of `split` (word); ids is binary."""
-    counted = split.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    shared = split.sparkSession.sparkContext.broadcast(vocabulary.text)
+@functools.lru_cache(1)
+def library(text: str):
+    """The tokenizers library's encoder of words as arrays of ids, one per Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_str(text)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+
+    def encode(found: list[str]) -> list[np.ndarray]:
+        parts = (found[i : i + PART] for i in range(0, len(found), PART))
+        return [np.array(x.ids, "<u4") for part in parts for x in tokenizer.encode_batch(part, add_special_tokens=False)]
+
+    return encode
+
+
+def word_table(split: DataFrame, shared) -> DataFrame:
+    """(word, n, ids) of each value of `split` (word) that occurs twice or more; ids is binary.
+
+    A word that occurs once has one place, where it is encoded, so the table spares nothing by it.
+    `shared` is the broadcast text of the vocabulary.
+    """
+    counted = split.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+    def run(batches):
+        encode = library(shared.value)
         for batch in batches:
-            found = tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)
-            ids = pa.array([np.array(x.ids, "<u4").tobytes() for x in found], pa.binary())
+            ids = pa.array([x.tobytes() for x in encode(batch.column("word").to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["word", "n", "ids"])
 
     return counted.mapInArrow(run, "word string, n bigint, ids binary")
@@ -145,16 +160,38 @@ def hot_part(table: pa.Table) -> tuple:
     return known, hashes[ranks], (ranks + 1).astype(np.int32), size.astype(np.uint16), begin, flat
 
 
-def rank_words(hot: tuple, strings: pa.Array, hasher: words.Hasher) -> np.ndarray:
+def rank_words(hot: tuple, distinct: pa.Array, hasher: words.Hasher) -> np.ndarray:
     """The rank of each word, 0 if it isn't in the broadcast part."""
     known, hashes, ranks = hot[:3]
-    if not len(strings) or not len(hashes):
-        return np.zeros(len(strings), np.int32)
-    coded = strings.dictionary_encode()
-    own = _hashes(coded.dictionary, hasher)
+    if not len(distinct) or not len(hashes):
+        return np.zeros(len(distinct), np.int32)
+    own = _hashes(distinct, hasher)
     found = ranks[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)]
-    same = pc.equal(known.take(pa.array(found)), coded.dictionary).to_numpy(zero_copy_only=False)
-    return np.where(same, found, 0)[coded.indices.to_numpy(zero_copy_only=False)]
+    same = pc.equal(known.take(pa.array(found)), distinct).to_numpy(zero_copy_only=False)
+    return np.where(same, found, 0)
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of `flat` with these beginnings and sizes, one after the other."""
+    return flat[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+def word_ids(hot: tuple, strings: pa.Array, hasher: words.Hasher, encode) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the words in order, and the number of each word's ids. `encode` gives those of words that
+    aren't in the broadcast part."""
+    coded = strings.dictionary_encode()
+    distinct, places = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    *_, size, begin, flat = hot
+    ranks = rank_words(hot, distinct, hasher)
+    sizes, missing = size[ranks].astype(np.int64), np.flatnonzero(ranks == 0)
+    own = _gather(flat, begin[ranks].astype(np.int64), sizes)
+    begins = np.cumsum(sizes) - sizes
+    if len(missing):
+        found = encode(distinct.take(pa.array(missing)).to_pylist())
+        sizes[missing] = [len(x) for x in found]
+        begins[missing] = len(own) + np.cumsum(sizes[missing]) - sizes[missing]
+        own = np.concatenate([own, *found])
+    return _gather(own, begins[places], sizes[places]), sizes[places]
 
 
 # A rank is one byte below ONE; else its first byte is ONE to 223 and one more follows, or 224 to 255 and two.
@@ -221,90 +258,41 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, hot_words: int = HOT_WORDS,
     """
     spark = docs.sparkSession
     pieces = pre_tokens(F.col("text"), vocabulary.special)
-    table = staged(word_table(docs.select(F.explode(pieces).alias("word")), vocabulary), "words")
-    is_hot = _hot_level(table, hot_words, hot_bytes)
-    hot = spark.sparkContext.broadcast(hot_part(table.where(is_hot).toArrow()))
+    shared = spark.sparkContext.broadcast(vocabulary.text)
+    table = staged(word_table(docs.select(F.explode(pieces).alias("word")), shared), "words")
+    hot = spark.sparkContext.broadcast(hot_part(table.where(_hot_level(table, hot_words, hot_bytes)).toArrow()))
+    pieces_of = spark.sparkContext.broadcast(vocabulary.pieces if decoded else [])
+    doc_type = dict(docs.dtypes)["doc_id"]
 
-    def ranked(batches):
-        hasher = words.Hasher()
+    def texts(batches):
+        # The chunks of a text follow each other; a text may go on in the next batch.
+        hasher, encode_words, held, open_id = words.Hasher(), library(shared.value), None, None
         for batch in batches:
             values, at = _lists(batch.column("words"))
-            yield batch, values, at, rank_words(hot.value, values, hasher)
-
-    def rare_places(batches):
-        for batch, values, at, ranks in ranked(batches):
-            rare = np.flatnonzero(ranks == 0)
-            row = np.searchsorted(at, rare, "right") - 1
-            place = rare - at[row] + batch.column("chunk").to_numpy()[row] * CHUNK
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(row)), pa.array(place.astype(np.int32)), values.take(pa.array(rare))],
-                ["key", "place", "word"])
-
-    def streams(batches):
-        # The chunks of a text follow each other; a text may go on in the next batch.
-        codec, text, held = pa.Codec("zstd", 1), None, []
-
-        def closed():
-            ranks = np.concatenate(held)
-            plain = pack(ranks)
-            return (*text, len(ranks), len(plain), codec.compress(plain, asbytes=True))
-
-        def rows(done, id_type):
-            kinds = (id_type, pa.binary(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)],
-                                              ["doc_id", "key", "n_words", "n_bytes", "ranks"])
-
-        for batch, _, at, ranks in ranked(batches):
-            ids, keys = batch.column("doc_id"), batch.column("key")
-            first = np.flatnonzero(batch.column("chunk").to_numpy() == 0).tolist()
-            ends = [*first, batch.num_rows]
-            if text is not None:
-                held.append(ranks[: at[ends[0]]])
-            done = []
+            ids, sizes = word_ids(hot.value, values, hasher, encode_words)
+            at = np.concatenate([[0], np.cumsum(sizes)])[at]
+            doc_ids = batch.column("doc_id")
+            ends = [*np.flatnonzero(batch.column("chunk").to_numpy() == 0).tolist(), batch.num_rows]
+            if held is not None:
+                held.append(ids[: at[ends[0]]].tobytes())
             for i, j in zip(ends, ends[1:]):
-                if text is not None:
-                    done.append(closed())
-                text, held = (ids[i].as_py(), keys[i].as_py()), [ranks[at[i] : at[j]]]
-            if done:
-                yield rows(done, ids.type)
-        if text is not None:
-            yield rows([closed()], ids.type)
+                if held is not None:
+                    yield open_id, b"".join(held)
+                open_id, held = doc_ids[i], [ids[at[i] : at[j]].tobytes()]
+        if held is not None:
+            yield open_id, b"".join(held)
 
-    pieces_of = spark.sparkContext.broadcast(vocabulary.pieces if decoded else [])
-
-    def finish(batches):
-        codec, (*_, size, begin, flat) = pa.Codec("zstd", 3), hot.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part, out = batch.slice(i, SLICE), []
-                for n, length, packed, rare in zip(*(part.column(c).to_pylist() for c in ("n_words", "n_bytes", "ranks", "rare"))):
-                    ranks = unpack(codec.decompress(packed, length, asbytes=True) if length else b"", n)
-                    missing, sizes = ranks == 0, size[ranks].astype(np.int64)
-                    found = [np.frombuffer(x["ids"], "<u4") for x in rare or ()]
-                    if len(found) != missing.sum():
-                        raise RuntimeError("words of a text are missing in the word table")
-                    sizes[missing] = [len(x) for x in found]
-                    starts, total = np.cumsum(sizes) - sizes, int(sizes.sum())
-                    place = np.repeat(begin[ranks].astype(np.int64) - starts, sizes) + np.arange(total)
-                    hole = np.repeat(missing, sizes)
-                    ids = np.empty(total, "<u4")
-                    ids[~hole] = flat[place[~hole]]
-                    ids[hole] = np.concatenate(found) if found else []
-                    out.append(ids.tobytes())
-                columns = {"doc_id": part.column("doc_id"), "ids": pa.array(out, pa.binary())}
-                if decoded:
-                    columns["text"] = pa.array([text_of(x, pieces_of.value) for x in out], pa.string())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    doc_type = dict(docs.dtypes)["doc_id"]
-    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key")
-    split = in_chunks(docs.select("doc_id", key, pieces.alias("words")), "words")
-    rare = split.select("key", "chunk", "words").mapInArrow(rare_places, "key binary, place int, word string")
-    rare = rare.join(table.where(~is_hot).select("word", "ids"), "word")
-    rare = rare.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("rare"))
-    coded = split.mapInArrow(streams, f"doc_id {doc_type}, key binary, n_words int, n_bytes int, ranks binary")
-    joined = coded.join(rare, "key", "left").select("doc_id", "n_words", "n_bytes", "ranks", "rare")
-    return joined.mapInArrow(finish, f"doc_id {doc_type}, ids binary" + (", text string" if decoded else ""))
+    def run(batches):
+        found = texts(batches)
+        while done := list(itertools.islice(found, SLICE)):
+            doc_ids, ids = zip(*done)
+            columns = {"doc_id": pa.array([x.as_py() for x in doc_ids], doc_ids[0].type), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["text"] = pa.array([text_of(x, pieces_of.value) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    split = in_chunks(docs.select("doc_id", pieces.alias("words")), "words")
+    return split.mapInArrow(run, f"doc_id {doc_type}, ids binary" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -375,3 +375,21 @@ def test_a_text_that_spans_batches(spark):
     found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(frame, vocabulary, hot_words=3000).collect()}
     for i, text in rows:
         assert found[i] == library.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("hot", [bpe.HOT_WORDS, 3, 0])
+def test_texts_are_encoded_where_they_are(spark, hot):
+    """No text and no place of a word is shuffled, whatever the table holds."""
+    rows = [(i, f"common words and rare{i}x {'z' * i}") for i in range(50)] * 2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    encoded = bpe.encode(frame, queries.vocabulary(), hot_words=hot, decoded=True)
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Join|Sort", plan)
+    assert sorted((r.doc_id, r.text) for r in encoded.collect()) == sorted(rows)
+
+
+def test_words_that_occur_once_are_not_in_the_table(spark):
+    vocabulary = queries.vocabulary()
+    frame = spark.createDataFrame([(w,) for w in ("a", "b", "a", " c")], "word string")
+    found = bpe.word_table(frame, spark.sparkContext.broadcast(vocabulary.text)).collect()
+    assert [(r.word, r.n) for r in found] == [("a", 2)]
