@@ -304,3 +304,23 @@ def test_groups_are_evaluated_until_safely_finished():
 def test_long_products_stay_exact():
     n = np.array([1, 10**9, 3 * 10**11], np.int64)
     assert lexical.length_parts(n, 10**10, 10**13).tolist() == [50 + 50 * x * 10**10 // 10**13 for x in n.tolist()]
+
+
+def test_signs_and_capitals_cost_no_whole_encoding():
+    """Words with signs behind a letter or a capital letter up to U+00FF take the ids of their plain form."""
+    from tokenizers import Tokenizer
+
+    words = token_files._WordIds(Tokenizer.from_file(WORD_BPE), 1000)
+    whole = []
+    encode, words.encode = words.encode, lambda text, **options: whole.append(text) or encode(text, **options)
+    seen = ["réen***", "Éierchê", "rajaó,", "x7$$$", "ÀÞ.", "a's!!", "it'S)", "a-b--", "e\u00d7?!", "\u00f7.", "ß&&&", "n\u00b0;"]
+    for text, wanted in zip(seen, library(WORD_BPE, seen)):
+        assert np.frombuffer(words[text.encode()], "<u4").tolist() == wanted[:-1], text
+    assert not {"réen***", "Éierchê", "rajaó,", "x7$$$", "ÀÞ."} & set(whole)
+
+
+def test_random_signs_have_the_same_ids():
+    signs, rng = "aAbéÉßÞ7,.*$#-_()[]'s\"`~^@!?/\\|{}<>×÷°µª ", np.random.RandomState(7)
+    encode = token_files.encoder(open(WORD_BPE, encoding="utf-8").read())
+    texts = ["".join(signs[k] for k in rng.randint(0, len(signs), rng.randint(1, 20))) for _ in range(5000)]
+    assert [np.frombuffer(encode(t.encode()), "<u4").tolist() for t in texts] == [x[:-1] for x in library(WORD_BPE, texts)]
