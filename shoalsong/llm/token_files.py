@@ -13,6 +13,7 @@ files before it, a small table beside the files.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -34,8 +35,8 @@ STRIPE_BYTES, ROW_GROUP, BLOOM_RATE = 32 << 20, 1000, 0.01
 KNOWN_WORDS, KNOWN_BYTES = 300_000, 64
 #: Bytes of text for a file: at least the first, as long as that makes a file for every shuffle partition, and at most the second.
 FILE_BYTES = 16 << 20, 256 << 20
-#: Ids that leave a task at once.
-BATCH_IDS = 1 << 20
+#: Bytes of text that a task encodes and passes on at once, or one text.
+TEXT_BYTES = 4 << 20
 
 # Fixed value: a published splitting pattern whose matches hold no white space; the rest of the text is dropped.
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -108,18 +109,75 @@ class _WordIds(dict):
         return array("I", self.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
 
-def encoder(text: str, most: int = KNOWN_WORDS):
-    """A function from text to the library's ids as little-endian unsigned 32-bit integers."""
+#: `_NEAR` and `_SIGNED` for columns of words: the rest, the signs, and what may stand before them.
+_FAR_TEXT, _SIGNS_TEXT = "[<\u0100-\U0010ffff]", "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_PLAIN_TEXT = "[a-z0-9\u00df-\u00f6\u00f8-\u00ff]$"
+
+
+def _parts(words: pa.Array) -> pa.Array:
+    """Two parts of each word that `_WordIds` takes one after the other: the plain form and the signs at the end."""
+    near = pc.invert(pc.match_substring_regex(words, _FAR_TEXT))
+    low = pc.if_else(near, pc.utf8_lower(words), words)
+    plain = pc.ascii_rtrim(low, characters=_SIGNS_TEXT)
+    plain = pc.if_else(pc.and_(near, pc.match_substring_regex(plain, _PLAIN_TEXT)), plain, low)
+    _, offsets, data = low.buffers()
+    bounds = np.zeros(2 * len(low) + 1, np.int32)  # no text is copied: a part ends where the next begins
+    bounds[::2] = np.frombuffer(offsets, np.int32, len(low) + 1, 4 * low.offset)
+    bounds[1::2] = bounds[:-1:2] + pc.binary_length(plain).to_numpy()
+    return pa.StringArray.from_buffers(2 * len(low), pa.py_buffer(bounds), data)
+
+
+def _gathered(values, sizes, which):
+    """The values of runs of `sizes`, one run behind the other, in the order `which`."""
+    n = sizes[which]
+    starts = (np.cumsum(sizes) - sizes)[which]
+    return values[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def _word_encoder(known: _WordIds):
+    """A function from a column of texts to (ids of all, ids per text).
+
+    Each distinct word of the column is taken apart once, and only distinct plain words and signs are looked up.
+    """
+    def encode(texts: pa.Array):
+        split = pc.ascii_split_whitespace(texts)  # at space and \t to \r only
+        words = split.flatten().dictionary_encode()
+        parts = _parts(words.dictionary).dictionary_encode()
+        found = [known[w] for w in parts.dictionary.cast(pa.binary()).to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pairs = parts.indices.to_numpy().reshape(-1, 2)
+        ids = _gathered(np.frombuffer(b"".join(found), "<i4"), sizes, pairs.ravel())
+        sizes, places = sizes[pairs].sum(axis=1), words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[places])])[split.offsets.to_numpy()]
+        return _gathered(ids, sizes, places), np.diff(ends)
+
+    return encode
+
+
+@functools.lru_cache(1)
+def column_encoder(text: str, most: int = KNOWN_WORDS):
+    """A function from a column of texts without nulls to (the library's ids of all, ids per text). The last one
+    stays in its process, so tasks that follow in a Python worker need not read the tokenizer again."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(text)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    known, spec = _WordIds(tokenizer, most), json.loads(text)
-    if words_stand_alone(spec):
-        return lambda data: b"".join(map(known.__getitem__, data.split()))  # bytes split at space and \t to \r only
-    return lambda data: array("I", tokenizer.encode(data.decode(), add_special_tokens=False).ids).tobytes()
+    if words_stand_alone(json.loads(text)):
+        return _word_encoder(_WordIds(tokenizer, most))
+
+    def encode(texts: pa.Array):
+        found = [np.array(tokenizer.encode(t.as_py(), add_special_tokens=False).ids, "<i4") for t in texts]
+        return np.concatenate([np.zeros(0, "<i4"), *found]), np.array([len(x) for x in found], np.int64)
+
+    return encode
+
+
+def encoder(text: str, most: int = KNOWN_WORDS):
+    """A function from text to the library's ids as little-endian unsigned 32-bit integers."""
+    encode = column_encoder(text, most)
+    return lambda data: encode(pa.array([data.decode()], pa.string()))[0].tobytes()
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, files: int | None = None,
@@ -144,23 +202,23 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
     dealt = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order)
     dealt = dealt.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, before = encoder(shared.value), 0
+        encode, before = column_encoder(shared.value), 0
         for batch in batches:
-            view = pc.fill_null(batch.column("text"), "").cast(pa.large_binary())
-            at = 0
+            texts, at = pc.fill_null(batch.column("text"), "").cast(pa.string()), 0
+            length = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
             while at < batch.num_rows:
-                out, held, first = [], 0, at
-                while at < batch.num_rows and held < BATCH_IDS:
-                    out.append(encode(view[at].as_py()) + end)
-                    held += len(out[-1]) // 4
-                    at += 1
-                sizes = np.array([len(x) // 4 for x in out], np.int64)
+                first, passed = at, length[at - 1] if at else 0
+                at = max(at + 1, int(np.searchsorted(length, passed + TEXT_BYTES, "right")))
+                ids, sizes = encode(texts.slice(first, at - first))
+                sizes += 1
                 ends = np.cumsum(sizes)
-                values = pa.array(np.frombuffer(b"".join(out), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+                values, own = np.full(ends[-1], end_id, "<i4"), np.ones(ends[-1], bool)
+                own[ends - 1] = False
+                values[own] = ids
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
                 part = batch.slice(first, at - first)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("part"), pa.array(before + ends - sizes), pa.array(sizes), lists],

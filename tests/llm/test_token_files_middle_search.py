@@ -324,3 +324,26 @@ def test_random_signs_have_the_same_ids():
     encode = token_files.encoder(open(WORD_BPE, encoding="utf-8").read())
     texts = ["".join(signs[k] for k in rng.randint(0, len(signs), rng.randint(1, 20))) for _ in range(5000)]
     assert [np.frombuffer(encode(t.encode()), "<u4").tolist() for t in texts] == [x[:-1] for x in library(WORD_BPE, texts)]
+
+
+def test_a_column_looks_up_each_plain_word_once(monkeypatch):
+    """Words of a column that differ in capitals or signs at the end are one look-up, and a task that follows
+    in the same process has the tokenizer and its words already."""
+    spec, asked = open(WORD_BPE, encoding="utf-8").read(), []
+    look_up = token_files._WordIds.__missing__
+    monkeypatch.setattr(token_files._WordIds, "__missing__", lambda self, word: asked.append(word) or look_up(self, word))
+    token_files.column_encoder.cache_clear()
+    texts = ["Réen réen*** RÉEN.", "", " \t", "réen, x<y Réen.", "réen\x0bréen\x1f… É", "\n.\r"]
+    for _ in range(2):
+        ids, sizes = token_files.column_encoder(spec)(pa.array(texts))
+        wanted = [x[:-1] for x in library(WORD_BPE, texts)]
+        assert np.split(ids, np.cumsum(sizes)[:-1])[0].tolist() == wanted[0]
+        assert ids.tolist() == sum(wanted, []) and sizes.tolist() == [len(x) for x in wanted]
+    assert sorted(asked) == sorted({w.encode() for w in ["", "réen", "***", ".", ",", "x<y", "réen\x1f…", "é"]})
+
+
+@pytest.mark.parametrize("texts", [[""], ["", " "], ["\t\n", ""], ["…"], ["<"], ["."]])
+def test_columns_with_hardly_any_words(texts):
+    ids, sizes = token_files.column_encoder(open(WORD_BPE, encoding="utf-8").read())(pa.array(texts))
+    wanted = [x[:-1] for x in library(WORD_BPE, texts)]
+    assert ids.tolist() == sum(wanted, []) and sizes.tolist() == [len(x) for x in wanted]
