@@ -35,8 +35,9 @@ PIVOTS = 256            # per vector width, at most
 SAMPLE_ROWS = 4096      # references from which pivots are chosen ...
 SAMPLE_BYTES = 16 << 20  # ... and their bytes
 MARGIN = 1e-6           # radians: far above the error of arccos in double precision
-HELD_BYTES = 256 << 20  # cells that a task keeps
-SLICE = 1 << 23         # products at a time
+HELD_BYTES = 64 << 20   # cells that a task keeps: it passes over all of them in turn, so more are seldom met again
+SLICE = 1 << 22         # products at a time
+READ_BYTES = 1 << 20    # of a cell that are decoded at a time
 ROWS_BYTES = 64 << 20   # recordings at a time
 
 
@@ -152,13 +153,23 @@ def write_cells(entries: DataFrame, pivots: dict, folder: str, cell_bytes: int)
 def read_cell(folder: str, dim: int, pivot: int, part: int):
     """(ref_ids, matrix) of one cell."""
     import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
 
     system, root = open_folder(folder)
-    table = pq.read_table(f"{root}/dim={dim}/pivot={pivot}/part={part}", filesystem=system, partitioning=None,
-                          columns=["ref_id", "unit"])
-    units = table.combine_chunks().column("unit").chunk(0).cast(pa.binary(8 * dim))
-    matrix = np.frombuffer(units.buffers()[1], count=len(units) * dim, offset=units.offset * 8 * dim)
-    return table.column("ref_id").to_numpy(), matrix.reshape(-1, dim)
+    found = system.get_file_info(FileSelector(f"{root}/dim={dim}/pivot={pivot}/part={part}"))
+    files = [pq.ParquetFile(f.path, filesystem=system, pre_buffer=False, buffer_size=READ_BYTES)
+             for f in sorted(found, key=lambda f: f.path) if f.base_name.endswith(".parquet")]
+    # Decoded into place, so that a cell is not held twice.
+    matrix, ref_ids, at = np.empty((sum(f.metadata.num_rows for f in files), dim)), [], 0
+    for file in files:
+        with file:
+            for batch in file.iter_batches(max(1, READ_BYTES // (8 * dim)), columns=["ref_id", "unit"], use_threads=False):
+                units = batch.column("unit").cast(pa.binary(8 * dim))
+                rows = np.frombuffer(units.buffers()[1], count=len(units) * dim, offset=units.offset * 8 * dim)
+                matrix[at:at + len(units)] = rows.reshape(-1, dim)
+                ref_ids.append(batch.column("ref_id"))
+                at += len(units)
+    return pa.chunked_array(ref_ids, pa.int64()).to_numpy(), matrix
 
 
 def search(queries, k: int, pivots, cells: list[tuple], load):

@@ -78,3 +78,29 @@ def test_a_hot_cell_is_split(spark, frames, tmp_path):
     written = cells.write_cells(entries, pivots, str(tmp_path / "cells"), 4096)
     sizes = [len(cells.read_cell(str(tmp_path / "cells"), *c[:3])[0]) for c in written]
     assert sum(sizes) == 600 and max(sizes) < 100  # 32 vectors of 128 bytes each, were the hash even
+
+
+def test_a_cell_is_decoded_into_place(tmp_path):
+    """Reading a cell takes little more than its matrix, and a task keeps two of the usual size."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows, dim = 40_000, 64
+    units = np.random.default_rng(2).normal(size=(rows, dim))
+    folder = tmp_path / "dim=64" / "pivot=3" / "part=0"
+    folder.mkdir(parents=True)
+    for half in (0, 1):
+        own = units[half::2]
+        table = pa.table({"ref_id": np.arange(half, rows, 2), "angle": np.zeros(len(own)),
+                          "unit": pa.array([u.tobytes() for u in own], pa.binary())})
+        pq.write_table(table, folder / f"part-{half}.snappy.parquet")
+    pool, usual = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        ref_ids, matrix = cells.read_cell(str(tmp_path), dim, 3, 0)
+    finally:
+        pa.set_memory_pool(usual)
+    order = np.argsort(ref_ids)
+    assert ref_ids[order].tolist() == list(range(rows)) and (matrix[order] == units).all()
+    assert pool.max_memory() < units.nbytes
+    assert cells.HELD_BYTES <= 2 * (32 << 20)
