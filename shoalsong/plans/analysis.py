@@ -49,12 +49,12 @@ def segment_vectors(
     width: int = C.EMBEDDING_WIDTH,
     noise: bool = True,
 ) -> DataFrame:
-    """(recording_id, segment_idx, feature_embedding, embedding, error) of the valid files.
+    """(recording_id, segment_idx, num_segments, feature_embedding, embedding, error) of the valid files.
 
     Cutting, features and inference run as one Arrow step, so windows of audio
     never return to the JVM: a file goes in, a few vectors per segment come out.
     """
-    names = ["recording_id", "segment_idx"]
+    names = ["recording_id", "segment_idx", "num_segments"]
     carried = names if factory is None else names + ["samples"]
     cut = wav.cut_batches(spec)
     measure = features.feature_batches(carried, spec.rate)
@@ -65,7 +65,7 @@ def segment_vectors(
         return infer(describe(measure(cut(batches))))
 
     return wav.signal_rows(checked.where(F.col("error_code").isNull())).mapInArrow(
-        run, "recording_id string, segment_idx int, feature_embedding array<double>, "
+        run, "recording_id string, segment_idx int, num_segments int, feature_embedding array<double>, "
              "embedding array<double>, error string")
 
 
@@ -164,6 +164,9 @@ def build_reference_tables(files: DataFrame, spec: SegmentSpec, factory: embeddi
     that were rejected or of which a segment failed: those are not in the index.
     A reference needs one segment; the size and duration limits of uploads hold
     for references only with `upload_limits`.
+
+    A file may come in several rows with a column `part` (`schemas.FILE_PART`), as one value has a
+    limit of its own: its windows are cut part by part, and it is in the index if all have a vector.
     """
     spark = files.sparkSession
     if upload_limits:
@@ -174,12 +177,16 @@ def build_reference_tables(files: DataFrame, spec: SegmentSpec, factory: embeddi
     segment_vectors(checked, spec, factory, width).drop("feature_embedding").write.mode("overwrite").parquet(
         f"{path}/segments")
     vectors = spark.read.schema(
-        "recording_id string, segment_idx int, embedding array<double>, error string").parquet(f"{path}/segments")
-    broken = vectors.where(F.col("embedding").isNull()).select("recording_id").distinct()
+        "recording_id string, segment_idx int, num_segments int, embedding array<double>, error string").parquet(
+        f"{path}/segments")
+    broken = vectors.groupBy("recording_id").agg(
+        F.count("embedding").alias("_found"), F.greatest(F.count(F.lit(1)), F.max("num_segments")).alias("_all")).where(
+        F.col("_found") < F.col("_all")).select("recording_id")
     whole = vectors.join(broken, "recording_id", "left_anti")
     tables.write_references(reference_index(whole.withColumnRenamed("recording_id", "filename")), f"{path}/index")
     index = tables.load_references(spark, f"{path}/index")
-    seen = files.select(corpus.below(F.col("path"), root).alias("filename"))
+    once = files.where(F.coalesce("part.first", F.lit(0)) == 0) if "part" in files.columns else files
+    seen = once.select(corpus.below(F.col("path"), root).alias("filename"))
     named = seen.join(index.select("filename", "num_segments"), "filename", "left").withColumn(
         "_p", fields.filename_parts(F.col("filename")))
     return named.select("filename", "_p.country", "_p.site_type",

@@ -15,6 +15,8 @@ SPEC = SegmentSpec(rate=4, seconds=4.0, min_seconds=7.5, max_seconds=36.0)
 SIZE_LIMIT = 5000
 # Samples of a recording that are gathered at a time.
 PIECE = 1 << 20
+# Windows in a part of a recording: at most 8,192 samples at the highest rate.
+PART_WINDOWS = 256
 
 
 # Declared, so that no job has to read file footers for a schema.
@@ -138,6 +140,37 @@ def wav_files(spark: SparkSession, sf_dir: str, max_bytes: int = MAX_FILE_BYTES)
         "recording_id", recording_name(F.col("recording_id")).alias("path"), "length", "content")
 
 
+def file_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording_id, path, length, content, part): every recording as WAV files, of whatever size.
+
+    A row has up to `PART_WINDOWS` windows (`schemas.FILE_PART`), most recordings one row. `length` is
+    that of the whole recording as one file. One task sorts a recording, on disk where it is long; no
+    value holds a whole one, and its parts are encoded and used by many tasks.
+    """
+    rate, n = F.col("sample_rate"), F.col("n_samples")
+    size = (rate * SPEC.samples / SPEC.rate).cast("bigint")
+    windows = F.floor(validation.resampled_length(n, rate, SPEC.rate) / SPEC.samples)
+    last = F.floor((F.greatest(windows, F.lit(1)) - 1) / PART_WINDOWS)
+    part = F.least(F.floor(F.col("sample_idx") / (size * PART_WINDOWS)), last)
+    # The first sample of a part ends the one before, whose last window is interpolated with it.
+    begins = (part > 0) & (F.col("sample_idx") == part * size * PART_WINDOWS)
+    sizes = file_sizes(spark, sf_dir).drop("length")
+    placed = _numbered(samples(spark, sf_dir).join(sizes, "recording_id").repartition("recording_id")).select(
+        "recording_id", "sample_idx", signal.quantize_pcm16(F.col("v")).alias("q"), "sample_rate", "n_samples",
+        windows.alias("windows"), F.explode(F.when(begins, F.array(part - 1, part)).otherwise(F.array(part))).alias("i"))
+    first = F.col("i") * PART_WINDOWS
+    pcm = placed.groupBy("recording_id", "i").agg(
+        F.sort_array(F.collect_list(F.struct("sample_idx", "q"))).alias("s"), F.max("sample_rate").alias("sample_rate"),
+        F.max("n_samples").alias("frames"), F.max("windows").alias("windows")).select(
+        F.struct("recording_id", F.struct(
+            first.cast("int").alias("first"), F.least(first + PART_WINDOWS, F.col("windows")).cast("int").alias("end"),
+            "frames").alias("part")).alias("key"),
+        F.transform("s", lambda x: x["q"]).alias("pcm"), "sample_rate")
+    return wav.encode(pcm.repartition("key"), "key").select(
+        "key.recording_id", recording_name(F.col("key.recording_id")).alias("path"),
+        (2 * F.col("key.part.frames") + wav.HEADER_BYTES).alias("length"), "content", "key.part")
+
+
 def recording_name(recording_id: Column) -> Column:
     code = pick(recording_id % 5, "H", "D", "R", "M", "X")
     return F.concat(F.lit("c"), recording_id % 7, F.lit("_"), code, recording_id, F.lit("_20240101_120000.wav"))

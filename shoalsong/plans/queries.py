@@ -133,9 +133,9 @@ def build_ref_index(spark, sf_dir):
 
 @query
 def build_ref_tables(spark, sf_dir):
-    """The index from recording files, by way of the stored segment vectors."""
+    """The index from recording files of any size, by way of the stored segment vectors."""
     folder = workspace.new_folder(spark, "reference_tables")
-    files = B.wav_files(spark, sf_dir).drop("recording_id")
+    files = B.file_parts(spark, sf_dir).drop("recording_id")
     seen = analysis.build_reference_tables(files, B.SPEC, _block_means, folder, width=4)
     index = entries(tables.load_references(spark, f"{folder}/index"), "filename", "site_id")
     return seen.join(index, "filename")

@@ -24,6 +24,15 @@ WAV_HEADER = T.StructType([
     T.StructField("frames", T.LongType()),
 ])
 
+# Column `part` of files that come in several rows: the windows [first, end) of the recording whose
+# samples are in this row's content, and the frames of the whole recording. The content begins with
+# the first sample of its first window and holds one sample more than its windows, if there is one.
+FILE_PART = T.StructType([
+    T.StructField("first", T.IntegerType()),
+    T.StructField("end", T.IntegerType()),
+    T.StructField("frames", T.LongType()),
+])
+
 SEGMENT = T.StructType([
     T.StructField("recording_id", T.StringType()),
     T.StructField("segment_idx", T.IntegerType()),
